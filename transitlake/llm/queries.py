@@ -43,4 +43,22 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_pack, op6_chat)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.secrets import BASE, findings
+    from transitlake.llm.spans import spans_text
+
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    found, _ = findings(versions)
+    base = F.filter("findings", lambda s: s["kind"].isin(*BASE))
+    count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(F.col("path").alias("doc_id"), *map(count, BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.repeats import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_pack, op6_chat, op9_secrets, op10_repeats)}
