@@ -17,6 +17,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +49,16 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.pii import BASE, find_pii
+    from transitlake.llm.spans import spans_text
+
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from transitlake.llm.secrets import BASE, findings
     from transitlake.llm.spans import spans_text
@@ -61,4 +77,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_pack, op6_chat, op9_secrets, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op5_pack, op6_chat, op8_pii, op9_secrets, op10_repeats)}
