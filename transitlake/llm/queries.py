@@ -23,6 +23,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +55,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from transitlake.llm.pii import BASE, find_pii
     from transitlake.llm.spans import spans_text
@@ -77,4 +89,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op5_pack, op6_chat, op8_pii, op9_secrets, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op4_toxicity, op5_pack, op6_chat, op7_neighbours, op8_pii, op9_secrets, op10_repeats)}
