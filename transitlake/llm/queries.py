@@ -17,6 +17,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from transitlake.llm.neardup import near_duplicates
 
@@ -89,4 +95,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op4_toxicity, op5_pack, op6_chat, op7_neighbours, op8_pii, op9_secrets, op10_repeats)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_language, op3_near_duplicates, op4_toxicity, op5_pack, op6_chat, op7_neighbours, op8_pii, op9_secrets, op10_repeats)
+}
