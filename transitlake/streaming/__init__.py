@@ -1,0 +1 @@
+"""The analytics here are batch only: a run is closed by tags inside a finished log file, so there is nothing to stream."""
