@@ -573,3 +573,417 @@ def nearest_intersection_pings(spark, sf_dir):
     """The closest ping of a run to each place within a radius."""
     targets = V.suppliers(spark, sf_dir).select("stop_id", "x", "y")
     return r6(nearest.nearest_within(V.pings(spark, sf_dir), targets, ["stop_id"], 800.0).select("filename", "index_run_start", "stop_id", "index_loc", "dist"))
+
+
+# Keys, sets, samples
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(l_quantity, 6) as l_quantity from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) = 1")
+def keep_last_runs(spark, sf_dir):
+    """The last row of each key."""
+    out = windows.keep_last(V.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return r6(out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "l_quantity"))
+
+
+@query("select l_orderkey, l_suppkey, cast(l_linenumber as bigint) as l_linenumber from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey) = 1")
+def keep_first_messages(spark, sf_dir):
+    """The first row of each key."""
+    out = windows.keep_one(V.table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_suppkey", "l_partkey"])
+    return out.select("l_orderkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+
+
+@query(f"with {PINGS}, a as (select filename, index_loc, index_loc as at from p where kind = 'signup'), e as (select filename, index_loc from p where kind = 'error') select e.filename, e.index_loc, a.at as tag_index from e asof left join a on e.filename = a.filename and e.index_loc >= a.index_loc")
+def asof_backward(spark, sf_dir):
+    """The latest tag at or before each end message."""
+    p = V.pings(spark, sf_dir)
+    left, right = p.where("kind = 'error'").select("filename", "index_loc"), p.where("kind = 'signup'").select("filename", "index_loc")
+    return windows.asof(left, right, "index_loc", ["filename"]).select("filename", "index_loc", F.col("index_loc_asof").alias("tag_index"))
+
+
+@query(f"with {PINGS}, a as (select filename, index_loc, index_loc as at from p where kind = 'view'), e as (select filename, index_loc from p where kind = 'signup') select e.filename, e.index_loc, a.at as ping_index from e asof left join a on e.filename = a.filename and e.index_loc <= a.index_loc")
+def asof_forward(spark, sf_dir):
+    """The first ping at or after each tag."""
+    p = V.pings(spark, sf_dir)
+    left, right = p.where("kind = 'signup'").select("filename", "index_loc"), p.where("kind = 'view'").select("filename", "index_loc")
+    return windows.asof(left, right, "index_loc", ["filename"], forward=True).select("filename", "index_loc", F.col("index_loc_asof").alias("ping_index"))
+
+
+@query(f"with {PINGS}, {SEGMENTS} select filename, index_run_start, seg_name_id, index_loc from pin")
+def filter_to_segment(spark, sf_dir):
+    """Pings on segments."""
+    p = V.pings(spark, sf_dir)
+    return decompose.filter_to_segment(p, V.segment_rows(p)).select("filename", "index_run_start", "seg_name_id", "index_loc")
+
+
+RUNS = f"rn as (select {RK}, route, pattern, max(sec_past_st) - min(sec_past_st) as secs, max(odom_ft) - min(odom_ft) as feet, count(*) as n, min(sec_past_st) as start_secs, min(hour) as hour, min(wday) as wday from p group by {RK}, route, pattern)"
+
+
+def run_rows(p: DataFrame) -> DataFrame:
+    return p.groupBy("filename", "index_run_start", "route", "pattern").agg(
+        values.spread(F.col("sec_past_st")).alias("secs"), values.spread(F.col("odom_ft")).alias("feet"), F.count(F.lit(1)).alias("n"), F.min("sec_past_st").alias("start_secs"), F.min("hour").alias("hour"), F.min("wday").alias("wday")
+    )
+
+
+@query(f"with {PINGS}, {RUNS} select {RK}, secs, feet from rn where not (coalesce(secs < 900000, false) or coalesce(feet / 5280.0::double < 0.5, false))")
+def long_enough_runs(spark, sf_dir):
+    """Runs not known to be short."""
+    r = run_rows(V.pings(spark, sf_dir)).withColumns({"run_duration_from_sec": F.col("secs"), "dist_odom_mi": F.col("feet") / 5280.0})
+    return runs.long_enough(r, 900_000, 0.5).select("filename", "index_run_start", "secs", "feet")
+
+
+@query(f"with {PINGS} select filename, index_loc from p qualify bool_or(coalesce(stop_window = 'E05', false)) over (partition by {RK})")
+def groups_with_window(spark, sf_dir):
+    """All pings of runs that pass a stop window."""
+    return windows.groups_where(V.pings(spark, sf_dir), F.col("stop_window") == "E05", ["filename", "index_run_start"]).select("filename", "index_loc")
+
+
+@query(f"with {PINGS} select filename, index_loc from p where filename in (select filename from p where route = 1)")
+def route_file_filter(spark, sf_dir):
+    """All rows of files that serve a route."""
+    return runs.analysis_files(V.pings(spark, sf_dir), [1]).select("filename", "index_loc")
+
+
+@query(f"with {PINGS}, {SUPPLIERS} select distinct route, pattern from p where not exists (select 1 from su where su.route = p.route and su.pattern = p.pattern and su.stop_id < 4)")
+def missing_patterns(spark, sf_dir):
+    """Patterns without scheduled stops."""
+    s = V.suppliers(spark, sf_dir).where("stop_id < 4")
+    return fieldcheck.exclude(V.pings(spark, sf_dir).select("route", "pattern").distinct(), s, ["route", "pattern"])
+
+
+@query(f"with {PINGS}, a as (select distinct {RK} from p where kind = 'view'), b as (select distinct {RK} from p where kind = 'error') select *, 'left' as only_in from (select * from a except select * from b) union all select *, 'right' from (select * from b except select * from a)")
+def run_set_differences(spark, sf_dir):
+    """Runs that only one of two tables has."""
+    p = V.pings(spark, sf_dir)
+    return fieldcheck.same_keys(p.where("kind = 'view'"), p.where("kind = 'error'"))
+
+
+@query(None)
+def hash_sample_runs(spark, sf_dir):
+    """A repeatable sample of ten runs."""
+    return windows.hash_sample(V.pings(spark, sf_dir), ["filename", "index_run_start"], 10).select("filename", "index_run_start", "index_loc")
+
+
+@query(f"with {PINGS}, {RUNS} select {RK}, secs from rn order by secs desc, filename, index_run_start limit 10")
+def longest_runs(spark, sf_dir):
+    """The ten longest runs."""
+    return quality.top_rows(run_rows(V.pings(spark, sf_dir)), "secs", 10, "filename", "index_run_start").select("filename", "index_run_start", "secs")
+
+
+# Schedule and GTFS
+
+@query("select o_orderkey as pattern_id, o_custkey as route, l_linenumber::bigint as stop_order, l_suppkey as geo_id, s_name as geo_description from orders left join lineitem on l_orderkey = o_orderkey left join supplier on s_suppkey = l_suppkey")
+def schedule_star(spark, sf_dir):
+    """Patterns with their stops and places."""
+    pattern = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Pattern_ID"), F.col("o_custkey").cast("string").alias("Route"), F.lit(1).alias("Pattern"))
+    detail = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("Pattern_ID"), F.col("l_linenumber").cast("long").alias("Stop Order"), F.col("l_suppkey").alias("Geo_ID"))
+    stop = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("Geo_ID"), F.col("s_name").alias("Geo_Description"))
+    out = stops.schedule_star(pattern, detail, stop)
+    return out.select("pattern_id", F.col("route").cast("long").alias("route"), "stop_order", "geo_id", "geo_description")
+
+
+@query("select count(*) filter (s_name is null and l_linenumber <> 1) as n, 'null_place' as \"check\" from lineitem left join supplier on s_suppkey = l_suppkey and s_suppkey % 3 <> 0 union all select count(*) filter (l_returnflag <> 'N'), 'direction' from lineitem union all select count(*) filter (l_linestatus <> 'O'), 'route' from lineitem")
+def schedule_violations(spark, sf_dir):
+    """Rows of a schedule that fail its checks."""
+    s = V.table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select("s_suppkey", F.lit(1.0).alias("stop_lat"), F.lit(1.0).alias("stop_lon"))
+    rows = V.table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    rows = rows.select("stop_lat", "stop_lon", (F.col("l_linenumber") - 1).alias("stop_sort_order"), F.col("l_returnflag").alias("direction"), F.lit("N").alias("pub_direction"), F.col("l_linestatus").alias("route"), F.lit("O").alias("ta_route"))
+    return stops.schedule_violations(rows)
+
+
+@query("select distinct o_orderpriority as route, o_custkey % 7 as pattern, 's' || n_nationkey as seg_name_id from orders join nation on n_nationkey % 5 = length(o_orderpriority) % 5 and n_name <> '' and o_orderstatus = case when n_nationkey % 2 = 0 then 'O' else 'F' end")
+def crosswalk_patterns(spark, sf_dir):
+    """Patterns of segments, from routes and directions."""
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("route"), F.col("o_orderstatus").alias("direction"), (F.col("o_custkey") % 7).alias("pattern"))
+    n = V.table(spark, sf_dir, "nation").select("n_nationkey")
+    names = o.select("route").distinct()
+    cross = n.join(names, F.col("n_nationkey") % 5 == F.length("route") % 5).select("route", F.when(F.col("n_nationkey") % 2 == 0, "O").otherwise("F").alias("direction"), F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("seg_name_id"))
+    return segments.crosswalk_patterns(cross, o)
+
+
+def _gtfs(spark, sf_dir):
+    trips = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 3).alias("route_id"), (F.col("o_orderkey") % 2).alias("direction_id"), F.col("o_orderpriority").alias("trip_headsign"))
+    times = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").cast("long").alias("stop_sequence")).agg(F.min("l_suppkey").alias("stop_id"))
+    return trips, times, V.suppliers(spark, sf_dir).select("stop_id", "x", "y")
+
+
+GT = f"""{SUPPLIERS}, tp as (select o_orderkey as trip_id, o_custkey % 3 as route_id, o_orderkey % 2 as direction_id, o_orderpriority as trip_headsign from orders),
+tm as (select l_orderkey as trip_id, l_linenumber::bigint as stop_sequence, min(l_suppkey) as stop_id from lineitem group by all),
+ts as (select * from tp join tm using (trip_id) join su using (stop_id))"""
+
+
+@query(f"with {GT}, e as (select * from ts qualify row_number() over (partition by trip_id order by stop_sequence) = 1) select route_id, direction_id, stop_id, count(distinct trip_id) as n_trips, array_to_string(list_sort(list(distinct trip_headsign)), '|') as headsigns from e group by all")
+def gtfs_terminals(spark, sf_dir):
+    """First stops of each route and direction."""
+    first, _ = gtfs.terminals(gtfs.trip_stops(*_gtfs(spark, sf_dir)))
+    return first.select("route_id", "direction_id", "stop_id", "n_trips", F.array_join("headsigns", "|").alias("headsigns"))
+
+
+@query(f"with {GT}, s as (select trip_id, string_agg(cast(stop_id as varchar), '_' order by stop_sequence, stop_id) as signature from tm group by all) select signature, min(trip_id) as trip_id, count(*) as n_trips from s group by all")
+def gtfs_trip_signature(spark, sf_dir):
+    """Distinct orders of stops of trips."""
+    return gtfs.unique_signatures(gtfs.trip_signatures(_gtfs(spark, sf_dir)[1]))
+
+
+GN = f"""{PINGS}, {SUPPLIERS}, gs as (select stop_id, route, stop_sort_order as stop_sequence, x, y from su where pattern = 0),
+gj as (select {RK}, index_loc, stop_id, stop_sequence, sqrt((p.x - gs.x) * (p.x - gs.x) + (p.y - gs.y) * (p.y - gs.y)) as d from p join gs using (route)),
+gn as (select * from gj qualify row_number() over (partition by {RK}, stop_id, stop_sequence order by d, index_loc) = 1)"""
+
+
+def _gtfs_near(spark, sf_dir):
+    s = V.suppliers(spark, sf_dir).where("pattern = 0").select("stop_id", "route", F.col("stop_sort_order").alias("stop_sequence"), "x", "y")
+    return gtfs.nearest_gtfs_stop(s, V.pings(spark, sf_dir))
+
+
+@query(f"with {GN} select {RK}, stop_id, stop_sequence, index_loc, round(d, 6) as dist_to_nearest_point from gn")
+def gtfs_nearest_stops(spark, sf_dir):
+    """The ping nearest to each stop of a run's route."""
+    return r6(_gtfs_near(spark, sf_dir).select("filename", "index_run_start", "stop_id", "stop_sequence", "index_loc", "dist_to_nearest_point"))
+
+
+@query(f"""with {GN}, a as (select * from gn where d < 3000 qualify index_loc = min(index_loc) over (partition by {RK}, stop_sequence)), b as (select * from a qualify d = min(d) over (partition by {RK}, stop_sequence)),
+c as (select *, coalesce(lag(index_loc) over (partition by {RK} order by stop_sequence, stop_id) >= index_loc, false) as bad from b)
+select {RK}, stop_id, stop_sequence, index_loc from c qualify not bool_or(bad) over (partition by {RK})""")
+def gtfs_stops_on_route(spark, sf_dir):
+    """Stops near enough, of runs in order."""
+    return gtfs.stops_on_route(_gtfs_near(spark, sf_dir), 3000.0).select("filename", "index_run_start", "stop_id", "stop_sequence", "index_loc")
+
+
+def _terminals(spark, sf_dir, rest: int):
+    """One terminal of each route and direction."""
+    s = V.suppliers(spark, sf_dir).where(F.col("stop_id") % 4 == rest)
+    return windows.keep_one(s, ["route", "pattern"], ["stop_id"]).select("route", F.col("pattern").alias("direction_id"), "stop_id", "x", "y")
+
+
+def _terminal_sql(rest: int, name: str) -> str:
+    return f"""{name} as (select route, pattern as direction_id, stop_id, x, y from su where stop_id % 4 = {rest} qualify row_number() over (partition by route, pattern order by stop_id) = 1),
+{name}j as (select {RK}, index_loc, direction_id, {name}.stop_id, sqrt((p.x - {name}.x) * (p.x - {name}.x) + (p.y - {name}.y) * (p.y - {name}.y)) as d from p join {name} using (route)),
+{name}n as (select * from {name}j qualify row_number() over (partition by {RK}, direction_id order by d, index_loc) = 1)"""
+
+
+@query(f"""with {PINGS}, {SUPPLIERS}, {_terminal_sql(0, 'ft')}, {_terminal_sql(3, 'lt')}, a as (select * from ftn where d <= 5280 qualify index_loc = min(index_loc) over (partition by {RK})),
+a2 as (select *, (select count(distinct direction_id) from a b where b.filename = a.filename and b.index_run_start = a.index_run_start) as nd from a),
+l2 as (select {RK}, direction_id, max(index_loc) as last_index from ltn where d <= 5280 group by all)
+select {RK}, direction_id from a2 left join l2 using ({RK}, direction_id) where nd = 1 or last_index is not null qualify row_number() over (partition by {RK} order by last_index desc nulls last, d, direction_id) = 1""")
+def gtfs_direction(spark, sf_dir):
+    """Each run's direction, from its terminals."""
+    p = V.pings(spark, sf_dir)
+    near = lambda rest: nearest.nearest_ping(_terminals(spark, sf_dir, rest), p, ["direction_id", "stop_id"], on=["route"])
+    return gtfs.direction(near(0), near(3))
+
+
+@query(f"""with {PINGS}, {SUPPLIERS}, ft as (select route, x, y from su where pattern = 0 qualify row_number() over (partition by route order by stop_id) = 1), lt as (select route, x, y from su where pattern = 0 qualify row_number() over (partition by route order by stop_id desc) = 1),
+b as (select {RK}, arg_min(index_loc, row(sqrt((p.x - ft.x) * (p.x - ft.x) + (p.y - ft.y) * (p.y - ft.y)), index_loc)) as lo, arg_min(index_loc, row(sqrt((p.x - lt.x) * (p.x - lt.x) + (p.y - lt.y) * (p.y - lt.y)), index_loc)) as hi from p join ft using (route) join lt using (route) group by all)
+select {RK}, max(odom_ft) - min(odom_ft) as feet, max(sec_past_st) - min(sec_past_st) as secs, count(*) as n_pings from p join b using ({RK}) where index_loc between lo and hi group by all""")
+def terminal_trim(spark, sf_dir):
+    """Runs trimmed to their terminals, summed up."""
+    s = V.suppliers(spark, sf_dir).where("pattern = 0")
+    first, last = windows.keep_one(s, ["route"], ["stop_id"]), windows.keep_last(s, ["route"], ["stop_id"])
+    return gtfs.gtfs_summary(gtfs.trim_to_terminals(V.pings(spark, sf_dir), first, last))
+
+
+@query(f"""with {PINGS}, {SUPPLIERS}, f as (select * from p qualify row_number() over (partition by {RK} order by index_loc) = 1),
+j as (select {RK}, su.stop_id, sqrt((f.x - su.x) * (f.x - su.x) + (f.y - su.y) * (f.y - su.y)) as d from f join su using (route)) select {RK}, stop_id, round(d, 6) as dist from j qualify row_number() over (partition by {RK} order by d, stop_id) = 1""")
+def terminal_match(spark, sf_dir):
+    """The stop closest to each run's first ping."""
+    first = windows.keep_one(V.pings(spark, sf_dir), ["filename", "index_run_start"], ["index_loc"])
+    return r6(nearest.terminal_match(first, V.suppliers(spark, sf_dir).select("route", "stop_id", "x", "y")).select("filename", "index_run_start", "stop_id", "dist"))
+
+
+# Field observations
+
+FIELD = f"fo as (select event_id as obs_id, route, user_id as bus_id, sec_past_st + event_id % 3000 - 1500 as obs_secs from p where kind = 'error'), pa as (select filename, index_run_start, route, user_id as bus_id, index_loc, sec_past_st as pass_secs from p where kind = 'purchase')"
+
+
+def _field(spark, sf_dir):
+    p = V.pings(spark, sf_dir)
+    field = p.where("kind = 'error'").select(F.col("event_id").alias("obs_id"), "route", F.col("user_id").alias("bus_id"), (F.col("sec_past_st") + F.col("event_id") % 3000 - 1500).alias("obs_secs"))
+    passes = p.where("kind = 'purchase'").select("filename", "index_run_start", "route", F.col("user_id").alias("bus_id"), "index_loc", F.col("sec_past_st").alias("pass_secs"))
+    return field, passes
+
+
+@query(f"with {PINGS}, {FIELD} select obs_id, index_loc, pass_secs - obs_secs as delta from fo join pa using (route, bus_id) where abs(pass_secs - obs_secs) <= 40000")
+def field_match(spark, sf_dir):
+    """Observations and passes close in time."""
+    return fieldcheck.match_by_time(*_field(spark, sf_dir), "obs_secs", "pass_secs", 40_000).select("obs_id", "index_loc", "delta")
+
+
+@query(f"with {PINGS}, {FIELD} select obs_id, index_loc, pass_secs + 300 - obs_secs as delta from fo join pa using (route, bus_id) where pass_secs < obs_secs and abs(pass_secs + 300 - obs_secs) < 40000")
+def field_match_by_start(spark, sf_dir):
+    """Observations and passes that began before, with an estimated time near."""
+    field, passes = _field(spark, sf_dir)
+    passes = passes.withColumn("approx", F.col("pass_secs") + 300)
+    return fieldcheck.match_by_start(field, passes, "obs_secs", "pass_secs", "approx", 40_000).select("obs_id", "index_loc", "delta")
+
+
+@query(f"with {PINGS}, {FIELD}, m as (select distinct obs_id from fo join pa using (route, bus_id) where abs(pass_secs - obs_secs) <= 40000) select obs_id, (m.obs_id is not null)::bigint as has_run, (obs_id % 2 = 0)::bigint as has_even from fo left join m using (obs_id)")
+def field_coverage(spark, sf_dir):
+    """All observations, with what was found for them."""
+    field, passes = _field(spark, sf_dir)
+    matched = fieldcheck.match_by_time(field, passes, "obs_secs", "pass_secs", 40_000)
+    return fieldcheck.coverage(field, ["obs_id"], run=matched, even=field.where("obs_id % 2 = 0")).select("obs_id", "has_run", "has_even")
+
+
+@query(f"with {PINGS}, {FIELD} select route, round(regr_slope(pass_secs, obs_secs), 6) as slope, round(regr_intercept(pass_secs, obs_secs), 3) as intercept, round(regr_r2(pass_secs, obs_secs), 6) as r2, regr_count(pass_secs, obs_secs) as n from fo join pa using (route, bus_id) where abs(pass_secs - obs_secs) <= 40000 group by all")
+def field_trend(spark, sf_dir):
+    """Computed over observed times, a line for each route."""
+    pairs = fieldcheck.match_by_time(*_field(spark, sf_dir), "obs_secs", "pass_secs", 40_000)
+    out = fieldcheck.trend(pairs, "pass_secs", "obs_secs", ["route"])
+    return out.select("route", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"), F.col("n").cast("long").alias("n"))
+
+
+@query(f"with {PINGS}, r as (select distinct {RK} from p), v as (select distinct {RK} from p where kind = 'view'), e as (select distinct {RK} from p where kind = 'error'), w as (select distinct {RK} from p where stop_window = 'E05') select r.*, case when v.filename is null then 'view' when e.filename is null then 'error' when w.filename is null then 'window' end as lost_at from r left join v using ({RK}) left join e using ({RK}) left join w using ({RK})")
+def attrition_audit(spark, sf_dir):
+    """The first step that loses each run."""
+    p = V.pings(spark, sf_dir)
+    return fieldcheck.attrition_audit(p, {"view": p.where("kind = 'view'"), "error": p.where("kind = 'error'"), "window": p.where("stop_window = 'E05'")})
+
+
+@query(f"with {PINGS}, {RUNS} select '00_all' as stage, count(*) as n_runs from rn union all select '01_long', count(*) from rn where secs >= 900000 union all select '02_far', count(*) from rn where secs >= 900000 and feet >= 3000")
+def filter_funnel(spark, sf_dir):
+    """Runs left after each filter."""
+    r = run_rows(V.pings(spark, sf_dir))
+    long = r.where("secs >= 900000")
+    return fieldcheck.filter_funnel({"all": r, "long": long, "far": long.where("feet >= 3000")})
+
+
+# Quality tables
+
+@query(f"with {PINGS} select hour, wday, count(*) filter (stop_window is not null) as n_kept, count(*) as n_all, round(count(*) filter (stop_window is not null) * 100.0::double / count(*), 6) as percent from p group by all")
+def hour_weekday_coverage(spark, sf_dir):
+    """Shares of pings in stop windows by hour and weekday."""
+    return r6(quality.hour_weekday_coverage(V.pings(spark, sf_dir), F.col("stop_window").isNotNull()))
+
+
+PERIOD = "case when hour >= 23 then 'late night' when hour >= 19 then 'evening' when hour >= 15 then 'pm peak' when hour >= 9 then 'midday' when hour >= 6 then 'am peak' when hour >= 4 then 'early am' else 'late night' end"
+
+
+@query(f"with {PINGS}, {RUNS}, q as (select *, {PERIOD} as period from rn) select route, pattern, round(avg(secs) filter (period = 'late night'), 6) as late_night, round(avg(secs) filter (period = 'am peak'), 6) as am_peak, round(avg(secs) filter (period = 'midday'), 6) as midday from q group by all")
+def runtime_by_period(spark, sf_dir):
+    """Mean run time by period of the day."""
+    r = run_rows(V.pings(spark, sf_dir)).withColumn("period", values.period(F.col("hour")))
+    out = quality.runtime_by_period(r, ["late night", "am peak", "midday"])
+    return r6(out.withColumnsRenamed({"late night": "late_night", "am peak": "am_peak"}))
+
+
+STATE = LEADS.format(src="p", keys=RK)
+
+
+@query(f"with {PINGS}, {STATE}, q as (select *, case when fps_next is null then 'undefined' when fps_next > 0 then 'moving' else 'stopped' end as speed_state from sf) select speed_state, count(*) filter (veh_state = 'M' and door_state = 'C') as m_c, count(*) filter (veh_state = 'M' and door_state = 'O') as m_o, count(*) filter (veh_state = 'S' and door_state = 'C') as s_c, count(*) filter (veh_state = 'S' and door_state = 'O') as s_o from q group by all")
+def state_speed_crosstab(spark, sf_dir):
+    """Speed state by vehicle and door state."""
+    return quality.state_crosstab(V.pings(spark, sf_dir))
+
+
+@query(f"with {PINGS}, q as (select veh_state || '_' || door_state as from_state, lead(veh_state || '_' || door_state) over (partition by {RK} order by index_loc) as to_state from p) select from_state, to_state, count(*) as n from q where to_state is not null group by all")
+def state_changes(spark, sf_dir):
+    """Which state follows which."""
+    return quality.state_changes(V.pings(spark, sf_dir))
+
+
+@query(f"with {PINGS}, {STATE}, q as (select * from sf where veh_state = 'S' and secs_marg is not null) select route, cast(sum(secs_marg) as bigint) as stopped_secs, cast(sum(case when stop_window is not null then secs_marg else 0 end) as bigint) as inside_secs, round(sum(case when stop_window is not null then secs_marg else 0 end) / (case when sum(secs_marg) <> 0 then sum(secs_marg) end)::double, 6) as share from q group by all")
+def stopped_in_window_share(spark, sf_dir):
+    """Share of stopped time inside stop windows."""
+    return r6(quality.stopped_in_window_share(V.pings(spark, sf_dir)))
+
+
+@query(f"with {PINGS}, {RUNS} select route, pattern, count(*) as n_runs from rn where secs >= 900000 group by all")
+def usable_runs(spark, sf_dir):
+    """Usable runs by pattern."""
+    return quality.usable_runs(run_rows(V.pings(spark, sf_dir)).where("secs >= 900000"))
+
+
+@query(f"with {PINGS} select {RK}, count(*) as n, count(*) filter (stop_window is null) as null_stop_window, count(*) filter (lat is null) as null_lat, count(*) filter (lat = 0 or long = 0) as zero_place from p group by all")
+def completeness(spark, sf_dir):
+    """Nulls and zero places of each run."""
+    return quality.completeness(V.pings(spark, sf_dir), ["stop_window", "lat"], windows.RUN)
+
+
+GPS = f"g1 as (select *, sqrt((x - lag(x) over w) * (x - lag(x) over w) + (y - lag(y) over w) * (y - lag(y) over w)) as gps_step, odom_ft - lag(odom_ft) over w as odom_step from p window w as (partition by {RK} order by index_loc))"
+
+
+@query(f"with {PINGS}, {GPS} select {RK}, count(*) filter (odom_step > 10 and gps_step < 1) as only_odometer, count(*) filter (odom_step < 1 and gps_step > 10) as only_gps from g1 group by all")
+def gps_odo_gap(spark, sf_dir):
+    """Steps that only one of odometer and GPS has."""
+    return quality.gps_odo_gap(V.pings(spark, sf_dir))
+
+
+@query(f"with {PINGS}, {GPS}, g2 as (select *, sum(gps_step) over (partition by {RK} order by index_loc rows unbounded preceding) as gps_total from g1) select filename, index_loc, round(gps_total, 4) as gps_total, round(odom_step - gps_step, 4) as step_difference, round(odom_ft - min(odom_ft) over (partition by {RK}) - gps_total, 4) as total_difference from g2")
+def cumulative_gps_distance(spark, sf_dir):
+    """GPS distance so far against the odometer."""
+    out = quality.gps_distance(V.pings(spark, sf_dir))
+    return out.select("filename", "index_loc", *(F.round(c, 4).alias(c) for c in ("gps_total", "step_difference", "total_difference")))
+
+
+@query(f"with {PINGS}, s as (select *, sec_past_st - lag(sec_past_st) over w as t, odom_ft - lag(odom_ft) over w as d from p window w as (partition by {RK} order by index_loc)), f as (select *, case when t <> 0 then d / t::double end as fps from s), a as (select *, fps - lag(fps) over (partition by {RK} order by index_loc) as df from f) select filename, index_loc, round(fps, 6) as fps, round(case when t <> 0 then df / t end, 6) as accel from a")
+def speeds_and_accelerations(spark, sf_dir):
+    """Speed and acceleration from the row before."""
+    out = quality.speeds_and_accelerations(V.pings(spark, sf_dir))
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c)).alias(c)
+    return r6(out.select("filename", "index_loc", finite("fps"), finite("accel")))
+
+
+@query(f"with {PINGS}, {STATE}, n as (select *, fps_next is null as u from sf) select filename, index_loc, u and (coalesce(lag(u) over w, false) or coalesce(lead(u) over w, false)) as undefined_pair from n window w as (partition by {RK} order by index_loc)")
+def undefined_speed_pairs(spark, sf_dir):
+    """Rows without a speed next to others."""
+    return quality.undefined_speed_pairs(V.pings(spark, sf_dir)).select("filename", "index_loc", "undefined_pair")
+
+
+@query(f"with {PINGS}, {STATE}, q as (select *, case when isinf(fps_next) then null else fps_next end as v, row_number() over (partition by {RK} order by index_loc) as rn from sf) select filename, index_loc, round(case when rn >= 3 then avg(v) over (partition by {RK} order by index_loc rows between 2 preceding and current row) end, 6) as mean_fps from q")
+def rolling_mean_speed(spark, sf_dir):
+    """Mean of the last three speeds."""
+    p = windows.rolling_speeds(V.pings(spark, sf_dir)).withColumn("v", F.when(F.abs("fps_next") < float("inf"), F.col("fps_next")))
+    return r6(p.select("filename", "index_loc", windows.rolling_mean(F.col("v"), 3).alias("mean_fps")))
+
+
+BAND = "case when hour >= 19 then 'other' when hour >= 15 then 'pm' when hour >= 10 then 'midday' when hour >= 6 then 'am' else 'other' end"
+
+
+@query(f"with {PINGS}, {RUNS}, q as (select *, {BAND} as band from rn) select {RK}, wday, band from q qualify row_number() over (partition by wday, band order by start_secs, filename, index_run_start) <= 5")
+def first_n_trips(spark, sf_dir):
+    """The first five runs of each weekday and band."""
+    r = run_rows(V.pings(spark, sf_dir)).withColumn("band", values.period(F.col("hour"), values.BANDS))
+    return windows.first_rows(r, 5, ["wday", "band"], ["start_secs", "filename", "index_run_start"]).select("filename", "index_run_start", "wday", "band")
+
+
+@query(f"with {PINGS}, {RUNS}, q as (select *, {BAND} as band from rn), k as (select {RK} from q qualify row_number() over (partition by wday, band order by start_secs, filename, index_run_start) <= 2) select filename, index_loc, odom_ft - min(odom_ft) over (partition by {RK}) as feet, sec_past_st - min(sec_past_st) over (partition by {RK}) as secs from p semi join k using ({RK})")
+def timespace(spark, sf_dir):
+    """Zero-based trajectories of the first runs."""
+    p = V.pings(spark, sf_dir)
+    r = run_rows(p).withColumn("band", values.period(F.col("hour"), values.BANDS)).select("filename", "index_run_start", "start_secs", "band", F.col("wday").alias("run_wday"))
+    out = quality.timespace(p.join(r, ["filename", "index_run_start"]), 2, by=("run_wday", "band"))
+    return out.select("filename", "index_loc", "feet", "secs")
+
+
+@query(IN_SEG + f", g as (select {SEGK}, (max(odom_ft) - min(odom_ft)) / (case when max(sec_past_st) <> min(sec_past_st) then max(sec_past_st) - min(sec_past_st) end)::double as v from pin group by all) select seg_name_id, round(quantile_cont(v, 0.02), 6) as p02, round(quantile_cont(v, 0.25), 6) as p25, round(quantile_cont(v, 0.5), 6) as p50, round(quantile_cont(v, 0.75), 6) as p75, round(quantile_cont(v, 0.98), 6) as p98 from g group by all")
+def segment_mean_speeds(spark, sf_dir):
+    """Percentiles of mean speeds on segments."""
+    p = V.pings(spark, sf_dir)
+    return r6(quality.segment_mean_speeds(decompose.filter_to_segment(p, V.segment_rows(p)), decompose.SEG))
+
+
+@query(IN_SEG + " select seg_name_id, round(quantile_cont(fps_next, 0.05), 6) as p05, round(quantile_cont(fps_next, 0.5), 6) as p50, round(quantile_cont(fps_next, 0.95), 6) as p95 from sf where fps_next is not null and not isinf(fps_next) group by all")
+def ping_speed_percentiles(spark, sf_dir):
+    """Percentiles of ping-to-ping speeds."""
+    p = V.pings(spark, sf_dir)
+    return r6(quality.ping_speed_percentiles(decompose.filter_to_segment(p, V.segment_rows(p)), decompose.SEG))
+
+
+@query("select l_returnflag, l_linestatus, count(l_quantity) as n, round(avg(l_quantity), 6) as mean, round(stddev_samp(l_quantity), 6) as std, min(l_quantity) as min, quantile_cont(l_quantity, 0.25) as p25, quantile_cont(l_quantity, 0.5) as p50, quantile_cont(l_quantity, 0.75) as p75, max(l_quantity) as max from lineitem group by all")
+def describe_by(spark, sf_dir):
+    """Distribution of a measure by group."""
+    return r6(quality.describe_by(V.table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"]))
+
+
+@query("select event_id, cast(strftime(ts, '%H')::int * 3600 + strftime(ts, '%M')::int * 60 + strftime(ts, '%S')::int as double) as hms, cast(strftime(ts, '%M')::int * 60 + strftime(ts, '%S')::int as double) as ms, cast(strftime(ts, '%S')::int as double) as s, cast(null as double) as bad, strftime(ts - interval 1 day, '%Y-%m-%d') as service_date, case event_type when 'view' then 'V' when 'click' then 'C' else event_type end as code from events")
+def time_parsing(spark, sf_dir):
+    """Seconds of times of day in several forms, service dates and labels."""
+    e = V.table(spark, sf_dir, "events")
+    at = lambda fmt: values.seconds_of(F.date_format("ts", fmt))
+    return e.select("event_id", at("HH:mm:ss").alias("hms"), at("mm:ss").alias("ms"), at(":ss").alias("s"), values.seconds_of(F.lit("n/a")).alias("bad"), F.date_format(values.service_date(F.date_format("ts", "yyMMdd")), "yyyy-MM-dd").alias("service_date"), values.label(F.col("event_type"), {"view": "V", "click": "C"}).alias("code"))
+
+
+@query(f"with {PINGS} select filename, index_loc, cast((sec_past_st + 3600) % 86400 as bigint) as secs_past_midnight from p where (sec_past_st + 3600) % 86400 between 21600 and 64800")
+def reading_times(spark, sf_dir):
+    """Readings of the day's hours, by their seconds past midnight."""
+    p = V.pings(spark, sf_dir).withColumn("start_date_time", F.timestamp_seconds(F.lit(3600)))
+    out = fieldcheck.between_times(legacy.reading_times(p), "gps_reading_dtm", "06:00:00", "18:00:00")
+    return out.select("filename", "index_loc", F.col("secs_past_midnight").cast("long").alias("secs_past_midnight"))
