@@ -51,6 +51,25 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+BITMAP_BITS = 26
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bit for the low bits of each value of a long column: 2 ** BITMAP_BITS bits however many values there are."""
+    low = F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)
+    cells = hashes.select(F.shiftright(low, 6).alias("cell"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
+    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    bits[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return bits.view(np.uint64)
+
+
+def probe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes whose bit is set."""
+    low = hashes & np.uint64((1 << BITMAP_BITS) - 1)
+    return np.flatnonzero((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a fixed number of words."""
 

@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.llm._shared import ROW_BITS, covered, forget, hash_windows, hash_words, materialize, text_batches
+from transitlake.llm._shared import ROW_BITS, covered, hash_windows, hash_words, materialize, probe, text_batches
+from transitlake.llm._shared import bitmap as bitmap_of
 
 WINDOW = 10
 SHINGLE = 3
-BITMAP_BITS = 26
 
 _KEEP = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
@@ -71,21 +71,6 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(cut, _WINDOWS)
 
 
-def _bitmap(shingles: DataFrame) -> np.ndarray:
-    """A bit for each shingle's low bits: 2 ** BITMAP_BITS bits however many shingles there are."""
-    low = F.col("shingle").bitwiseAND((1 << BITMAP_BITS) - 1)
-    cells = shingles.select(F.shiftright(low, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(shingle & 63 as int))").alias("bit"))
-    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bits[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return bits.view(np.uint64)
-
-
-def _probe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    low = hashes & np.uint64((1 << BITMAP_BITS) - 1)
-    return np.flatnonzero((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1))
-
-
 def _counts(documents: DataFrame, bitmap, sizes: list[int]) -> DataFrame:
     """How often each shingle of the benchmark (and a few that share its bits) occurs in all documents."""
 
@@ -96,7 +81,7 @@ def _counts(documents: DataFrame, bitmap, sizes: list[int]) -> DataFrame:
                 hashes = hash_words(words(text))
                 for k in sizes:
                     grams = hash_windows(hashes, k)
-                    found.append(grams[_probe(bitmap.value, grams)])
+                    found.append(grams[probe(bitmap.value, grams)])
             shingle, n = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n, pa.int64())], ["shingle", "n"])
 
@@ -116,7 +101,7 @@ def _occurrences(documents: DataFrame, bitmap, sizes: list[int], window: int) ->
                 hashes, own = hash_words(ws), []
                 for k in sizes:
                     grams = hash_windows(hashes, k)
-                    for i in _probe(bitmap.value, grams).tolist():
+                    for i in probe(bitmap.value, grams).tolist():
                         first = max(0, i - window + k)
                         around = [w.decode("utf-8", "replace") for w in ws[first : i + window]]
                         own.append({"shingle": int(grams[i].view(np.int64)), "at": i, "before": i - first, "around": around})
@@ -138,14 +123,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     sizes = [r[0] for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().collect()]
     inside = windows.select("size", "words", "items", F.explode("shingles").alias("s")).select("size", "words", "items", "s.*")
 
-    bitmap = spark.sparkContext.broadcast(_bitmap(inside.select("shingle")))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(inside, "shingle"))
     counts = materialize(_counts(documents, bitmap, sizes).join(inside.select("shingle").distinct(), "shingle", "left_semi"), "shingle-counts")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("prefix")
     prefixes = inside.join(counts, "shingle", "left").groupBy("size", "words", "items").agg(rarest)
     prefixes = prefixes.where("prefix.n > 0").select("size", "words", "items", F.col("prefix.shingle").alias("shingle"), F.col("prefix.at").alias("offset"))
     prefixes = materialize(prefixes, "window-prefixes")
 
-    bitmap = spark.sparkContext.broadcast(_bitmap(prefixes.select("shingle")))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(prefixes, "shingle"))
     found = materialize(_occurrences(documents, bitmap, sizes, window), "prefix-places")
     places = found.select("row", "n_words", F.explode("found").alias("p")).select("row", "n_words", "p.*")
     start = F.col("at") - F.col("offset")
