@@ -6,10 +6,11 @@
    function split into buckets: short documents would leave most buckets empty.)
 3. Banding: BANDS bands of ROWS compressed registers. At a similarity of 0.75 a pair misses all bands with a
    probability of (1 - 0.75 ** 3) ** 32 < 3e-8.
-4. In a bucket, pairs are not spelled out. Each round gives a bucket one leader and pairs it with the members that are
-   not yet in its component; that is linear. Then only buckets with more than one component are left, and their
-   pairs across components are checked exactly when they are few against the rows, or when rounds are used up.
-   So no link between different components is lost.
+4. In a bucket, pairs are not spelled out. Two rounds give each bucket a leader, the member that shares most buckets,
+   and pair it with the members that are not yet in its component; that is linear. Then only buckets with more than one
+   component matter. Their documents' pairs across components are found by an exact filter: shingles are ordered by
+   rarity, and a link needs a common shingle within the first quarter of both sets, at places that leave room for the
+   overlap. A large group of copies thus costs little, and no link between different components is lost.
 5. A pair is estimated from its registers, corrected for registers that agree by chance, and drops out well below the
    threshold. The rest is confirmed on full sets of 64-bit shingle hashes.
 6. Links are joined to components by alternating star contraction.
@@ -23,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm._shared import forget, hash_windows, hash_words, lower_ascii, materialize, release_shuffles, space_words, text_batches
+from transitlake.llm._shared import bitmap, forget, hash_windows, hash_words, lower_ascii, materialize, probe, release_shuffles, space_words, text_batches
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
@@ -35,9 +36,9 @@ HASHES = ROWS * BANDS
 MANTISSA = 10
 #: Pairs whose estimate is below this are dropped: six standard deviations under 0.75 at 96 registers.
 ESTIMATE_FLOOR = 0.48
-LEADER_ROUNDS = 4
-#: Cross pairs for each row of the sketch table that may be checked at once before the leader rounds are used up.
-PAIRS_A_ROW = 4
+LEADER_ROUNDS = 2
+#: Rarity is counted in a table of this many slots; shingles that share one only look more frequent.
+RARITY_BITS = 20
 
 _random = np.random.default_rng(20240131)
 _XOR = _random.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,25 +110,31 @@ def sketches(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     return documents.mapInArrow(of, "doc_id long, n_shingles long, address long, registers binary, bands array<long>")
 
 
+def _written_once(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges written to the shared folder, and a fingerprint of them taken on the way."""
+    seen = Observation()
+    own = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    out = materialize(own, "links")
+    return out, (seen.get["n"], seen.get["sum"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node in links (a, b); alternating stars."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    edges, mark = _written_once(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour hangs on the smallest in the neighbourhood.
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: smaller neighbours and the node itself hang on the smallest.
-        large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        new = materialize(small.where("a <> b").distinct(), "links")
-        changed = not new.exceptAll(edges).isEmpty() or not edges.exceptAll(new).isEmpty()
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        new, new_mark = _written_once(small.where("a <> b").distinct())
         forget(edges)
         edges = new
-        if not changed:
+        if new_mark == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        mark = new_mark
 
 
 def confirm(pairs: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,14 +167,64 @@ def confirm(pairs: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """bucket, doc_id, component of buckets that still hold more than one component."""
+    """bucket, doc_id, mass, component of buckets that still hold more than one component."""
     nodes = components(links)
     own = buckets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    own = own.select("bucket", "doc_id", "mass", F.coalesce("component", "doc_id").alias("component"))
     mixed = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return materialize(own.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed-buckets")
 
 
+def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be links, by the shingles that a link needs in common.
+
+    A set of n has its shingles ordered by rarity. Sets that reach the threshold share one of the first
+    n - ceil(0.75 n) + 1 of each, and behind the first they share there is room for their overlap. Any order that is
+    the same for all sets will do, so rarity may be counted roughly.
+    """
+    top, of = THRESHOLD
+    spark = mixed.sparkSession
+    named = mixed.groupBy("doc_id").agg(F.first("component").alias("component"))
+    own = materialize(sets.join(named, "doc_id").select("doc_id", "component", "shingles"), "mixed-sets")
+
+    def count(batches):
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles").to_pylist():
+                np.add.at(total, (np.frombuffer(x, np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
+
+    rows = own.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** RARITY_BITS rows
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(counts)
+
+    def prefixes(batches):
+        for batch in batches:
+            out = [np.empty(0, np.int64)] * 5
+            parts = []
+            for doc, component, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "component", "shingles")), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                n = len(x)
+                often = sent.value[(x >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
+                order = np.lexsort((x, often))[: n - -(-top * n // of) + 1]
+                at = np.flatnonzero(often[order] > 1)  # what is counted once is in no other set
+                parts.append((x[order[at]].view(np.int64), np.full(len(at), doc), np.full(len(at), component), np.full(len(at), n), at))
+            if parts:
+                out = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["shingle", "doc_id", "component", "n", "at"])
+
+    rare = materialize(own.mapInArrow(prefixes, "shingle long, doc_id long, component long, n long, at long"), "rare-shingles")
+    side = lambda x: rare.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n", "at")))
+    a, b = side("a"), side("b")
+    overlap = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("component_a") < F.col("component_b")) & (F.least("n_a", "n_b") * of >= F.greatest("n_a", "n_b") * top)
+    fits = fits & (overlap * (top + of) >= (F.col("n_a") + F.col("n_b")) * top)
+    pairs = a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
+    return pairs.distinct()
+
+
 def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(sketch table of all rows with the class each is shown by, links between shown documents)."""
     spark: SparkSession = documents.sparkSession
@@ -176,48 +233,40 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
     shown = materialize(shown, "classes")
     sketched = every.join(shown.select("address", "n_shingles", F.col("shown").alias("doc_id")), ["address", "n_shingles", "doc_id"], "left_semi")
     sketched = materialize(sketched.select("doc_id", "n_shingles", "registers", "bands").dropDuplicates(["doc_id", "n_shingles", "registers"]), "shown-sketches")
-    rows = sketched.count()
 
     bands = sketched.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    buckets = materialize(bands.join(shared.select("bucket"), "bucket", "left_semi"), "buckets")
-    named = buckets.select("doc_id").distinct()
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs_of = materialize(bands.join(shared, "bucket"), "shared-buckets")
+    mass = pairs_of.groupBy("doc_id").agg(F.sum("n").alias("mass"))
+    buckets = materialize(pairs_of.join(mass, "doc_id").select("bucket", "doc_id", "mass"), "buckets")
+    forget(pairs_of)
+    named = spark.sparkContext.broadcast(bitmap(buckets, "doc_id"))
 
     def full(batches):
         for ids, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(t, size).tobytes() for t in texts], pa.binary())], ["doc_id", "shingles"])
+            wanted = probe(named.value, np.array([i or 0 for i in ids.to_pylist()], np.int64).view(np.uint64)).tolist()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(wanted, pa.int64())), pa.array([shingle_set(texts[i], size).tobytes() for i in wanted], pa.binary())], ["doc_id", "shingles"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named.hint("shuffle_hash"), "doc_id", "left_semi")
+    # Documents without a shared bucket are left out before anything moves; a few may pass.
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     sets = materialize(texts.mapInArrow(full, "doc_id long, shingles binary"), "candidate-sets")
     release_shuffles(spark)
 
     links = spark.createDataFrame([], "a long, b long")
-    tried = links
     mixed = buckets.withColumn("component", F.col("doc_id"))
-    for turn in range(LEADER_ROUNDS + 1):
-        by = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        cross = by.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-        if not cross:
-            break
-        last = turn == LEADER_ROUNDS or (turn > 0 and cross <= PAIRS_A_ROW * rows)
-        if last:
-            other = mixed.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-            pairs = mixed.join(other, "bucket").where("component < other").select(F.col("doc_id").alias("a"), "b")
-        else:
-            # The first leader is the smallest; later ones differ from round to round.
-            order = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
-            leaders = mixed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id", F.col("component").alias("c"))).alias("l"))
-            leaders = leaders.select("bucket", F.col("l.doc_id").alias("a"), F.col("l.c").alias("other"))
-            pairs = mixed.join(leaders, "bucket").where("component <> other").select("a", F.col("doc_id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(confirm(pairs, sketched, sets), "confirmed")
-        links, tried = links.unionByName(found), tried.unionByName(pairs)
+    for turn in range(LEADER_ROUNDS):
+        lead = F.max(F.struct("mass", (-F.col("doc_id")).alias("o"), F.col("component").alias("c")))
+        led = mixed.groupBy("bucket").agg(lead.alias("l"))
+        if turn:  # the next leader is of another component than the first
+            first = led.select("bucket", F.col("l.c").alias("c"))
+            led = mixed.join(first, "bucket").where("component <> c").drop("c").groupBy("bucket").agg(lead.alias("l"))
+        led = led.select("bucket", (-F.col("l.o")).alias("a"), F.col("l.c").alias("other"))
+        pairs = mixed.join(led, "bucket").where("component <> other").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+        links = links.unionByName(materialize(confirm(materialize(pairs.distinct(), "pairs"), sketched, sets), "confirmed"))
         release_shuffles(spark)
-        if last:
-            break
-        mixed = _labelled(buckets if not turn else mixed.select("bucket", "doc_id"), links)
-    forget(sets)
+        mixed = _labelled(buckets if not turn else mixed.drop("component"), links)
+    links = links.unionByName(materialize(confirm(materialize(_across(mixed, sets), "pairs"), sketched, sets), "confirmed"))
+    release_shuffles(spark)
     return every.join(shown, ["address", "n_shingles"], "left"), links
 
 
