@@ -2,4 +2,48 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+
+def _words(pattern: str, lower: bool) -> str:
+    text = "coalesce(text, '')"
+    return f"regexp_extract_all({f"translate({text}, '{UPPER}', '{LOWER}')" if lower else text}, '{pattern}')"
+
+
+SQL: dict[str, str] = {
+    "op1_decontaminate": f"""
+with d as (select doc_id, {_words(_PLAIN, True)} as w from documents),
+b as (select item_id, {_words(_PLAIN, True)} as w from benchmark where item_id is not null),
+win as (select distinct item_id, least(10, len(w)) as k, w[i : i + least(10, len(w)) - 1] as win from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+dw as (select doc_id, k, i, w[i : i + k - 1] as win from (select doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) as i from d, (select distinct k from win))),
+hit as (select doc_id, i, dw.k, item_id from dw join win on dw.win = win.win),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hit) group by doc_id),
+it as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as items from hit group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join it using (doc_id)""",
+    "op3_near_duplicates": f"""
+with recursive d as (select doc_id, {_words(_SPACED, True)} as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pr as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+ln as (select a, b from pr join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) as (select doc_id, doc_id from d union select r.a, ln.b from r join ln on r.b = ln.a)
+select d.doc_id, coalesce(n, 0) as n_shingles, m.c as component_id, d.doc_id = m.c as kept from d left join n using (doc_id) join (select a, min(b) as c from r group by a) m on m.a = d.doc_id""",
+    "op6_chat": r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e as (select *, length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 as n from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(n) as bigint) as formatted_chars
+from e group by conv_id""",
+    "op10_repeats": f"""
+with d as (select doc_id, {_words(_SPACED, False)} as w from documents),
+wn as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) as i from d)),
+ft as (select s, min(doc_id) as f from wn group by s),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from wn join ft using (s) where f < doc_id),
+ps as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as x from d),
+k as (select ps.doc_id, count(*) filter (gone.p is not null) as n_removed, string_agg(x, ' ' order by ps.p) filter (gone.p is null) as kept from ps left join gone on gone.doc_id = ps.doc_id and gone.p = ps.p group by ps.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+}
