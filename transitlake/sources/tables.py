@@ -7,16 +7,24 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from transitlake.operators.windows import keep_last
 
-PINGS = StructType.fromDDL(
+_KINDS = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def _struct(columns: str) -> StructType:
+    """From "name kind, name kind": unlike Spark's own parser it needs no session."""
+    return StructType([StructField(*(f(x) for f, x in zip((str, _KINDS.__getitem__), c.split(), strict=True))) for c in columns.split(",")])
+
+
+PINGS = _struct(
     "filename string, index_run_start long, index_run_end long, index_loc long, lat double, long double, heading double, door_state string, veh_state string, "
     "odom_ft long, sec_past_st long, sat_cnt long, stop_window string, blank string, lat_raw double, long_raw double, row_before_apc boolean, "
     "route_pattern string, pattern int, start_date_time timestamp, route string, wday string"
 )
-RUNS = StructType.fromDDL(
+RUNS = _struct(
     "filename string, file_busid long, file_id string, taglist string, route_pattern string, tag_busid long, pattern int, index_run_start_original long, "
     "index_run_end_original long, index_run_start long, index_run_end long, start_date_time timestamp, end_date_time timestamp, sec_start long, sec_end long, "
     "odom_ft_start long, odom_ft_end long, run_duration_from_sec long, run_duration_from_tags long, dist_odom_mi double, mph_odom double, mph_run_tag double, "
@@ -89,7 +97,7 @@ def read_gtfs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def _by_header(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Columns by their names in the header, in whatever order the file has them."""
-    return conform(spark.read.option("header", True).csv(path), StructType.fromDDL(ddl))
+    return conform(spark.read.option("header", True).csv(path), _struct(ddl))
 
 
 def read_schedule(spark: SparkSession, path: str) -> DataFrame:
