@@ -51,16 +51,16 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-BITMAP_BITS = 26
+BITMAP_BITS = 24
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     """A bit for the low bits of each value of a long column: 2 ** BITMAP_BITS bits however many values there are."""
     low = F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)
     cells = hashes.select(F.shiftright(low, 6).alias("cell"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
-    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bits[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    bits[rows["cell"].to_numpy()] = rows["bits"].to_numpy()
     return bits.view(np.uint64)
 
 

@@ -82,12 +82,11 @@ def text_model(documents: DataFrame) -> tuple[list[str], np.ndarray]:
 
     known = documents.select("lang", "text").where("lang is not null")
     # At most one row for each language and slot reaches the driver.
-    rows = known.mapInArrow(count, "lang string, slot long, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
+    rows = known.mapInArrow(count, "lang string, slot long, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(rows["lang"].unique().to_pylist())
     counts = np.full((len(langs), 1 << SLOT_BITS), SMOOTHING)
-    for i, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang]
-        counts[i, own["slot"].to_numpy(np.int64)] += own["n"].to_numpy()
+    if rows.num_rows:
+        counts[np.searchsorted(langs, rows["lang"].to_pylist()), rows["slot"].to_numpy()] += rows["n"].to_numpy()
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

@@ -38,7 +38,7 @@ MANTISSA = 10
 ESTIMATE_FLOOR = 0.48
 LEADER_ROUNDS = 2
 #: Rarity is counted in a table of this many slots; shingles that share one only look more frequent.
-RARITY_BITS = 20
+RARITY_BITS = 18
 
 _random = np.random.default_rng(20240131)
 _XOR = _random.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,9 +195,9 @@ def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
 
-    rows = own.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** RARITY_BITS rows
+    rows = own.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** RARITY_BITS rows
     counts = np.zeros(1 << RARITY_BITS, np.int64)
-    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     sent = spark.sparkContext.broadcast(counts)
 
     def prefixes(batches):
