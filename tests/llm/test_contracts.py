@@ -356,3 +356,16 @@ def test_few_or_no_vectors(spark):
     assert got(nearest(df, F.col("vec_id") % 20 == 0), ["query_id", "rank", "vec_id", "score"]) == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert nearest(df.limit(1), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_search_goes_on_until_done(spark):
+    from transitlake.llm.neighbours import _packed, beam_size, list_size, search
+
+    # A path: each node's only neighbour is the next one, and the query is nearest to its far end.
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "node long, vector array<double>")
+    packed = _packed(rows)
+    graph = spark.createDataFrame([(i, [(float(i), i + 1, True)]) for i in range(8)], "node long, near array<struct<score: float, neighbour: long, old: boolean>>")
+    queries = packed.where("node = 1").selectExpr("100L as query", "packed as asked")
+    starts = spark.createDataFrame([(100, 0)], "query long, node long")
+    assert {r["node"] for r in search(queries, starts, graph, packed, 9, 2).collect()} == set(range(9))
+    assert beam_size(10**6) > beam_size(10**5) and list_size(10**6) > list_size(10**5)
