@@ -369,3 +369,20 @@ def test_search_goes_on_until_done(spark):
     starts = spark.createDataFrame([(100, 0)], "query long, node long")
     assert {r["node"] for r in search(queries, starts, graph, packed, 9, 2).collect()} == set(range(9))
     assert beam_size(10**6) > beam_size(10**5) and list_size(10**6) > list_size(10**5)
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**300])
+def test_neighbours_of_any_scale(spark, scale):
+    """A tight cluster: products differ by less than half precision tells, or are beyond its range."""
+    from transitlake.llm.neighbours import nearest
+
+    rng = np.random.default_rng(6)
+    table = (np.r_[1.0, np.zeros(7)] + 1e-5 * rng.standard_normal((600, 8))) * scale
+    vectors = dict(enumerate(table.tolist()))
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    out = {}
+    for r in nearest(df, F.col("vec_id") % 60 == 0).collect():
+        out.setdefault(r["query_id"], set()).add(r["vec_id"])
+    truth = brute.nearest(vectors, list(range(0, 600, 60)))
+    assert sorted(out) == sorted(truth)
+    assert sum(len(out[q] & {i for i, _ in best}) for q, best in truth.items()) >= 0.95 * 20 * len(truth)
