@@ -65,6 +65,27 @@ def test_restoration(spark, corpus, written):
     assert found & set(RUDE)
 
 
+@pytest.mark.parametrize("written", ["i/d/i/o/t", "i,d,i,o,t", "i:d:i:o:t", "i#d#i#o#t", "i=d=i=o=t", "id^iot", "i·d·i·o·t", "iddiott", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "1#d#1#0#7"])
+def test_all_alterations_are_read(spark, corpus, written):
+    test_restoration(spark, corpus, written)
+
+
+def test_words_without_letters():
+    import numpy as np
+
+    from transitlake.llm.toxicity import SLOT_BITS, CharacterModel, Restorer, slot
+
+    model = CharacterModel(np.zeros(1 << SLOT_BITS, np.float32))
+    for word in ("ass", "bake"):
+        padded = f"\x02\x02\x02{word}\x03"
+        for i in range(3, len(padded)):
+            for k in range(1, 5):
+                model.counts[slot(padded[i - k + 1 : i + 1])] += 1
+                model.counts[slot(padded[i - k + 1 : i])] += k == 1 or padded[i - 1] == "\x02"
+    restorer = Restorer(model)
+    assert restorer.words("@$$") == ["ass"] and restorer.words("455") == ["ass"] and restorer.words("9999") == []
+
+
 def test_plain_words_stay(spark, corpus):
     from transitlake.llm.toxicity import Restorer, character_model
 
