@@ -86,6 +86,18 @@ def test_words_without_letters():
     assert restorer.words("@$$") == ["ass"] and restorer.words("455") == ["ass"] and restorer.words("9999") == []
 
 
+@pytest.mark.parametrize("by", [" ", "."])
+def test_long_chunks_are_read_whole(spark, corpus, by):
+    from transitlake.llm.toxicity import Restorer, character_model, features
+
+    restorer = Restorer(character_model(corpus[0]))
+    # The second word lies over the 48th character; without breaks the run has over 40 letters.
+    text = by.join("worthless" * 2 + "scumbag" + "worthless" * 3)
+    found = [w for words in restorer.of_text(text) for w in words]
+    assert found.count("worthless") == 5 and found.count("scumbag") == 1
+    assert "=" + "x" * 41 in features(["x" * 41])
+
+
 def test_plain_words_stay(spark, corpus):
     from transitlake.llm.toxicity import Restorer, character_model
 
