@@ -125,6 +125,13 @@ def test_language(spark):
     assert {r["lang"] for r in identify(df, docs.limit(0)).collect()} == {None}
 
 
+def test_declared_after_long_attributes(spark):
+    from transitlake.llm.langid import declared_in
+
+    pages = spark.createDataFrame([(f'<html prefix="{"x" * 2000}" lang="de"><p lang="fr">',), (f'<html prefix="{"x" * 2000}"><p lang="fr">',)], "html string")
+    assert [r[0] for r in pages.select(declared_in(F.col("html"))).collect()] == ["de", ""]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline as C

@@ -107,7 +107,7 @@ def suffix_of(url: Column, host: Column) -> Column:
 
 def declared_in(page: Column) -> Column:
     """The primary subtag of the html element's lang attribute, or empty."""
-    return F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), r"""(?i)<html\b[^>]{0,500}?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
+    return F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
 
 
 def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
