@@ -386,3 +386,9 @@ def test_neighbours_of_any_scale(spark, scale):
     truth = brute.nearest(vectors, list(range(0, 600, 60)))
     assert sorted(out) == sorted(truth)
     assert sum(len(out[q] & {i for i, _ in best}) for q, best in truth.items()) >= 0.95 * 20 * len(truth)
+
+
+def test_near_duplicates_counts_no_links(spark, table):
+    from transitlake.llm.neardup import near_duplicates
+
+    assert near_duplicates(table.limit(0)).columns == ["doc_id", "n_shingles", "component_id", "kept"]

@@ -226,7 +226,7 @@ def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(sketch table of all rows with the class each is shown by, links between shown documents)."""
+    """(sketch table of all rows with the class each is shown by, links that span the components of shown documents, not all of them)."""
     spark: SparkSession = documents.sparkSession
     every = materialize(sketches(documents, size), "sketches")
     shown = every.where("address is not null and doc_id is not null").groupBy("address", "n_shingles").agg(F.min("doc_id").alias("shown"))
@@ -271,14 +271,12 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links: a row for each document row."""
+    """doc_id, n_shingles, component_id, kept: a row for each document row."""
     every, links = near_links(documents, size)
     # Members of a class hang on the one shown; rows that repeat a doc_id tie their classes together.
     member = every.where("shown is not null and shown <> doc_id").select(F.col("doc_id").alias("a"), F.col("shown").alias("b"))
     nodes = components(links.unionByName(member)).withColumnRenamed("node", "doc_id")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "shown")
-    out = every.select("doc_id", "n_shingles", "shown").join(nodes, "doc_id", "left").join(degree, "shown", "left")
+    out = every.select("doc_id", "n_shingles", "shown").join(nodes, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
