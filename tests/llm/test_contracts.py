@@ -143,6 +143,38 @@ def test_packing(spark, docs, table):
     assert pack(table.limit(0), path).count() == 0
 
 
+def test_pieces_keep_white_space_of_other_tokenizers(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from transitlake.llm.packing import coder, pieces
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    assert not coder(path).plain
+    rows = [(1, "two  blanks\n\tand more"), (2, None), (3, " lead and trail ")]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert got(pieces(spark.createDataFrame(rows, "doc_id long, text string"), path), names) == want(brute.pieces(rows, path))
+
+
+def test_packing_in_groups_of_repeated_rows(spark, monkeypatch):
+    """Ranks run on over small groups; null and repeated ids and rows are packed each for itself."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from transitlake.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_ROWS", 20)
+    rows = [(None, "a b c")] * 150 + [(7, "a b c")] * 150 + [(i, "w " * (i % 40)) for i in range(300)] + [(9, "x " * 5000)] * 2
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tokenizers.path("word_bpe_49k.json")).collect()
+    places = {}
+    for r in out:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(out) == 600 + 2 * 3
+    assert len(places) == -(-sum(r["length"] for r in out) // 2048)
+
+
 def test_plans_are_close_to_the_bound():
     from transitlake.llm.packing import plan
 
@@ -196,13 +228,16 @@ def test_dominating_sets_leave_an_optimal_rest():
                 best = min(best, 1 + least(tuple(x for i, x in enumerate(rest) if not mask >> i & 1)))
         return best
 
-    rng = random.Random(8)
-    for _ in range(40):
-        items = sorted((rng.randrange(1, 13) for _ in range(rng.randrange(1, 8))), reverse=True)
+    rng, triples = random.Random(8), 0
+    for case in range(160):
+        low = 1 if case < 40 else 3
+        items = sorted((rng.randrange(low, 13 - low) for _ in range(rng.randrange(1, 8))), reverse=True)
         counts = {x: items.count(x) for x in items}
         fixed = reduce_by_dominance(counts, 12)
         rest = tuple(x for x in sorted(counts, reverse=True) for _ in range(counts[x]))
+        triples += sum(sum(t for _, t in pattern) == 3 for pattern, _ in fixed)
         assert sum(n for _, n in fixed) + least(rest) == least(tuple(items))
+    assert triples
 
 
 def test_chats(spark):

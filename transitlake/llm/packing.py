@@ -5,175 +5,253 @@ interchangeable, so the driver plans on at most ``capacity`` counts, however man
 
 * Reduction after Martello and Toth. A set of pieces dominates others if any packing can be changed to hold it without
   more bins: a full piece alone; a piece whose smallest possible partner no longer fits, alone; two pieces that fill a
-  bin exactly; a piece that has room for one partner only, with the longest that fits. Such sets are fixed for good and
-  leave the instance; this is repeated as it shrinks.
+  bin exactly; a piece that has room for one partner only, with the longest that fits; a piece that has room for two
+  partners only, with the longest one or the fullest two, where these dominate. Such sets are fixed for good and leave
+  the instance; this is repeated as it shrinks.
 * Best fit on the rest, longest first: each piece goes to the fullest bin that has room.
 
-The plan says for each length which ranks go to which bins. A piece's rank within its length is its rank within the
-writing task plus the count in earlier tasks, so no length is ever gathered or sorted in one place.
+The plan says for each length which ranks go to which bins. Pieces of one length are dealt into groups of about
+GROUP_ROWS; a piece's rank is its place in its group plus the size of the groups before, so no length is ever gathered
+or sorted in one place. The driver gets a count for each length and each group.
 
 Defined results: a null or empty text is one piece that holds only the closing id. Rows with repeated or null ids are
-packed each for itself. Other columns are ignored.
+packed each for itself. An empty table gives an empty result. A long text is held by one task. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitlake.llm._shared import materialize, text_batches
+from transitlake.llm._shared import ROW_BITS, materialize
 
 CAPACITY = 2048
 CLOSING_ID = 0
+#: Pieces of one length in a group, on average.
+GROUP_ROWS = 1_000_000
+#: Chunks of texts whose ids are gathered at once.
+GATHERED = 500_000
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
+# Fixed value: the split pattern that is known never to join or drop anything but white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Chunks of such characters have one composed form and one lower case, and no white space inside.
+SIMPLE = "^[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+$"
+
+_PIECES = "number long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Pieces(dict):
-    """Ids of single pieces (what the pre-tokenizer makes), straight from the tokenizer's model."""
+    """Ids of single pieces (what the pre-tokenizer makes), straight from the tokenizer's model; a bounded memory."""
 
-    limit = 400_000
+    limit = 500_000
 
-    def __init__(self, model, byte_letters: dict[int, int]):
+    def __init__(self, model):
         super().__init__()
-        self.model, self.byte_letters = model, byte_letters
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.model, self.byte_letters = model, {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_letters)
-        value = self[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        value = self[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return value
 
 
-class ChunkIds(dict):
-    """Little-endian ids of chunks without white space, remembered up to a fixed number of chunks.
+def gather(ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries ``at``, one after another, and their number; entry i has counts[i] of ``ids``."""
+    n = counts[at]
+    ends = np.cumsum(n)
+    shift = (np.cumsum(counts) - counts)[at] - (ends - n)
+    return ids[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0)], n
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order. Most
-    chunks are Latin letters and marks; where the file's own steps are lower-casing, its split pattern and the byte
-    alphabet, these steps are taken here once for each new chunk and only new pieces reach the model. All else, and all
-    of other tokenizers' files, goes through encode_batch.
-    """
 
-    limit = 400_000
+def flat(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+
+
+class Coder:
+    """Ids of many texts at once.
+
+    Where the tokenizer's steps are the known ones (composed form, white space, lower case, SPLIT, byte alphabet), it
+    drops white space and never joins across it, so a text's ids are those of its chunks in order. Only the distinct
+    chunks of a batch are coded: they are lower-cased and split here, and only distinct pieces reach the model. Chunks
+    that are not SIMPLE, and whole texts with any other tokenizer, go through encode_batch.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         whole = Tokenizer.from_file(path)
         self.encode = whole.encode_batch
         told = json.loads(whole.to_str())
         self.special = [t["content"] for t in told["added_tokens"]]
-        steps = [x.get("type") for x in (told["normalizer"] or {}).get("normalizers", [])]
+        steps = (told["normalizer"] or {}).get("normalizers", [])
         cut = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
-        plain = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cut] == ["Split", "ByteLevel"]
+        plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"]
+        plain = plain and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " " and cut[0]["pattern"] == {"Regex": SPLIT}
         plain = plain and cut[0]["behavior"] == "Removed" and cut[0]["invert"] and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
-        self.pattern = regex.compile(cut[0]["pattern"]["Regex"]) if plain else None
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        hidden = [b for b in range(256) if b not in shown]
-        self.pieces = Pieces(whole.model, {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)})
-
-    def simple(self, text: str) -> bool:
-        """Whether lower-casing and splitting here is what the tokenizer does."""
-        return self.pattern is not None and text.isprintable() and max(text) < "\u0250" and not any(t in text for t in self.special)
-
-    def of(self, chunks: list[bytes]) -> bytes:
-        missing = {c for c in chunks if c not in self}
-        if missing:
-            if len(self) > self.limit:
-                self.clear()
-                missing = set(chunks)
-            rest = []
-            for chunk in missing:
-                text = chunk.decode("utf-8", "replace")
-                if self.simple(text):
-                    low = text.lower()
-                    self[chunk] = self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in self.pattern.findall(low)])
-                else:
-                    rest.append((chunk, text))
-            coded = self.encode([t for _, t in rest], add_special_tokens=False)
-            self.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(rest, coded, strict=True))
-        return b"".join(map(self.__getitem__, chunks))
-
-
-_ENCODERS: dict[str, ChunkIds] = {}
-
-
-def encoder(path: str) -> ChunkIds:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkIds(path)
-    return _ENCODERS[path]
+        self.plain = plain and not any(c.isspace() for t in self.special for c in t)
+        self.pieces = Pieces(whole.model)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each chunk, one after another, and their numbers."""
+        simple = pc.match_substring_regex(chunks, SIMPLE)
+        for t in self.special:
+            simple = pc.and_not(simple, pc.match_substring(chunks, t))
+        low = pc.utf8_lower(chunks.filter(simple))
+        mixed = pc.invert(pc.utf8_is_alpha(low))  # all others are one piece
+        spaced = pc.ascii_rtrim_whitespace(pc.replace_substring_regex(low.filter(mixed), f"({SPLIT})", r"\1 "))
+        parts = pc.ascii_split_whitespace(pc.replace_with_mask(low, mixed, spaced))
+        named = pc.dictionary_encode(parts.flatten())
+        if len(self.pieces) > Pieces.limit:
+            self.pieces.clear()
+        ids, counts = gather(*flat([self.pieces[p] for p in named.dictionary.to_pylist()]), named.indices.to_numpy())
+        own = np.diff(np.r_[0, np.cumsum(counts)][parts.offsets.to_numpy()])
+        rest = chunks.filter(pc.invert(simple)).cast(pa.large_binary()).to_pylist()
+        others, more = flat(self._encoded([c.decode("utf-8", "replace") for c in rest]))
+        order = np.argsort(~simple.to_numpy(zero_copy_only=False), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return gather(np.r_[ids, others], np.r_[own, more], place)
+
+    def of_texts(self, texts: pa.Array, closing_id: int):
+        """(ids, how many of each text) of all texts in order, some texts at a time; each text ends with closing_id."""
+        end = np.array([closing_id], np.uint32)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.plain:
+            for i in range(0, len(texts), 64):
+                coded = self._encoded([t.decode("utf-8", "replace") for t in texts[i : i + 64].cast(pa.large_binary()).to_pylist()])
+                yield flat([c + end.tobytes() for c in coded])
+            return
+        split = pc.ascii_split_whitespace(texts)
+        named = pc.dictionary_encode(split.flatten())
+        ids, counts = self.of_chunks(named.dictionary)
+        ids, counts = np.r_[ids, end], np.r_[counts, 1]
+        bounds, at = split.offsets.to_numpy(), named.indices.to_numpy()
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + GATHERED, "right")) - 1)
+            stops = bounds[first + 1 : last + 1] - bounds[first]
+            # The closing id is one more chunk behind each text.
+            chunks = np.insert(at[bounds[first] : bounds[last]], stops, len(counts) - 1)
+            out, n = gather(ids, counts, chunks)
+            yield out, np.diff(np.r_[0, np.cumsum(n)[stops + np.arange(len(stops))]])
+            first = last
+
+
+_CODERS: dict[str, Coder] = {}
+
+
+def coder(path: str) -> Coder:
+    if path not in _CODERS:
+        _CODERS[path] = Coder(path)
+    return _CODERS[path]
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID) -> DataFrame:
-    """Each document's pieces, with the writing task and the rank within its length there."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    """Each document's pieces, with a number of their own."""
+    names = ["number", "doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def cut(batches):
-        coder, task, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        closing = int(closing_id).to_bytes(4, "little")
-        for ids, texts in text_batches(batches):
-            rows = []
-            for doc, text in zip(ids.to_pylist(), texts, strict=True):
-                coded = coder.of(text.split() if text else []) + closing
-                for i, at in enumerate(range(0, len(coded), 4 * capacity)):
-                    part = coded[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((doc, i, at // 4, n, zlib.crc32(part), task, seen[n]))
-                    seen[n] += 1
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
+        number = TaskContext.get().partitionId() << ROW_BITS
+        for batch in batches:
+            docs, done = batch.column("doc_id"), 0
+            for ids, n in coder(tokenizer_path).of_texts(batch.column("text"), closing_id):
+                times = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), times)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+                start = piece * capacity
+                length = np.minimum(n[doc] - start, capacity)
+                at = (np.cumsum(n) - n)[doc] + start
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [np.arange(number, number + len(doc)), docs.take(pa.array(doc + done)), piece, start, length, crc]
+                number, done = number + len(doc), done + len(n)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
 
 
+def fullest_pair(sizes: list[int], counts: dict[int, int], room: int) -> tuple[int, int]:
+    """The two pieces (a, b; a >= b) with the greatest sum in the room; of equal sums the one with the longest piece."""
+    best, i, j = (0, 0, 0), 0, len(sizes) - 1
+    while i <= j:
+        b, a = sizes[i], sizes[j]
+        if a + b > room:
+            j -= 1
+        else:
+            if a != b or counts[a] > 1:
+                best = max(best, (a + b, a, b))
+            i += 1
+    return best[1:]
+
+
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Takes dominating sets out of counts (length -> pieces); returns them as (((length, times), ...), bins)."""
+    """Takes dominating sets out of counts (length -> pieces); returns them as (((length, times), ...), bins).
+
+    A set that dominates all others with its longest piece keeps doing so while pieces leave, so it is fixed as often as
+    its pieces last.
+    """
     fixed = []
 
-    def fix(bins: int, *lengths: int) -> None:
-        for x in lengths:
-            counts[x] -= bins
+    def fix(*lengths: int) -> None:
+        times = Counter(lengths)
+        bins = min(counts[x] // n for x, n in times.items())
+        for x, n in times.items():
+            counts[x] -= bins * n
             if not counts[x]:
                 del counts[x]
-        fixed.append((((lengths[0], 2),) if lengths[0] == lengths[-1] and len(lengths) == 2 else tuple((x, 1) for x in lengths), bins))
+        fixed.append((tuple(times.items()), bins))
 
     if capacity in counts:
-        fix(counts[capacity], capacity)
+        fix(capacity)
     for a in sorted((x for x in counts if 2 * x >= capacity), reverse=True):
         b = capacity - a
-        if a == b and counts[a] > 1:
-            fix(counts[a] // 2, a, a)
-        elif a != b and counts.get(b):
-            fix(min(counts[a], counts[b]), a, b)
+        if counts.get(a, 0) > (a == b) and counts.get(b):
+            fix(a, b)
     while counts:
-        order = sorted(counts)
-        longest, room = order[-1], capacity - order[-1]
-        others = order if counts[longest] > 1 else order[:-1]
-        if not others or others[0] > room:
-            fix(counts[longest], longest)
+        longest = max(counts)
+        room = capacity - longest
+        others = {x: n - (x == longest) for x, n in counts.items() if n > (x == longest)}
+        sizes = sorted(others)
+        smallest = [x for x in sizes[:3] for _ in range(min(3, others[x]))][:3]
+        fits = sum(s <= room for s in accumulate(smallest))
+        if fits == 0:
+            fix(longest)
+            continue
+        partner = max(x for x in sizes if x <= room)
+        if fits == 1 or partner == room:
+            fix(longest, partner)
             continue
-        second = others[0] if counts[others[0]] > 1 else others[1] if len(others) > 1 else capacity
-        if others[0] + second <= room:
+        if fits == 3:
             break
-        partner = max(x for x in others if x <= room)
-        if partner == longest:
-            fix(counts[longest] // 2, longest, longest)
-        else:
-            fix(min(counts[longest], counts[partner]), longest, partner)
+        a, b = fullest_pair(sizes, others, room)
+        if partner >= a + b:
+            fix(longest, partner)
+            continue
+        # With the longest partner and b, any other two must have one no longer than b, or be the partner's equal.
+        between = [x for x in sizes if b < x < a for _ in range(min(2, others[x]))][:2]
+        if partner != a or (len(between) == 2 and sum(between) <= room):
+            break
+        fix(longest, a, b)
     return fixed
 
 
@@ -224,26 +302,34 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarr
 def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
     cut = materialize(pieces(documents, tokenizer_path, capacity, closing_id), "pieces")
-    by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    by_task = materialize(by_task.select("length", "task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "piece-counts")
-    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    planned = documents.sparkSession.sparkContext.broadcast(plan(counts, capacity))
+    sizes = materialize(cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")  # at most `capacity` rows
+    counts = {r["length"]: r["n"] for r in sizes.collect()}
+    group = F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / GROUP_ROWS)).alias("group")
+    dealt = cut.join(F.broadcast(sizes), "length").select(*cut.columns, group)
+    starts: dict[int, list[int]] = defaultdict(list)
+    before = dict.fromkeys(counts, 0)
+    if sum(counts.values()) > GROUP_ROWS:
+        for r in sorted(dealt.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each group
+            starts[r["length"]] += [before[r["length"]]] * (r["group"] + 1 - len(starts[r["length"]]))
+            before[r["length"]] += r["n"]
+    first = {k: np.array(starts[k] or [0], np.int64) for k in counts}
+    planned = documents.sparkSession.sparkContext.broadcast((plan(counts, capacity), first))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def place(batches):
+        rows_of, first_of = planned.value
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            length, group, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "group", "rank"))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for size in np.unique(length).tolist():
                 own = np.flatnonzero(length == size)
-                rows = planned.value[size]
-                row = rows[np.searchsorted(rows[:, 0], rank[own], "right") - 1]
-                nth = rank[own] - row[:, 0]
+                rows, at = rows_of[size], rank[own] + first_of[size][group[own]]
+                row = rows[np.searchsorted(rows[:, 0], at, "right") - 1]
+                nth = at - row[:, 0]
                 sequence[own] = row[:, 1] + nth // row[:, 2]
                 offset[own] = row[:, 3] + nth % row[:, 2] * size
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), pa.array(sequence), pa.array(offset)], names)
 
-    ranked = cut.join(by_task.select("length", "task", "before"), ["length", "task"])
-    ranked = ranked.select(*names[:5], (F.col("rank") + F.col("before")).alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("length", "group").orderBy("number")).cast("long") - 1
+    ranked = dealt.select(*names[:5], "group", rank.alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
