@@ -1,7 +1,11 @@
 """Learnt operators: restoration, held-out accuracy, language evidence, the pipeline."""
 
 import random
+import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,53 +60,174 @@ def test_no_labels_or_documents(spark, corpus):
     assert {r["predicted"] for r in score_documents(docs, labels.limit(0)).collect()} == {0}
 
 
-@pytest.mark.parametrize("written", ["1d1ot", "i.d.i.o.t", "i d i o t", "idiooooot", "!d!0t", "sc.um.bag", "w0rthle55", "w-o-r-t-h-l-e-s-s"])
-def test_restoration(spark, corpus, written):
-    from transitlake.llm.toxicity import Restorer, character_model
+@pytest.fixture(scope="module")
+def reader(spark, corpus):
+    from transitlake.llm.toxicity import Reader, character_model
+
+    return Reader(character_model(corpus[0]))
+
 
-    restorer = Restorer(character_model(corpus[0]))
-    found = {w for words in restorer.of_text(f"ba ke {written} nu ra") for w in words}
-    assert found & set(RUDE)
+def holds(reader, text, word):
+    """Whether all features of a word are among those of a text."""
+    from transitlake.llm.toxicity import feature_slots
+
+    return set(feature_slots([word])[0].tolist()) <= set(reader.of_texts(pa.array(["x", text, None]))[0].tolist())
+
+
+@pytest.mark.parametrize("written", ["1d1ot", "i.d.i.o.t", "i d i o t", "idiooooot", "!d!0t", "sc.um.bag", "w0rthle55", "w-o-r-t-h-l-e-s-s"])
+def test_restoration(reader, written):
+    assert any(holds(reader, f"ba ke {written} nu ra", w) for w in RUDE)
+    assert not any(holds(reader, "ba ke nu ra", w) for w in RUDE)
 
 
 @pytest.mark.parametrize("written", ["i/d/i/o/t", "i,d,i,o,t", "i:d:i:o:t", "i#d#i#o#t", "i=d=i=o=t", "id^iot", "i·d·i·o·t", "iddiott", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "1#d#1#0#7"])
-def test_all_alterations_are_read(spark, corpus, written):
-    test_restoration(spark, corpus, written)
+def test_all_alterations_are_read(reader, written):
+    test_restoration(reader, written)
 
 
-def test_words_without_letters():
-    import numpy as np
+def model_of(words):
+    from transitlake.llm.toxicity import CharacterModel, _codes
+
+    keys = {}
+    for word in words:
+        codes = _codes(f"\x02\x02\x02{word}\x03").tolist()
+        for i in range(3, len(codes)):
+            key = codes[i - 3] << 48 | codes[i - 2] << 32 | codes[i - 1] << 16 | codes[i]
+            keys[key] = keys.get(key, 0) + 1
+    return CharacterModel(np.array(list(keys), np.uint64), np.array(list(keys.values()), float))
 
-    from transitlake.llm.toxicity import SLOT_BITS, CharacterModel, Restorer, slot
 
-    model = CharacterModel(np.zeros(1 << SLOT_BITS, np.float32))
-    for word in ("ass", "bake"):
-        padded = f"\x02\x02\x02{word}\x03"
-        for i in range(3, len(padded)):
-            for k in range(1, 5):
-                model.counts[slot(padded[i - k + 1 : i + 1])] += 1
-                model.counts[slot(padded[i - k + 1 : i])] += k == 1 or padded[i - 1] == "\x02"
-    restorer = Restorer(model)
-    assert restorer.words("@$$") == ["ass"] and restorer.words("455") == ["ass"] and restorer.words("9999") == []
+def test_words_without_letters():
+    from transitlake.llm.toxicity import Reader
 
+    reader = Reader(model_of(["ass", "bake"]))
+    assert reader.words("@$$") == ["ass"] and reader.words("455") == ["ass"] and reader.words("9999") == []
 
-@pytest.mark.parametrize("by", [" ", "."])
-def test_long_chunks_are_read_whole(spark, corpus, by):
-    from transitlake.llm.toxicity import Restorer, character_model, features
 
-    restorer = Restorer(character_model(corpus[0]))
+@pytest.mark.parametrize("by", [" ", "."])
+def test_long_chunks_are_read_whole(reader, by):
     # The second word lies over the 48th character; without breaks the run has over 40 letters.
     text = by.join("worthless" * 2 + "scumbag" + "worthless" * 3)
-    found = [w for words in restorer.of_text(text) for w in words]
+    found = reader.words(text)
     assert found.count("worthless") == 5 and found.count("scumbag") == 1
-    assert "=" + "x" * 41 in features(["x" * 41])
-
+    assert holds(reader, text, "worthless") and holds(reader, text, "scumbag")
+    assert holds(reader, "x" * 41 + "y", "x" * 41 + "y")
+
+
+def test_plain_words_stay(reader):
+    assert reader.words("bake") == ["bake", "bake"] and reader.words("108.51.216.133") == []
+
+
+def plain_log(words, before, c):
+    """log P(c | before) by counting in words."""
+    p = 1e-6
+    padded = [f"\x02\x02\x02{w}\x03" for w in words]
+    for k, w in enumerate((0.02, 0.08, 0.3, 0.6), 1):
+        context = before[len(before) - k + 1 :] if k > 1 else ""
+        ends = [(x[i - k + 1 : i], x[i]) for x in padded for i in range(3, len(x))]
+        n = sum(a == context for a, _ in ends)
+        if n:
+            p += w * sum(a == context and b == c for a, b in ends) / n
+    return np.log(p)
+
+
+def readings(chunk):
+    """All ways through the lattice of a chunk: (restored, cost of the channel)."""
+    from transitlake.llm import toxicity as T
+
+    out = [("", 0.0)]
+    for i, c in enumerate(chunk):
+        new = []
+        for text, cost in out:
+            letters = ([(c, 0.0)] if c.isalpha() else []) + [(x, T.IMITATED) for x in T.IMITATES.get(c, "")]
+            new += [(text + x, cost + y) for x, y in letters]
+            last = text[-1:] if text[-1:] != " " else ""
+            if c in T.MARKS or not letters:
+                new.append((text, cost + T.DROPPED_MARK))
+                if last:
+                    new.append((text + " ", cost + T.BREAK))
+            elif c == chunk[i - 1 : i] or letters[0][0] == last:
+                new.append((text, cost + T.DROPPED_REPEAT))
+            elif not c.isalnum():
+                new.append((text, cost + 4 * T.IMITATED))
+        out = new
+    return out
+
+
+def test_viterbi_takes_the_best_of_all_readings():
+    from transitlake.llm.toxicity import restore
+
+    words = ["idiot", "worthless", "bake", "ass", "loli", "a"]
+    model = model_of(words)
+    rng = random.Random(4)
+    for before, c in (("\x02\x02\x02", "b"), ("\x02id", "i"), ("les", "s"), ("oss", "x"), ("iot", "\x03")):
+        assert model.log(before, c) == pytest.approx(plain_log(words, before, c), abs=1e-5)
+
+    def total(text, cost):
+        for part in text.split(" ") if text else [""]:
+            padded = f"\x02\x02\x02{part}\x03"
+            if part or not text:
+                cost += sum(model.log(padded[i : i + 3], padded[i + 3]) for i in range(len(part) + 1))
+        return cost
+
+    for _ in range(150):
+        chunk = "".join(rng.choice("id1ot.@sabke$-") for _ in range(rng.randrange(1, 8)))
+        best = max(total(t, c) for t, c in readings(chunk))
+        assert total_of(restore(chunk, model), readings(chunk), total) == pytest.approx(best, abs=1e-6), chunk
+
+
+def total_of(restored, ways, total):
+    return max(total(t, c) for t, c in ways if t.strip() == restored)
+
+
+def test_scores_are_those_of_a_plain_sum(spark, corpus):
+    """A plain version on 200 rows: words by hand, features by slicing, the sum of their weights."""
+    from transitlake.llm import toxicity as T
 
-def test_plain_words_stay(spark, corpus):
-    from transitlake.llm.toxicity import Restorer, character_model
+    docs, labels = corpus
+    scorer = T.train(docs, labels)
+    rows = docs.where("doc_id < 200").select("doc_id", "text").collect()
+    got = dict(docs.where("doc_id < 200").select("doc_id", T.score(F.col("text"), scorer, spark).alias("s")).collect())
+    model = scorer.reader.model
+
+    def slots(word):
+        edged = [ord(c) for c in f"^{word}$"]
+        whole = sum(c * pow(1_000_003, i, 1 << 64) for i, c in enumerate(edged))
+        grams = []
+        for i in range(len(edged) - 4):
+            value = 5
+            for c in edged[i : i + 5]:
+                value = value * 1_000_003 + c
+            grams.append(value)
+        return {((v % (1 << 64)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - T.FEATURE_BITS) for v in [whole, *grams]} if len(word) > 2 else set()
+
+    for doc, text in rows:
+        found = set()
+        for chunk in text.split():
+            odd = not chunk.isalpha() or any(a == b for a, b in zip(chunk, chunk[1:]))
+            read = [*T.restore(chunk, model).split(), *re.findall(r"[^\W\d_]+", chunk)] if odd else [chunk]
+            for word in read:
+                found |= slots(word)
+        z = scorer.bias + sum(float(scorer.weights[i]) for i in found)
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+@pytest.mark.parametrize("text", ["a!" * 500_000, "a" + "!" * 10**6, "." * 10**6, "a.b " * 250_000, "ab " * 300_000, "deadbeef01" * 100_000])
+def test_long_texts_take_linear_time(reader, text):
+    began = time.perf_counter()
+    reader.of_texts(pa.array([text]))
+    assert time.perf_counter() - began < 20
+
+
+def test_toxicity_of_odd_tables(spark, corpus):
+    """Repeated rows, contradicting labels, columns with clashing names, invalid empty texts."""
+    from transitlake.llm.toxicity import score_documents
 
-    restorer = Restorer(character_model(corpus[0]))
-    assert restorer.words("Bake,") == ["bake"] and restorer.words("108.51.216.133") == []
+    rows = [(1, "worthless", 1, 0.5), (1, "worthless", 1, 0.5), (1, "ba ke", 0, 0.1), (None, None, None, None), (2, " \n ", 1, 0.0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score double").withColumn("labelled", F.lit(1))
+    labels = spark.createDataFrame([(1, 0, "x"), (1, 1, "x"), (1, 1, "x"), (5, 1, "y"), (3, None, "z")], "doc_id long, toxic int, text string")
+    out = score_documents(docs, labels).collect()
+    assert len(out) == 15 and all(0 <= r["score"] <= 1 for r in out)
 
 
 def test_language(spark):

@@ -114,6 +114,27 @@ def lower_ascii(text: bytes | None) -> bytes:
     return text.lower() if text else b""
 
 
+def gather(values: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the entries ``at``, one after another, and their number; entry i has counts[i] of ``values``."""
+    n = counts[at]
+    ends = np.cumsum(n)
+    shift = (np.cumsum(counts) - counts)[at] - (ends - n)
+    return values[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
+def valid_text(column):
+    """An Arrow column of texts as valid UTF-8, null as empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in column.cast(pa.large_binary()).to_pylist()], pa.large_string())
+    return column
+
+
 def covered(ranges):
     """Column: positions covered by an array of (start, end) structs, counted once each."""
     first = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))

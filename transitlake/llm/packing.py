@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitlake.llm._shared import ROW_BITS, materialize
+from transitlake.llm._shared import ROW_BITS, gather, materialize
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -70,14 +70,6 @@ class Pieces(dict):
         return value
 
 
-def gather(ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the entries ``at``, one after another, and their number; entry i has counts[i] of ``ids``."""
-    n = counts[at]
-    ends = np.cumsum(n)
-    shift = (np.cumsum(counts) - counts)[at] - (ends - n)
-    return ids[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0)], n
-
-
 def flat(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
 
