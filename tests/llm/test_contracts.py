@@ -366,8 +366,10 @@ def test_neighbours(spark):
     for i in range(1500, 1560):  # one vector very often
         rows.append((i, rows[40][1]))
         vectors[i] = rows[40][1]
-    bad = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0] * 3), (2080, [None] * 16), (2100, [])]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
+    bad = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2080, [None] * 16), (2100, []), (None, [1.0] * 16)]
+    rows += [(2060, [1.0] * 3), rows[20], rows[20]]  # a shorter one goes on with zeros; repeated rows are one
+    vectors[2060] = [1.0] * 3 + [0.0] * 13
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("node", "query", "score", "vector")})
     out = {}
     for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -398,7 +400,7 @@ def test_search_goes_on_until_done(spark):
 
     # A path: each node's only neighbour is the next one, and the query is nearest to its far end.
     rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "node long, vector array<double>")
-    packed = _packed(rows)
+    packed = _packed(rows, 2)
     graph = spark.createDataFrame([(i, [(float(i), i + 1, True)]) for i in range(8)], "node long, near array<struct<score: float, neighbour: long, old: boolean>>")
     queries = packed.where("node = 1").selectExpr("100L as query", "packed as asked")
     starts = spark.createDataFrame([(100, 0)], "query long, node long")
@@ -406,7 +408,21 @@ def test_search_goes_on_until_done(spark):
     assert beam_size(10**6) > beam_size(10**5) and list_size(10**6) > list_size(10**5)
 
 
-@pytest.mark.parametrize("scale", [1.0, 2.0**300])
+def test_neighbours_of_varied_norms(spark):
+    from transitlake.llm.neighbours import nearest
+
+    rng = np.random.default_rng(9)
+    table = rng.standard_normal((4000, 12)) * np.exp(rng.standard_normal(4000))[:, None] * 1e-9
+    vectors = dict(enumerate(table.tolist()))
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    out = {}
+    for r in nearest(df, F.col("vec_id") % 100 == 0).collect():
+        out.setdefault(r["query_id"], set()).add(r["vec_id"])
+    truth = brute.nearest(vectors, list(range(0, 4000, 100)))
+    assert sum(len(out[q] & {i for i, _ in best}) for q, best in truth.items()) >= 0.9 * 20 * len(truth)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e-9, 2.0**300])
 def test_neighbours_of_any_scale(spark, scale):
     """A tight cluster: products differ by less than half precision tells, or are beyond its range."""
     from transitlake.llm.neighbours import nearest
