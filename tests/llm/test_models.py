@@ -71,7 +71,7 @@ def holds(reader, text, word):
     """Whether all features of a word are among those of a text."""
     from transitlake.llm.toxicity import feature_slots
 
-    return set(feature_slots([word])[0].tolist()) <= set(reader.of_texts(pa.array(["x", text, None]))[0].tolist())
+    return set(feature_slots([word])[0].tolist()) <= set(reader.of_texts(pa.array(["x", text, ""], pa.large_string()))[0].tolist())
 
 
 @pytest.mark.parametrize("written", ["1d1ot", "i.d.i.o.t", "i d i o t", "idiooooot", "!d!0t", "sc.um.bag", "w0rthle55", "w-o-r-t-h-l-e-s-s"])
@@ -215,7 +215,7 @@ def test_scores_are_those_of_a_plain_sum(spark, corpus):
 @pytest.mark.parametrize("text", ["a!" * 500_000, "a" + "!" * 10**6, "." * 10**6, "a.b " * 250_000, "ab " * 300_000, "deadbeef01" * 100_000])
 def test_long_texts_take_linear_time(reader, text):
     began = time.perf_counter()
-    reader.of_texts(pa.array([text]))
+    reader.of_texts(pa.array([text], pa.large_string()))
     assert time.perf_counter() - began < 20
 
 

@@ -135,6 +135,24 @@ def valid_text(column):
     return column
 
 
+#: Bytes of text that are worked on at once, one text at least.
+SLICE_BYTES = 6_000_000
+
+
+def text_slices(column):
+    """(first row, texts as valid_text gives them) of consecutive parts of a column, of about SLICE_BYTES each."""
+    import pyarrow.compute as pc
+
+    column = valid_text(column)
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield first, column.slice(first, last - first)
+        first = last
+
+
 def covered(ranges):
     """Column: positions covered by an array of (start, end) structs, counted once each."""
     first = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))

@@ -9,8 +9,9 @@ Escaping is reversible: backslashes are doubled, then ``<|`` becomes ``<\\|`` an
 (with the letter n). After the first step backslashes stand in runs of even length, so a single one after ``<`` can
 only come from the second. No control string is left inside a text, since all begin with ``<|``.
 
-Defined results: null roles and texts are empty; turns are ordered by turn (nulls first), then role, then text, so
-ties and repeated rows have one order; rows without conv_id form one conversation. A formatted conversation is one
+Defined results: null roles and texts are empty; turns are ordered by turn (nulls first), then role, then parts as they
+are given, so ties and repeated rows have one order; rows without conv_id form one conversation. An empty table gives an
+empty result. A formatted conversation is one
 string, and so must fit a row, as it must for any trainer. Other columns are ignored.
 """
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from transitlake.llm.spans import blocks, cut, running
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Placeholders of the parts that are not text.
 MARKS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -66,29 +69,27 @@ def visit(part: Column) -> Column:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """From conv_id, turn, role, parts: conv_id, n_turns, formatted, loss_spans (start, length), attachments."""
-    media = F.filter("parts", lambda p: p["kind"].isin(*MARKS))
-    refs = F.transform(media, lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), part_tokens(p).alias("tokens")))
-    parts = F.coalesce("parts", F.array().cast(PARTS))
-    body = F.array_join(F.transform(parts, visit), "")
-    role = F.coalesce("role", F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), body.alias("body"), F.coalesce(refs, F.array().cast("array<struct<kind:string,uri:string,tokens:bigint>>")).alias("refs"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "refs"))).alias("turns"))
+    parts = F.coalesce("parts", F.array().cast(PARTS)).cast(PARTS)
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
+    body = lambda t: F.array_join(F.transform(t["parts"], visit), "")
     header = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
+    written = grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), header(t).alias("header"), body(t).alias("body"))).alias("turns"), F.flatten(F.transform("turns", lambda t: t["parts"])).alias("parts"))
     tail = f"{END}\n"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
-    def step(acc, t):
-        first, n = acc["at"] + F.length(header(t)), F.length(t["body"]).cast("long")
-        span = F.array(F.struct(first.cast("long").alias("start"), n.alias("length")))
-        spans = F.when(t["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((first + n + len(tail)).cast("long").alias("at"), spans.alias("spans"))
+    def step(at: Column, t: Column) -> tuple[Column, Column]:
+        first, n = at + F.length(t["header"]), F.length(t["body"]).cast("long")
+        span = F.struct(first.cast("long").alias("start"), n.alias("length"))
+        return (first + n + len(tail)).cast("long"), F.when(t["role"] == "assistant", span)
 
-    return grouped.select(
+    spans = running(F.col("turns"), F.lit(0).cast("long"), step, "struct<start:bigint,length:bigint>")
+    media = F.filter("parts", lambda p: p["kind"].isin(*MARKS))
+    return written.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("turns", lambda t: F.concat(header(t), t["body"], F.lit(tail))), "").alias("formatted"),
-        F.aggregate("turns", start, step, lambda a: a["spans"]).alias("loss_spans"),
-        F.flatten(F.transform("turns", lambda t: t["refs"])).alias("attachments"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["header"], t["body"], F.lit(tail))), "").alias("formatted"),
+        F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"),
+        F.transform(media, lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), part_tokens(p).alias("tokens"))).alias("attachments"),
     )
 
 
@@ -99,5 +100,6 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     role = lambda x: F.substring_index(inner(x), "\n", 1)
     text = lambda x: F.substr(inner(x), F.length(role(x)) + F.lit(2))
     turns = F.transform(pieces, lambda x: F.struct(unescape(role(x)).alias("role"), unescape(text(x)).alias("text")))
-    learnt = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"].cast("int") + 1, s["length"].cast("int"))))
+    parts = blocks(F.col("formatted"))
+    learnt = F.transform("loss_spans", lambda s: unescape(cut(parts, s["start"], s["length"])))
     return formatted.select("*", turns.alias("turns"), F.array_join(learnt, "").alias("loss_text"))

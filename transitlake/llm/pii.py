@@ -9,8 +9,10 @@ features of the span. Spans that the classifier accepts are added; spans of the
 What reaches the driver are counts of (kind, votes, features) patterns, whose number is bounded by PATTERN_BOUND,
 however many spans there are; the counts cover all documents.
 
-Defined results: null texts are empty. Every row gives one result row. Texts may be very long; an added span that
-overlaps a base span or an earlier added one is dropped. With no candidates the classifier accepts nothing.
+Defined results: null texts are empty. Every row gives one result row, rows that repeat a doc_id and null ids included;
+an empty table gives an empty result. Other columns are ignored. Texts may be very long and hold very many spans; an added
+span that overlaps a base span or an earlier added one is dropped. Of equal spans the first kind as listed stays. With no
+candidates the classifier accepts nothing. What stands before a span is told up to the span of its pattern before it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm._shared import materialize
-from transitlake.llm.spans import matches
+from transitlake.llm.spans import blocks, cut, matches, running
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
@@ -85,11 +87,10 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (out.otherwise(0) if no is None else out.when(F.coalesce(no, F.lit(False)), 0).otherwise(-1)).cast("int")
 
 
-def _candidates(text: Column, kind: str, found: Column, is_base: Column | bool, base_check) -> Column:
+def _candidates(kind: str, found: Column, is_base: Column | bool, base_check) -> Column:
     def one(m: Column) -> Column:
-        hit, start, end = m["text"], m["start"], m["end"]
-        before = F.substr(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-        last, after = F.substr(before, F.length(before)), F.substr(text, end + 1, F.lit(1))
+        hit, start, end, before, after = m["text"], m["start"], m["end"], m["before"], m["after"]
+        last = F.right(before, F.lit(1))
         base = F.coalesce(base_check(hit), F.lit(False)) if is_base else F.lit(False)
         known = F.lower(F.substring_index(F.regexp_replace(hit, r"[\])]", ""), ".", -1)).isin(*DOMAINS) if kind == "email" else F.lit(False)
         n = F.length(hit)
@@ -118,15 +119,16 @@ def candidates(text: Column) -> Column:
     number = lambda low, high: lambda t: F.length(_digits(t)).between(low, high)
     yes = lambda t: F.lit(True)
     card = lambda t: number(14, 19)(t) & luhn(_digits(t))
+    near = lambda pattern, maybe=None: matches(text, pattern, maybe, CONTEXT)
     parts = [
-        _candidates(text, "email", matches(text, EMAIL, has("@")), True, yes),
-        _candidates(text, "ip", matches(text, IP), True, _small_parts),
-        _candidates(text, "card", matches(text, CARD), True, card),
-        _candidates(text, "phone", matches(text, PHONE, has("+")), True, number(10, 15)),
-        _candidates(text, "email", matches(text, LOOSE_EMAIL, has("at)") | has("at]")), False, None),
-        _candidates(text, "phone", matches(text, LOOSE_PHONE), False, None),
-        _candidates(text, "ssn", matches(text, SSN), False, None),
-        _candidates(text, "iban", matches(text, IBAN), False, None),
+        _candidates("email", near(EMAIL, has("@")), True, yes),
+        _candidates("ip", near(IP), True, _small_parts),
+        _candidates("card", near(CARD), True, card),
+        _candidates("phone", near(PHONE, has("+")), True, number(10, 15)),
+        _candidates("email", near(LOOSE_EMAIL, has("at)") | has("at]")), False, None),
+        _candidates("phone", near(LOOSE_PHONE), False, None),
+        _candidates("ssn", near(SSN), False, None),
+        _candidates("iban", near(IBAN), False, None),
     ]
     return F.array_sort(F.concat(*parts)).cast(f"array<{CANDIDATE}>")
 
@@ -184,7 +186,8 @@ def train(rows: list[dict]) -> dict[str, dict[str, float]]:
 def fit(spans: DataFrame) -> dict[str, dict[str, float]]:
     """The classifier, from all rows of a table with an array column ``candidates``."""
     each = spans.select(F.explode("candidates").alias("c")).select("c.*")
-    return train([r.asDict() for r in each.groupBy("kind", *LABELERS, *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()])
+    counts = each.groupBy("kind", *LABELERS, *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
+    return train([r.asDict() for r in sorted(counts)])  # sorted, as sums of floats depend on their order
 
 
 def accepted(spans: Column, model: dict[str, dict[str, float]], threshold: float = 0.5) -> Column:
@@ -199,12 +202,23 @@ def accepted(spans: Column, model: dict[str, dict[str, float]], threshold: float
             out = out + weight(s, F.concat(F.lit(f"{name}="), s[name].cast("string")))
         return out
 
-    base = F.filter(spans, lambda s: s["base"])
-    more = F.filter(spans, lambda s: ~s["base"] & (score(s) > math.log(threshold / (1 - threshold))))
-    free = F.filter(more, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    first = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{CANDIDATE}>").alias("out"))
-    step = lambda a, s: F.when(s["start"] >= a["end"], F.struct(s["end"].alias("end"), F.array_append(a["out"], s).alias("out"))).otherwise(a)
-    return F.array_sort(F.concat(base, F.aggregate(free, first, step, lambda a: a["out"])))
+    # From the end: where the next base span starts. From the start: where the last base and added spans end.
+    told = "struct<span:" + CANDIDATE + ",next:int>"
+    back = lambda at, s: (F.when(s["base"], s["start"]).otherwise(at), F.struct(s.alias("span"), at.alias("next")))
+    seen = F.reverse(running(F.reverse(spans), F.lit(2**31 - 1), back, told))
+    ends = F.struct(F.lit(0).alias("base"), F.lit(0).alias("added"))
+
+    def forth(last: Column, x: Column) -> tuple[Column, Column]:
+        s = x["span"]
+        free = (s["start"] >= last["base"]) & (s["start"] >= last["added"]) & (s["end"] <= x["next"])
+        taken = ~s["base"] & free & (score(s) > math.log(threshold / (1 - threshold)))
+        base = F.when(s["base"], F.greatest(last["base"], s["end"])).otherwise(last["base"])
+        added = F.when(taken, s["end"]).otherwise(last["added"])
+        return F.struct(base.alias("base"), added.alias("added")), F.when(s["base"] | taken, s)
+
+    kept = F.filter(running(seen, ends, forth, CANDIDATE), lambda s: s.isNotNull())
+    # Where all spans are of the base there is nothing to weigh.
+    return F.when(F.exists(spans, lambda s: ~s["base"]), kept).otherwise(spans)
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
@@ -216,14 +230,12 @@ def find_pii(documents: DataFrame) -> DataFrame:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; a span that starts inside another goes with it."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    parts = blocks(text)
 
-    def step(acc, s):
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        inside = s["start"] < acc["at"]
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        mark = F.concat(cut(parts, at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.lit("")).otherwise(mark)
 
-    close = lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.lit(2**31 - 1)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, step, close)).otherwise(text)
+    end = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    marked = F.array_join(running(spans, F.lit(0), step, "string"), "")
+    return F.when(F.size(spans) > 0, F.concat(marked, F.substr(text, end + 1, F.lit(2**31 - 1)))).otherwise(text)

@@ -29,11 +29,11 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}+"
 MORE = {
-    "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
-    "url": r"[a-z]{2,10}://[^\s:@/]{1,64}:[^\s:@/]{3,64}@",
+    "pem": r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z0-9]++ )*+PRIVATE KEY-----",
+    "github": r"gh[pousr]_[A-Za-z0-9]{36,}+",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}+",
+    "url": r"(?<![a-z])[a-z]{2,}+://[^\s:@/]++:[^\s:@/]{3,}+@",
 }
 #: What each of these needs somewhere in the text.
 NEEDS = {"pem": "PRIVATE KEY-----", "github": "_", "jwt": "eyJ", "slack": "xox", "url": "://"}
