@@ -117,6 +117,30 @@ def test_repeats(spark, docs, table):
     assert remove_repeats(table.limit(0)).count() == 0
 
 
+def test_repeats_with_colliding_hashes(spark, monkeypatch):
+    """Anchors and the first part of fingerprints hashed to a few bits: results stay right by the second part."""
+    from transitlake.llm import repeats
+
+    rng, whole = random.Random(3), repeats.hash_windows
+    both = lambda h, n: (whole(h, n) & np.uint64(31), (whole(h ^ repeats._OTHER, n) >> np.uint64(32)).astype(np.uint32))
+    docs = [text(rng, rng.randrange(5, 60)) for _ in range(20)]
+    docs = [(i, d) for i, d in enumerate(docs + [f"{text(rng, 9)} {d} {text(rng, 9)}" for d in docs[:8]])]
+    block = repeats._table(["doc_id", "text", "block"], [([i for i, _ in docs], repeats.pa.int64()), ([d for _, d in docs], repeats.pa.string()), ([0] * len(docs), repeats.pa.int32())])
+    monkeypatch.setattr(repeats, "fingerprints", both)
+    kept = repeats._kept_of_block(block, block.slice(0, 0), 13).to_pylist()
+    assert [(r["doc_id"], r["n_removed"]) for r in kept] == [(i, n) for i, _, n, _ in brute.repeats(docs)]
+    # The same across blocks: what one block tells another goes by the whole fingerprint, too.
+    first, second = block.slice(0, 14), block.slice(14)
+    second = second.set_column(2, "block", repeats.pa.array([1] * second.num_rows, repeats.pa.int32()))
+    anchors = [repeats._anchors_of_block(b, 1, 7) for b in (first, second)]
+    live = repeats.pa.Table.from_batches(list(repeats._live(repeats.pa.concat_tables(anchors).to_batches())))
+    mine = lambda table, i: table.filter(repeats.pa.compute.equal(table["block"], i))
+    sent = [repeats._windows_of_block(b, mine(live, i), 1, 13, 7) for i, b in enumerate((first, second))]
+    answers = repeats.pa.Table.from_batches(list(repeats._smallest(repeats.pa.concat_tables(sent).to_batches())))
+    rows = [r for i, b in enumerate((first, second)) for r in repeats._kept_of_block(b, mine(answers, i), 13).to_pylist()]
+    assert [(r["doc_id"], r["n_removed"]) for r in rows] == [(i, n) for i, _, n, _ in brute.repeats(docs)]
+
+
 def test_repeats_null_and_repeated_ids(spark):
     from transitlake.llm.repeats import remove_repeats
 
@@ -288,6 +312,62 @@ def test_spans(spark, docs, table, name):
         assert set(rows[i]["base"].split(",")) - {""} <= set(rows[i]["all"].split(","))
 
 
+@pytest.mark.parametrize("name", ["pii", "secrets"])
+def test_spans_of_odd_tables(spark, name):
+    """Empty tables, repeated rows, null ids, columns of clashing names."""
+    rows = [(1, "a.b@c.de password=hunter22x", "x")] * 3 + [(None, None, "x"), (None, "10.0.0.1", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumns({c: F.lit(1) for c in ("candidates", "blob", "findings", "rules")})
+    if name == "pii":
+        from transitlake.llm.pii import find_pii
+
+        of = find_pii
+    else:
+        from transitlake.llm.secrets import findings
+
+        of = lambda t: findings(t.select(F.col("doc_id").alias("path"), F.col("text").alias("content"), "blob", "rules"))[0]
+    assert of(df).count() == 5 and of(df.limit(0)).count() == 0
+
+
+LONG = {
+    "addresses": "ab.cd@ef.gh " * 80_000,
+    "addresses before words": "ab.cd@ef.gh " * 1000 + "plain words here " * 50_000,
+    "addresses after words": "plain words here " * 50_000 + "ab.cd@ef.gh " * 1000,
+    "phones": "555-123-4567 call +1 555 123 4567 " * 30_000,
+    "hexes": ("0123456789abcdef" * 2 + " ") * 30_000,
+    "assignments": "password=hunter22x " * 50_000,
+    "near misses": "AKIAshort password= eyJ token :" * 30_000,
+    "dots": "a.b.c.1.2." * 100_000,
+    "digits": "1" * 10**6,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts_of_many_spans_take_linear_time(spark, name):
+    import time
+
+    from transitlake.llm.pii import accepted, candidates, redact, train
+    from transitlake.llm.secrets import find_secrets
+
+    rows = [dict(kind="phone", strict=-1, gazetteer=-1, context=1, edges=1, length=1, digits=2, before=1, n=5)]
+    df = spark.createDataFrame([(LONG[name],)], "text string").select("text", candidates(F.col("text")).alias("c"), find_secrets(F.col("text")).alias("s"))
+    spans = accepted(F.col("c"), train(rows))
+    began = time.perf_counter()
+    df.select("text", "s", spans.alias("spans")).select(redact(F.col("text"), F.col("spans")), "s").write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 40  # both scans, the sweep and the redaction of 1 MB
+
+
+def test_running_sums_over_parts(spark):
+    from transitlake.llm.spans import blocks, cut, running
+
+    step = lambda at, x: (at + x, at + x)
+    for n in (0, 1, 255, 256, 257, 1000):
+        out = spark.range(1).select(running(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda x: x), F.lit(0), step, "int").alias("r")).first()["r"]
+        assert out == [i * (i + 1) // 2 for i in range(n + 1)]
+    long = "".join(chr(97 + i % 26) + ("é" if i % 7 else "\n") for i in range(6000))
+    df = spark.createDataFrame([(long, a, n) for a, n in ((0, 3), (4090, 10), (4096, 4096), (8191, 1), (11_990, 50), (0, 12_000), (5, 0))], "t string, a long, n long")
+    assert all(r["x"] == long[r["a"] : r["a"] + r["n"]] for r in df.select("a", "n", cut(blocks(F.col("t")), F.col("a"), F.col("n")).alias("x")).collect())
+
+
 def test_random_spans_agree(spark):
     """The patterns with their shortcuts against the plain ones, on random strings of the letters that matter."""
     from transitlake.llm import pii, secrets

@@ -250,6 +250,101 @@ def test_language(spark):
     assert {r["lang"] for r in identify(df, docs.limit(0)).collect()} == {None}
 
 
+def plain_language(pages, docs):
+    """Evidence fusion in plain Python: page_id -> (best language, posterior) by counting in dictionaries."""
+    import math
+    from collections import Counter, defaultdict
+
+    from transitlake.llm import langid as L
+
+    def grams(text):
+        out = Counter()
+        for w in re.sub(r"[\W\d_]+", " ", text.lower()).split():
+            e = f" {w} "
+            out.update(e[i : i + 3] for i in range(len(w)))
+            out.update(e[i : i + 2] for i in range(len(w) + 1))
+            out.update(w)
+        return out
+
+    langs = sorted({lang for _, _, lang in docs if lang})
+    count = {x: Counter() for x in langs}
+    for _, text, lang in docs:
+        if lang:
+            count[lang] += grams(text or "")
+    known = set().union(*count.values())
+    whole = {x: sum(count[x].values()) + L.SMOOTHING * (len(known) + 1) for x in langs}
+    norm = lambda z: [math.exp(a - max(z)) / sum(math.exp(b - max(z)) for b in z) for a in z]
+    rows = []
+    for page, url, html in pages:
+        own = grams(re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<script.*?</script>", " ", html or "")))
+        n = sum(own.values())
+        mean = [sum(k * math.log((count[x][g] + L.SMOOTHING) / whole[x]) for g, k in own.items()) / n if n else 0.0 for x in langs]
+        text = [m * min(L.TEXT_MOST, L.TEXT_WEIGHT * n) for m in mean]
+        host = re.sub(r"^(?:www|m)\.", "", (re.match(r"[a-z]+://([^/:?#]*)", url or "") or ["", ""])[1])
+        code = (re.match(r"[a-z]+://[^/]*/([a-z]{2})(?:/|$)", url or "") or ["", ""])[1]
+        declared = (re.search(r'<html\b[^>]*?\blang="([a-z]{2})"', html or "") or ["", ""])[1]
+        rows.append((page, host, ".".join(host.split(".")[-2:]), declared, "/".join([host.split(".")[-1], code]), text, norm(text)))
+    total = [sum(r[6][i] for r in rows) for i in range(len(langs))]
+    sums = [defaultdict(lambda: [0.0] * len(langs)) for _ in range(4)]
+    for r in rows:
+        for j in range(4):
+            sums[j][r[j + 1]] = [a + b for a, b in zip(sums[j][r[j + 1]], r[6])]
+    out = {}
+    for r in rows:
+        score = list(r[5])
+        of_domain = [max(a - b, 0.0) for a, b in zip(sums[1][r[2]], r[6])]
+        of_host = [max(a - b, 0.0) for a, b in zip(sums[0][r[1]], r[6])]
+        for i in range(len(langs)):
+            share = (total[i] + 1) / (sum(total) + len(langs))
+            domain = (of_domain[i] + L.DOMAIN_PRIOR * share) / (sum(of_domain) + L.DOMAIN_PRIOR)
+            score[i] += math.log((of_host[i] + L.HOST_PRIOR * domain) / (sum(of_host) + L.HOST_PRIOR))
+            for j, key in ((2, r[3]), (3, r[4])):
+                value = sums[j][key]
+                score[i] += math.log((value[i] + L.VALUE_PRIOR * sum(value) / len(rows)) / (total[i] + L.VALUE_PRIOR))
+        q = norm(score)
+        out[r[0]] = langs[q.index(max(q))], max(q)
+    return out
+
+
+def test_language_is_that_of_a_plain_version(spark):
+    from transitlake.llm.langid import identify
+
+    rng = random.Random(12)
+    words = {x: [word(rng) + tail for _ in range(30)] for x, tail in (("en", "th"), ("de", "ch"), ("fr", "é"))}
+    say = lambda n: " ".join(rng.choice(words[rng.choice(["en", "de", "fr", "de"])]) for _ in range(n))
+    docs = [(i, " ".join(rng.choice(words[x]) for _ in range(20)), x) for i, x in enumerate(["en", "de", "fr"] * 10)] + [(50, None, "en"), (51, "abc", None)]
+    pages = [(i, f"https://{rng.choice(['www.', '', 'm.'])}h{i % 7}.d{i % 3}.{rng.choice(['com', 'de', 'fr'])}/{rng.choice(['de', 'en', 'index'])}/", f'<html lang="{rng.choice(["de", "en", "fr"])}"><p>{say(rng.randrange(6))}</p>') for i in range(198)]
+    pages += [(500, None, None), (501, "", "<p>" + say(3))]
+    got = {r["page_id"]: r for r in identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    for page, (lang, posterior) in plain_language(pages, docs).items():
+        assert got[page]["lang"] == lang and got[page]["posterior"] == pytest.approx(posterior, abs=1e-5), page
+
+
+@pytest.mark.parametrize("page", ["<!--" * 250_000, "<script>" * 130_000, "<" * 10**6, "<html " * 170_000, "<html lang " * 90_000, "</script <script>" * 60_000, "a " * 500_000])
+def test_long_pages_take_linear_time(spark, page):
+    from transitlake.llm.langid import declared_in, visible
+
+    began = time.perf_counter()
+    visible(page)
+    spark.createDataFrame([(page,)], "html string").select(declared_in(F.col("html"))).collect()
+    assert time.perf_counter() - began < 10
+
+
+def test_what_is_visible():
+    from transitlake.llm.langid import visible
+
+    assert visible("a<b>c</b><!-- x > y -->d<SCRIPT>1 < 2</Script >e &amp; f").split() == ["a", "c", "d", "e", "&", "f"]
+    assert visible("a<style>b").split() == ["a"] and visible("a <b c").split() == ["a", "<b", "c"] and visible(None) == ""
+
+
+def test_repeated_and_equal_pages(spark):
+    from transitlake.llm.langid import identify
+
+    docs = spark.createDataFrame([(1, "ab", "xx"), (2, "ab", "aa")], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "u", "ab", "c")] * 3 + [(None, "u", "zz", "c")], "page_id long, url string, html string, host string")
+    assert sorted((r["page_id"] or 0, r["lang"], round(r["posterior"], 6)) for r in identify(pages, docs).collect()) == [(0, "aa", 0.5)] + [(1, "aa", 0.5)] * 3
+
+
 def test_declared_after_long_attributes(spark):
     from transitlake.llm.langid import declared_in
 
@@ -292,3 +387,10 @@ def test_pipeline(spark, tmp_path):
     masked = spark.read.parquet(f"{tmp_path}/pii").where("doc_id = 303").first()
     assert masked["text"].endswith("[EMAIL]") and masked["n_chars"] == len(masked["text"])
     assert C.run(spark, str(tmp_path)).count() == df.count()
+    # Odd tables go through each stage: none of its rows, repeated rows, null ids, columns with the names used inside.
+    odd = spark.createDataFrame([(None, None, "en", "s", 1), (7, "mail a.b@c.de", None, None, None), (7, "mail a.b@c.de", None, None, None)], schema)
+    odd = odd.withColumns({c: F.lit(1) for c in ("_spans", "_gone", "toxic", "score")})
+    for name, stage in C.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, odd, str(tmp_path))
+        assert out.count() == 3 and (name == "packing" or out.columns == odd.columns), name

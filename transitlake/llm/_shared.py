@@ -18,9 +18,11 @@ _SHIFT = np.uint64(29)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The shared folder for cut lineage: spark.checkpoint.dir, or a temporary one where it is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='transitlake-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

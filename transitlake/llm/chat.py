@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.llm.spans import blocks, cut, running
+from transitlake.llm.spans import blocks, cut, let, running
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Placeholders of the parts that are not text.
@@ -100,6 +100,5 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     role = lambda x: F.substring_index(inner(x), "\n", 1)
     text = lambda x: F.substr(inner(x), F.length(role(x)) + F.lit(2))
     turns = F.transform(pieces, lambda x: F.struct(unescape(role(x)).alias("role"), unescape(text(x)).alias("text")))
-    parts = blocks(F.col("formatted"))
-    learnt = F.transform("loss_spans", lambda s: unescape(cut(parts, s["start"], s["length"])))
+    learnt = let(blocks(F.col("formatted")), lambda parts: F.transform("loss_spans", lambda s: unescape(cut(parts, s["start"], s["length"]))))
     return formatted.select("*", turns.alias("turns"), F.array_join(learnt, "").alias("loss_text"))

@@ -2,8 +2,8 @@
 
 For each page four sources of evidence about its language are combined:
 
-* text: likelihood under a naive Bayes model of character 1- to 3-grams, whose counts are summed over all labelled
-  documents by language, hashed to a table of fixed size for each language;
+* text: likelihood under a naive Bayes model of character 1- to 3-grams of words, whose counts are exact sums over all
+  labelled documents by language; the model's size is that of the distinct 3-grams of letters;
 * declaration: the page's ``lang`` attribute, with P(declared | language) estimated over all pages;
 * address suffix: the host's last label and the path's language code, likewise;
 * host: a prior smoothed hierarchically. The host's counts fall back on its registered domain's, these on all pages'.
@@ -16,7 +16,9 @@ n, at most TEXT_MOST grams.
 
 Defined results: a null or empty page has no text evidence and takes what its address and declaration give. Null
 addresses have an empty host. Rows without labels of any language give null languages. Documents without a language
-are not learnt from. Rows that repeat a page_id are pages each for itself. Other columns are ignored.
+are not learnt from. Rows that repeat a page_id are pages each for itself. Of equally likely languages the first by name
+is taken. An unclosed comment, script or the like hides the rest of a page. Pages may be very long: time is linear in
+their length. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,68 +28,125 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.llm._shared import materialize, text_batches
+from transitlake.llm._shared import materialize, text_slices
 
-SLOT_BITS = 16
-GRAMS = (1, 2, 3)
 SMOOTHING = 0.5
 TEXT_WEIGHT, TEXT_MOST = 0.3, 60.0
 #: Pseudo-counts: of a host's domain, of a domain's whole, and of an evidence value under a language.
 HOST_PRIOR, DOMAIN_PRIOR, VALUE_PRIOR = 4.0, 8.0, 1.0
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
+_HIDDEN = re.compile(r"<(!--|(?:script|style|noscript|template)\b)", re.IGNORECASE)
+_CLOSING = {x: re.compile(rf"</{x}\s*+>", re.IGNORECASE) for x in ("script", "style", "noscript", "template")} | {"!--": re.compile("-->")}
 _BLANK = re.compile(r"[\W\d_]+")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Characters take 21 bits each in a gram's key, the last one lowest.
+_BITS, _WORD_EDGE = np.uint64(21), np.uint64(0x20)
 
 
 def visible(page: str | None) -> str:
-    """A page's text without tags, scripts, styles and comments."""
-    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))) if page else ""
-
-
-def gram_slots(text: str | None) -> np.ndarray:
-    """Slots of all character 1- to 3-grams of a text's letters, words parted by one blank."""
-    plain = f" {_BLANK.sub(' ', (text or '').lower()).strip()} "
-    if len(plain) < 3:
-        return np.empty(0, np.int64)
-    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    out = []
-    for k in GRAMS:
-        value = np.full(len(codes) - k + 1, k, np.uint64)
-        for i in range(k):
-            value = value * np.uint64(1_000_003) + codes[i : len(codes) - k + 1 + i]
-        out.append((value * _MULTIPLIER) >> np.uint64(64 - SLOT_BITS))
-    return np.concatenate(out).astype(np.int64)
-
-
-def text_model(documents: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and their log probabilities of each slot, from all documents that have a language."""
+    """A page's text without tags, scripts, styles and comments, in one pass."""
+    page, at, out = page or "", 0, []
+    while (i := page.find("<", at)) >= 0:
+        out.append(page[at:i])
+        hidden = _HIDDEN.match(page, i)
+        if hidden:
+            closing = _CLOSING[hidden[1].lower()].search(page, hidden.end())
+            at = closing.end() if closing else len(page)
+        else:
+            j = page.find(">", i)
+            if j < 0:  # no tag ends any more
+                at = i
+                break
+            at = j + 1
+        out.append(" ")
+    return entities.unescape("".join([*out, page[at:]]))
+
+
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the 3-grams of words with an edge at both ends, and which word each is of."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    if not lengths.sum():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    codes = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    at = np.flatnonzero(codes != _WORD_EDGE)
+    return codes[at - 1] << (_BITS * np.uint64(2)) | codes[at] << _BITS | codes[at + 1], np.repeat(np.arange(len(words)), lengths)
+
+
+def shorter_grams(threes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of 1-, 2- and 3-grams from the counts of 3-grams around each letter.
+
+    A letter's 1-gram and the 2-grams before and behind it are parts of its 3-gram; keys of other lengths are marked.
+    """
+    two = np.uint64((1 << 42) - 1)
+    mark = lambda k: np.uint64(k << 62)
+    last = (threes & np.uint64((1 << 21) - 1)) == _WORD_EDGE
+    parts = [(threes, n), (threes >> _BITS & two | mark(1), n), ((threes & two | mark(1))[last], n[last]), (threes >> _BITS & np.uint64((1 << 21) - 1) | mark(2), n)]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters."""
+    return _BLANK.sub(" ", text.lower()).split()
+
+
+class TextModel:
+    """Log probabilities of the known grams (sorted keys) and of any other one, by language."""
+
+    def __init__(self, langs: list[str], of: np.ndarray, threes: np.ndarray, n: np.ndarray):
+        """of: the language's place for each count n of a 3-gram."""
+        self.langs = langs
+        keys, counts = shorter_grams(threes, n)
+        of = of if not len(n) else np.concatenate([of, of, of[(threes & np.uint64((1 << 21) - 1)) == _WORD_EDGE], of])
+        self.keys, at = np.unique(keys, return_inverse=True)
+        table = np.full((len(langs), len(self.keys)), SMOOTHING)
+        np.add.at(table, (of, at), counts)
+        whole = table.sum(axis=1, keepdims=True) + SMOOTHING
+        self.logs, self.other = np.log(table / whole).astype(np.float32), np.log(SMOOTHING / whole[:, 0])
+
+    def means(self, text: str) -> tuple[np.ndarray, int]:
+        """Mean log probability of a text's grams by language, and their number."""
+        threes, _ = word_grams(words_of(text))
+        if not len(threes):
+            return np.zeros(len(self.langs)), 0
+        threes, n = np.unique(threes, return_counts=True)
+        keys, n = shorter_grams(threes, n)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1) if len(self.keys) else np.zeros(len(keys), np.int64)
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        total = self.logs[:, at[known]].astype(np.float64) @ n[known] + self.other * n[~known].sum()
+        return total / n.sum(), int(n.sum())
+
+
+def text_model(documents: DataFrame) -> TextModel:
+    """From all documents that have a language."""
 
     def count(batches):
-        total: dict[str, np.ndarray] = {}
-        for langs, texts in text_batches(batches, "lang"):
-            for lang, text in zip(langs.to_pylist(), texts, strict=True):
-                slots = gram_slots(text.decode("utf-8", "replace") if text else "")
-                if lang not in total:
-                    total[lang] = np.zeros(1 << SLOT_BITS)
-                if len(slots):
-                    total[lang] += np.bincount(slots, minlength=1 << SLOT_BITS)
-        for lang, n in total.items():
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(n[used])], ["lang", "slot", "n"])
+        for batch in batches:
+            names = batch.column("lang")
+            for first, texts in text_slices(batch.column("text")):
+                own = pc.dictionary_encode(names.slice(first, len(texts)))
+                for i, lang in enumerate(own.dictionary.to_pylist()):
+                    chunks = pc.utf8_split_whitespace(texts.filter(pc.equal(own.indices, i))).flatten()
+                    named = pc.dictionary_encode(chunks)
+                    times = np.bincount(named.indices.to_numpy(), minlength=len(named.dictionary))
+                    split = [words_of(c) for c in named.dictionary.to_pylist()]
+                    threes, of = word_grams([w for ws in split for w in ws])
+                    if len(threes):
+                        weight = np.repeat(times, [len(ws) for ws in split])
+                        grams, at = np.unique(threes, return_inverse=True)
+                        n = np.bincount(at, weight[of], len(grams)).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int64()), pa.array([0], pa.int64())], ["lang", "gram", "n"])
 
     known = documents.select("lang", "text").where("lang is not null")
-    # At most one row for each language and slot reaches the driver.
-    rows = known.mapInArrow(count, "lang string, slot long, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(rows["lang"].unique().to_pylist())
-    counts = np.full((len(langs), 1 << SLOT_BITS), SMOOTHING)
-    if rows.num_rows:
-        counts[np.searchsorted(langs, rows["lang"].to_pylist()), rows["slot"].to_numpy()] += rows["n"].to_numpy()
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    rows = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(rows["lang"].to_pylist()))
+    rows = rows.filter(pc.greater(rows["n"], 0)).sort_by([("lang", "ascending"), ("gram", "ascending")])
+    of = np.searchsorted(langs, rows["lang"].to_pylist()) if rows.num_rows else np.empty(0, np.int64)
+    return TextModel(langs, of, rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy())
 
 
 def host_of(url: Column) -> Column:
@@ -107,27 +166,29 @@ def suffix_of(url: Column, host: Column) -> Column:
 
 def declared_in(page: Column) -> Column:
     """The primary subtag of the html element's lang attribute, or empty."""
-    return F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
+    tag = F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)^.*?<html\b([^>]*+)", 1)
+    return F.lower(F.regexp_extract(tag, r"""(?i)\blang\s*+=\s*+["']?([A-Za-z]{2,3})""", 1))
 
 
-def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """page_id, host, domain, declared, suffix and text: tempered log likelihoods in the order of langs."""
-    sent = pages.sparkSession.sparkContext.broadcast(logs)
+def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
+    """page_id, host, domain, declared, suffix and text: tempered log likelihoods in the order of the languages."""
+    sent = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
     def likelihood(texts):
         import pandas as pd
 
-        out = []
-        for page in texts:
-            slots = gram_slots(visible(page))
-            n = len(slots)
-            mean = sent.value[:, slots].mean(axis=1, dtype=np.float64) if n else np.zeros(len(sent.value))
-            out.append((mean * min(TEXT_MOST, TEXT_WEIGHT * n)).tolist())
-        return pd.Series(out)
+        found = [sent.value.means(visible(page)) for page in texts]
+        return pd.Series([(mean * min(TEXT_MOST, TEXT_WEIGHT * n)).tolist() for mean, n in found])
 
     host = host_of(F.col("url"))
-    named = pages.select("page_id", host.alias("host"), suffix_of(F.col("url"), host).alias("suffix"), declared_in(F.col("html")).alias("declared"), likelihood("html").alias("text"))
+    named = pages.select(
+        "page_id",
+        host.alias("host"),
+        suffix_of(F.col("url"), host).alias("suffix"),
+        declared_in(F.col("html")).alias("declared"),
+        likelihood("html").alias("text"),
+    )
     return named.withColumn("domain", domain_of(F.col("host")))
 
 
@@ -144,13 +205,16 @@ def _sums(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
 
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """page_id, host, lang, posterior, text_lang, declared, suffix: a row for each page row."""
-    langs, logs = text_model(documents)
+    model = text_model(documents)
+    langs = model.langs
     n = len(langs)
     if not n:
         host = host_of(F.col("url"))
         nothing = F.lit(None).cast("string")
-        return pages.select("page_id", host.alias("host"), nothing.alias("lang"), F.lit(None).cast("double").alias("posterior"), nothing.alias("text_lang"), declared_in(F.col("html")).alias("declared"), suffix_of(F.col("url"), host).alias("suffix"))
-    rows = materialize(evidence(pages, langs, logs).withColumn("p", _posterior(F.col("text"))), "language-evidence")
+        told = {"host": host, "lang": nothing, "posterior": F.lit(None).cast("double"), "text_lang": nothing, "declared": declared_in(F.col("html"))}
+        told["suffix"] = suffix_of(F.col("url"), host)
+        return pages.select("page_id", *(c.alias(k) for k, c in told.items()))
+    rows = materialize(evidence(pages, model).withColumn("p", _posterior(F.col("text"))), "language-evidence")
     whole = _sums(rows, [], n, "w").first()["w"] or [0.0] * n
     total = [x or 0.0 for x in whole]
     share = F.array(*(F.lit((x + 1.0) / (sum(total) + n)) for x in total))

@@ -37,6 +37,8 @@ MANTISSA = 10
 #: Pairs whose estimate is below this are dropped: six standard deviations under 0.75 at 96 registers.
 ESTIMATE_FLOOR = 0.48
 LEADER_ROUNDS = 2
+#: Members of a bucket that one task joins, on average; buckets with more are split by hash.
+BUCKET_ROWS = 1000
 #: Rarity is counted in a table of this many slots; shingles that share one only look more frequent.
 RARITY_BITS = 18
 
@@ -166,13 +168,21 @@ def confirm(pairs: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame
     return near.join(own("a"), "a").join(own("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(linked, "a long, b long")
 
 
+def _by_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """members with the columns of buckets (a row for each bucket, with n, its size), large buckets in parts."""
+    parts = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+    own = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    told = buckets.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return own.join(told, ["bucket", "part"]).drop("part")
+
+
 def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """bucket, doc_id, mass, component of buckets that still hold more than one component."""
+    """bucket, n, doc_id, mass, component of buckets that still hold more than one component."""
     nodes = components(links)
     own = buckets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("bucket", "doc_id", "mass", F.coalesce("component", "doc_id").alias("component"))
-    mixed = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return materialize(own.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed-buckets")
+    own = own.select("bucket", "n", "doc_id", "mass", F.coalesce("component", "doc_id").alias("component"))
+    mixed = own.groupBy("bucket").agg(F.max("n").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return materialize(_by_bucket(own, mixed.select("bucket", "n")), "mixed-buckets")
 
 
 def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,7 +248,7 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs_of = materialize(bands.join(shared, "bucket"), "shared-buckets")
     mass = pairs_of.groupBy("doc_id").agg(F.sum("n").alias("mass"))
-    buckets = materialize(pairs_of.join(mass, "doc_id").select("bucket", "doc_id", "mass"), "buckets")
+    buckets = materialize(pairs_of.join(mass, "doc_id").select("bucket", "n", "doc_id", "mass"), "buckets")
     forget(pairs_of)
     named = spark.sparkContext.broadcast(bitmap(buckets, "doc_id"))
 
@@ -255,13 +265,13 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
     links = spark.createDataFrame([], "a long, b long")
     mixed = buckets.withColumn("component", F.col("doc_id"))
     for turn in range(LEADER_ROUNDS):
-        lead = F.max(F.struct("mass", (-F.col("doc_id")).alias("o"), F.col("component").alias("c")))
-        led = mixed.groupBy("bucket").agg(lead.alias("l"))
+        lead = F.max(F.struct("mass", (-F.col("doc_id")).alias("o"), F.col("component").alias("c"))).alias("l")
+        led = mixed.groupBy("bucket").agg(lead, F.max("n").alias("n"))
         if turn:  # the next leader is of another component than the first
-            first = led.select("bucket", F.col("l.c").alias("c"))
-            led = mixed.join(first, "bucket").where("component <> c").drop("c").groupBy("bucket").agg(lead.alias("l"))
-        led = led.select("bucket", (-F.col("l.o")).alias("a"), F.col("l.c").alias("other"))
-        pairs = mixed.join(led, "bucket").where("component <> other").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+            first = led.select("bucket", "n", F.col("l.c").alias("c"))
+            led = _by_bucket(mixed, first).where("component <> c").groupBy("bucket").agg(lead, F.max("n").alias("n"))
+        led = led.select("bucket", "n", (-F.col("l.o")).alias("a"), F.col("l.c").alias("other"))
+        pairs = _by_bucket(mixed, led).where("component <> other").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
         links = links.unionByName(materialize(confirm(materialize(pairs.distinct(), "pairs"), sketched, sets), "confirmed"))
         release_shuffles(spark)
         mixed = _labelled(buckets if not turn else mixed.drop("component"), links)

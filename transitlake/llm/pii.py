@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm._shared import materialize
-from transitlake.llm.spans import blocks, cut, matches, running
+from transitlake.llm.spans import blocks, cut, let, matches, running
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
@@ -205,7 +205,7 @@ def accepted(spans: Column, model: dict[str, dict[str, float]], threshold: float
     # From the end: where the next base span starts. From the start: where the last base and added spans end.
     told = "struct<span:" + CANDIDATE + ",next:int>"
     back = lambda at, s: (F.when(s["base"], s["start"]).otherwise(at), F.struct(s.alias("span"), at.alias("next")))
-    seen = F.reverse(running(F.reverse(spans), F.lit(2**31 - 1), back, told))
+    seen = lambda own: F.reverse(running(F.reverse(own), F.lit(2**31 - 1), back, told))
     ends = F.struct(F.lit(0).alias("base"), F.lit(0).alias("added"))
 
     def forth(last: Column, x: Column) -> tuple[Column, Column]:
@@ -216,9 +216,9 @@ def accepted(spans: Column, model: dict[str, dict[str, float]], threshold: float
         added = F.when(taken, s["end"]).otherwise(last["added"])
         return F.struct(base.alias("base"), added.alias("added")), F.when(s["base"] | taken, s)
 
-    kept = F.filter(running(seen, ends, forth, CANDIDATE), lambda s: s.isNotNull())
+    kept = lambda own: F.filter(running(seen(own), ends, forth, CANDIDATE), lambda s: s.isNotNull())
     # Where all spans are of the base there is nothing to weigh.
-    return F.when(F.exists(spans, lambda s: ~s["base"]), kept).otherwise(spans)
+    return let(spans, lambda own: F.when(F.exists(own, lambda s: ~s["base"]), kept(own)).otherwise(own))
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
@@ -230,12 +230,12 @@ def find_pii(documents: DataFrame) -> DataFrame:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; a span that starts inside another goes with it."""
-    parts = blocks(text)
+    def marked(own: Column, parts: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            mark = F.concat(cut(parts, at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.greatest(at, s["end"]), F.when(s["start"] < at, F.lit("")).otherwise(mark)
 
-    def step(at: Column, s: Column) -> tuple[Column, Column]:
-        mark = F.concat(cut(parts, at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.lit("")).otherwise(mark)
+        end = F.aggregate(own, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+        return F.concat(F.array_join(running(own, F.lit(0), step, "string"), ""), F.substr(text, end + 1, F.lit(2**31 - 1)))
 
-    end = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
-    marked = F.array_join(running(spans, F.lit(0), step, "string"), "")
-    return F.when(F.size(spans) > 0, F.concat(marked, F.substr(text, end + 1, F.lit(2**31 - 1)))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, lambda own: let(blocks(text), lambda parts: marked(own, parts)))).otherwise(text)

@@ -19,7 +19,9 @@ Anchor hashes only choose what is looked at; windows are told apart by their 96-
 
 Defined results: null or wordless texts have no words and keep an empty text. Rows without doc_id take no part and keep
 all words. Rows that repeat a doc_id are parts of one document: none is smaller than the other. Texts may be very long;
-a document is held by one task. Other columns are ignored.
+a document is held by one task. An empty table gives an empty result. Other columns are ignored.
+
+The blocks are written through the session's catalogue, as only bucketed tables keep their layout; it must be writable.
 """
 
 from __future__ import annotations
@@ -35,14 +37,14 @@ from pyspark.sql import functions as F
 from transitlake.llm._shared import forget, hash_windows, hash_words, materialize, release_shuffles, scratch_root, space_words
 
 WINDOW = 13
-#: Characters of text in a block of documents, on average.
-BLOCK_CHARS = 3_000_000
+#: Bytes of text in a block of documents, and in what a task of a bucket's phase answers for, on average.
+BLOCK_CHARS, PART_CHARS = 3_000_000, 64_000_000
 
 _LOW = np.uint64((1 << 40) - 1)
 _FORTY = np.uint64(40)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _ENTRY = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<i8")])
-_ANSWER = np.dtype([("hash", "<u8"), ("doc", "<i8")])
+_ANSWER = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<i8")])
 
 _PACKED = "bucket int, block int, entries binary"
 
@@ -82,6 +84,11 @@ def _hashes(table: pa.Table):
         yield doc, ws, hash_words(ws)
 
 
+def fingerprints(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of each window's fingerprint."""
+    return hash_windows(hashes, window), (hash_windows(hashes ^ _OTHER, window) >> np.uint64(32)).astype(np.uint32)
+
+
 def _anchors_of_block(table: pa.Table, n_buckets: int, anchor: int) -> pa.Table:
     grams, docs, fixed = [], [], []
     for i, (doc, _, hashes) in enumerate(_hashes(table)):
@@ -158,7 +165,8 @@ def _windows_of_block(documents: pa.Table, live: pa.Table, n_buckets: int, windo
         at = at[at <= len(hashes) - window]
         if len(at):
             rows = np.empty(len(at), _ENTRY)
-            rows["hash"], rows["more"], rows["doc"] = hash_windows(hashes, window)[at], (hash_windows(hashes ^ _OTHER, window)[at] >> np.uint64(32)), doc
+            hash_, more = fingerprints(hashes, window)
+            rows["hash"], rows["more"], rows["doc"] = hash_[at], more[at], doc
             found.append(rows)
     if not found:
         return nothing
@@ -185,22 +193,24 @@ def _smallest(batches):
         for i in np.unique(owner[beaten]).tolist():
             own = beaten[np.searchsorted(owner[beaten], i) : np.searchsorted(owner[beaten], i, "right")]
             out = np.empty(len(own), _ANSWER)
-            out["hash"], out["doc"] = every["hash"][own], least[own]
+            out["hash"], out["more"], out["doc"] = every["hash"][own], every["more"][own], least[own]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([rows[i][0]], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["bucket", "block", "entries"])
 
 
 def _kept_of_block(documents: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     every = list(_hashes(documents))
-    hashes = [hash_windows(h, window) if doc is not None else np.empty(0, np.uint64) for doc, _, h in every]
+    nothing = np.empty(0, np.uint64), np.empty(0, np.uint32)
+    both = [fingerprints(h, window) if doc is not None else nothing for doc, _, h in every]
+    hashes = [h for h, _ in both]
     docs = np.repeat(np.array([doc or 0 for doc, *_ in every], np.int64), [len(h) for h in hashes])
-    flat = np.concatenate([*hashes, np.empty(0, np.uint64)])
     told = _joined(answers, _ANSWER) if answers.num_rows else np.empty(0, _ANSWER)
-    keys, ids = np.r_[flat, told["hash"]], np.r_[docs, told["doc"]]
-    order = np.lexsort((ids, keys))
-    starts = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(keys) else np.empty(0, bool)
+    keys, more, ids = np.concatenate([*hashes, told["hash"]]), np.concatenate([*(m for _, m in both), told["more"]]), np.r_[docs, told["doc"]]
+    order = np.lexsort((ids, more, keys))
+    keys, more = keys[order], more[order]
+    starts = np.r_[True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])] if len(keys) else np.empty(0, bool)
     least = np.empty(len(keys), np.int64)
     least[order] = ids[order][np.flatnonzero(starts)][np.cumsum(starts) - 1] if len(keys) else 0
-    gone = least[: len(flat)] < docs
+    gone = least[: len(docs)] < docs
     at, rows = 0, []
     for (doc, ws, _), own in zip(every, hashes, strict=True):
         hit = np.flatnonzero(gone[at : at + len(own)])
@@ -224,10 +234,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     anchor = (window + 1) // 2
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / PART_CHARS))
     n_blocks = max(2 * parts, math.ceil(chars / BLOCK_CHARS))
     name = f"blocks_{uuid.uuid4().hex}"
-    dealt = documents.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).repartition(parts, "block")
+    # By row, so that rows that repeat don't meet in one block.
+    dealt = documents.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")).repartition(parts, "block")
     dealt.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_root(spark)}/{name}").bucketBy(parts, "block").saveAsTable(name)
     release_shuffles(spark)
     blocks = spark.table(name)

@@ -13,25 +13,35 @@ IN_CONTEXT = "array<struct<start:int,end:int,text:string,before:string,after:str
 STEP, BLOCK = 256, 4096
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(array: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """An output for each element, in order; step maps (state, element) to (next state, output of type array<kind>).
 
     Appending copies what is there, so outputs are gathered STEP at a time and these parts are joined at the end.
     """
-    n = F.size(array)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+    nothing = F.array().cast(f"array<{kind}>")
+    empty = F.filter(F.array(F.struct(state.alias("state"), nothing.alias("out"))), lambda x: F.lit(False))
+
+    def over(own: Column) -> Column:
+        n = F.size(own)
+
+        def one(acc: Column, i: Column) -> Column:
+            after, out = step(acc["state"], F.get(own, i))
+            return F.struct(after.alias("state"), F.array_append(acc["out"], out).alias("out"))
 
-    def one(acc: Column, x: Column) -> Column:
-        after, out = step(acc["state"], x)
-        return F.struct(after.alias("state"), F.array_append(acc["out"], out).alias("out"))
+        def part(acc: Column, at: Column) -> Column:
+            before = F.coalesce(F.try_element_at(acc, F.lit(-1))["state"], state)
+            places = F.sequence(at, F.least(at + STEP, n) - 1)
+            return F.array_append(acc, F.aggregate(places, F.struct(before.alias("state"), nothing.alias("out")), one))
 
-    def part(acc: Column, at: Column) -> Column:
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["state"], state)
-        first = F.struct(before.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
-        return F.array_append(acc, F.aggregate(F.slice(array, at, F.lit(STEP)), first, one))
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(F.aggregate(starts, empty, part), lambda x: x["out"]))
 
-    empty = F.filter(F.array(F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))), lambda x: F.lit(False))
-    return F.flatten(F.transform(F.aggregate(starts, empty, part), lambda x: x["out"]))
+    return let(array, over)
 
 
 def matches(text: Column, pattern: str, maybe: Column | None = None, context: int = 0) -> Column:
