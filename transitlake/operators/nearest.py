@@ -11,21 +11,35 @@ from transitlake.functions.geo import distance, line_distance
 from transitlake.operators.windows import RUN
 
 CELL_FEET = 500.0
+#: Pings of a run that are held in one row.
+RUN_PART = 256
 
 
 def nearest_ping(targets: DataFrame, pings: DataFrame, target_keys: Sequence[str], on: Sequence[str] = ("route", "pattern"), keys: Sequence[str] = RUN) -> DataFrame:
     """For each run and target of the run's pattern, its closest ping; ties go to the lowest index_loc.
 
-    Both sides have x and y in feet. Runs without targets drop out. The join has the pattern as key, so its size is
-    pings times the targets of one pattern; Spark broadcasts the targets where their size allows.
+    Both sides have x and y in feet; a run has one ping for each index_loc. Runs without targets drop out, pings without
+    a place take no part. Places are gathered RUN_PART pings at a time, so that a run's part meets each target in one
+    row, and only the best of each part moves on. Spark broadcasts the targets where their size allows.
     """
     own = targets.withColumnsRenamed({"x": "target_x", "y": "target_y"})
-    joined = pings.join(own, list(on))
-    d = distance(F.col("x"), F.col("y"), F.col("target_x"), F.col("target_y"))
-    values = [c for c in joined.columns if c not in (*keys, *target_keys)]
-    best = F.min_by(F.struct(*values, d.alias("dist_to_nearest_point")), F.struct(d.alias("d"), F.col("index_loc").alias("i")))
-    out = joined.groupBy(*keys, *target_keys).agg(best.alias("b"))
-    return out.select(*keys, *target_keys, *(F.col(f"b.{c}").alias(c) for c in (*values, "dist_to_nearest_point")))
+    by = list(dict.fromkeys([*on, *keys]))
+    place = F.struct("index_loc", "x", "y")
+    parts = pings.where("x is not null and y is not null").groupBy(*by, F.floor(F.col("index_loc") / RUN_PART).alias("_part"))
+    more = [c for c in own.columns if c not in (*on, *keys, *target_keys)]
+    met = parts.agg(F.collect_list(place).alias("_places")).join(own, list(on))
+
+    def best(p: Column) -> Column:
+        return F.struct(distance(p["x"], p["y"], F.col("target_x"), F.col("target_y")).alias("d"), p["index_loc"].alias("i"))
+
+    found = met.select(*by, *(c for c in target_keys if c not in by), F.array_min(F.transform("_places", best)).alias("_best"), F.struct(*more).alias("_more"))
+    # A row for each part of a run, so one as a rule.
+    least = F.array_min(F.collect_list(F.struct("_best", *(F.col(c).alias(c) for c in on if c not in keys), "_more")))
+    near = found.groupBy(*keys, *target_keys).agg(least.alias("_b"))
+    near = near.select(*keys, *target_keys, F.col("_b._best.i").alias("index_loc"), F.col("_b._best.d").alias("dist_to_nearest_point"), *(F.col(f"_b._more.{c}").alias(c) for c in more))
+    out = near.join(pings.select(*keys, "index_loc", *(c for c in pings.columns if c not in (*keys, *target_keys, "index_loc"))), [*keys, "index_loc"])
+    values = [c for c in (*on, *pings.columns, *own.columns) if c not in (*keys, *target_keys)]
+    return out.select(*keys, *target_keys, *dict.fromkeys(values), "dist_to_nearest_point")
 
 
 def within_cells(points: DataFrame, targets: DataFrame, radius: float, cell: float = CELL_FEET) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from transitlake.functions.geo import planar_metres
 from transitlake.functions.values import FEET_A_MILE, MILES_A_METRE, extract, is_numeric, safe_div, tag_timestamp, weekday
-from transitlake.operators.windows import asof, keep_last, keep_one, over
+from transitlake.operators.windows import ahead, from_here, keep_last, over, so_far
 
 # Formats of log lines.
 TAG = r"^\s*(\S+),(\d{1,5}),(\d{2}/\d{2}/\d{2}),(\d{2}:\d{2}:\d{2}),(\S+),(\S+)"
@@ -35,28 +35,35 @@ def line_kind(line: Column) -> Column:
     return kind.when(upper.startswith("/"), "message").when(F.size(F.split(line, ",")) == len(PING_FIELDS), "ping").otherwise("other")
 
 
+def _tag_columns(line: Column) -> dict[str, Column]:
+    """What a tag line says."""
+    part = lambda i: F.trim(F.regexp_extract(line, TAG, i))
+    stamp = tag_timestamp(part(3), part(4))
+    return {
+        "taglist": F.trim(line),
+        "route_pattern": part(1),
+        "route": extract(part(1), ROUTE_PATTERN, 1),
+        "pattern": extract(part(1), ROUTE_PATTERN, 2),
+        "tag_busid": part(2).cast("long"),
+        "tag_date": F.to_date(stamp),
+        "tag_time": part(4),
+        "tag_datetime": stamp,
+        "tag_starthour": F.hour(stamp),
+        "wday": weekday(stamp),
+        "unk1": part(5),
+        "mi_to_ft": part(6),
+    }
+
+
+INVENTORY = ("taglist", "line_num", "line_num_next", "route_pattern", "route", "pattern", "tag_busid", "tag_date", "tag_time", "tag_datetime", "tag_starthour", "wday", "unk1", "mi_to_ft")
+
+
 def tag_inventory(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """A row for each tag; files without one (empty, unreadable) keep one row of nulls."""
     found = lines.where(F.col("line").rlike(TAG))
-    part = lambda i: F.trim(F.regexp_extract("line", TAG, i))
-    stamp = tag_timestamp(part(3), part(4))
-    tags = found.select(
-        "filename",
-        F.trim("line").alias("taglist"),
-        F.col("line_num").cast("long").alias("line_num"),
-        F.lead("line_num").over(over(["filename"], ["line_num"])).cast("long").alias("line_num_next"),
-        part(1).alias("route_pattern"),
-        extract(part(1), ROUTE_PATTERN, 1).alias("route"),
-        extract(part(1), ROUTE_PATTERN, 2).alias("pattern"),
-        part(2).cast("long").alias("tag_busid"),
-        F.to_date(stamp).alias("tag_date"),
-        part(4).alias("tag_time"),
-        stamp.alias("tag_datetime"),
-        F.hour(stamp).alias("tag_starthour"),
-        weekday(stamp).alias("wday"),
-        part(5).alias("unk1"),
-        part(6).alias("mi_to_ft"),
-    )
+    number = {"line_num": F.col("line_num").cast("long"), "line_num_next": F.lead("line_num").over(over(["filename"], ["line_num"])).cast("long")}
+    told = {**_tag_columns(F.col("line")), **number}
+    tags = found.select("filename", *(told[c].alias(c) for c in INVENTORY))
     every = (files if files is not None else lines.select("filename").distinct()).select("filename")
     return every.join(tags, "filename", "left").withColumns(file_fields(F.col("filename")))
 
@@ -67,35 +74,49 @@ def analysis_files(inventory: DataFrame, routes: Sequence[str]) -> DataFrame:
     return inventory.withColumn("_hit", hit).where("_hit").drop("_hit")
 
 
-def positions(lines: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Lines with index_loc = line number - first tag line - 1, from the first tag on."""
-    first = inventory.groupBy("filename").agg(F.min("line_num").alias("_first"))
-    return lines.join(first.where("_first is not null"), "filename").withColumn("index_loc", (F.col("line_num") - F.col("_first") - 1).cast("long")).where("index_loc >= -1").drop("_first")
+def file_rows(lines: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """Lines from each file's first tag on: kind, index_loc (line number - first tag line - 1), and where their run ends.
 
-
-def run_bounds(lines: DataFrame, inventory: DataFrame) -> DataFrame:
-    """filename, index_run_start (the tag's place), index_run_end and run_end_time of each tag.
-
-    An end message belongs to the latest tag at or before it, the first one counts. Tags without one end at the next
-    tag; the last ends at the file's last place, with no time.
+    All is read by windows over the file or over the lines behind a tag, which share one partitioning by file. An end
+    message belongs to the latest tag at or before it, the first one counts. Tags without one end at the next tag; the
+    last ends at the file's last place, with no time. With an inventory only its files are read.
     """
-    placed = positions(lines, inventory)
-    tags = placed.where(F.col("line").rlike(TAG)).select("filename", "index_loc", F.regexp_extract("line", TAG, 4).alias("tag_time"))
-    ends = placed.where(F.col("line").rlike(END)).select("filename", "index_loc", F.regexp_extract("line", END, 1).alias("end_time"))
-    owned = asof(ends, tags.select("filename", "index_loc"), "index_loc", ["filename"]).where("index_loc_asof is not null")
-    owned = keep_one(owned, ["filename", "index_loc_asof"], ["index_loc"])
-    owned = owned.select("filename", F.col("index_loc_asof").alias("index_loc"), F.col("index_loc").alias("_end"), "end_time")
-    last = placed.groupBy("filename").agg(F.max("index_loc").alias("_last"))
-    w = over(["filename"])
-    out = tags.withColumns({"_next": F.lead("index_loc").over(w), "_next_time": F.lead("tag_time").over(w)}).join(owned, ["filename", "index_loc"], "left").join(last, "filename")
-    return out.select(
+    own = lines.select("filename", F.col("line_num").cast("long").alias("line_num"), "line")
+    if inventory is not None:
+        own = own.join(inventory.where("line_num is not null").select("filename").distinct(), "filename", "left_semi")
+    line, file = F.col("line"), Window.partitionBy("filename")
+    own = own.withColumn("kind", F.when(line.rlike(TAG), "tag").when(line.rlike(END), "end"))
+    is_tag, is_end = F.col("kind") == "tag", F.col("kind") == "end"
+    own = own.withColumn("index_loc", F.col("line_num") - F.min(F.when(is_tag, F.col("line_num"))).over(file) - 1).where("index_loc >= -1")
+    here = F.struct("index_loc", "line_num", F.regexp_extract(line, TAG, 4).alias("time"))
+    end = F.struct("index_loc", F.regexp_extract(line, END, 1).alias("time"))
+    own = own.withColumns(
+        {
+            "tag_loc": F.last(F.when(is_tag, F.col("index_loc")), ignorenulls=True).over(so_far(["filename"])),
+            "_next": F.last(F.when(is_tag, here), ignorenulls=True).over(ahead(["filename"])),
+            "_last": F.max("index_loc").over(file),
+        }
+    )
+    own = own.withColumn("_end", F.min(F.when(is_end, end)).over(Window.partitionBy("filename", "tag_loc")))
+    return own.select(
         "filename",
-        F.col("index_loc").alias("index_run_start"),
-        F.coalesce("_end", "_next", "_last").alias("index_run_end"),
-        F.when(F.col("_end").isNotNull(), F.col("end_time")).otherwise(F.col("_next_time")).alias("run_end_time"),
+        "line_num",
+        "line",
+        "kind",
+        "index_loc",
+        "tag_loc",
+        F.col("_next.line_num").alias("line_num_next"),
+        F.coalesce("_end.index_loc", "_next.index_loc", "_last").alias("run_end"),
+        F.when(F.col("_end").isNotNull(), F.col("_end.time")).otherwise(F.col("_next.time")).alias("run_end_time"),
     )
 
 
+def run_bounds(lines: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """filename, index_run_start (the tag's place), index_run_end and run_end_time of each tag."""
+    tags = file_rows(lines, inventory).where("kind = 'tag'")
+    return tags.select("filename", F.col("index_loc").alias("index_run_start"), F.col("run_end").alias("index_run_end"), "run_end_time")
+
+
 def valid_ping(fields: dict[str, Column] | None = None) -> Column:
     """Coordinates and heading in range, door O or C, vehicle M or S."""
     c = fields or {k: F.col(k) for k in PING_FIELDS}
@@ -104,75 +125,87 @@ def valid_ping(fields: dict[str, Column] | None = None) -> Column:
     return F.coalesce(ok & c["door_state"].isin("O", "C") & c["veh_state"].isin("M", "S"), F.lit(False))
 
 
-def ping_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Typed pings of each file with row_before_apc; files with a row of too many fields are left out whole."""
-    placed = positions(lines, inventory).where(~F.col("line").rlike(TAG) & ~F.col("line").rlike(END) & (F.trim("line") != ""))
-    part = F.split("line", ",")
-    placed = placed.withColumn("_n", F.size(part)).withColumn("_most", F.max(F.when(~F.col("line").rlike(r"^\s*/"), F.size(part))).over(Window.partitionBy("filename")))
-    placed = placed.where(F.col("_most") <= len(PING_FIELDS))
+def _with_pings(rows: DataFrame) -> DataFrame:
+    """Adds ping (its typed fields; null in other rows) and row_before_apc to file_rows.
+
+    Files with a row of too many fields have no pings.
+    """
+    part, line = F.split("line", ","), F.col("line")
+    data = F.col("kind").isNull() & (F.trim("line") != "")
+    most = F.max(F.when(data & ~line.rlike(r"^\s*/"), F.size(part))).over(Window.partitionBy("filename"))
     fields = {k: F.trim(F.try_element_at(part, F.lit(i + 1))) for i, k in enumerate(PING_FIELDS)}
-    first = F.upper(F.trim(F.try_element_at(part, F.lit(1))))
-    valid = (F.col("_n") == len(PING_FIELDS)) & valid_ping(fields)
-    # A ping stands before an APC row if an APC row comes before the next ping.
-    marked = placed.withColumn("_kind", F.when(first == "APC", "apc").when(valid, "ping")).where("_kind is not null")
-    marked = marked.withColumn("row_before_apc", F.coalesce(F.lead("_kind").over(over(["filename"])) == "apc", F.lit(False)))
     typed = {k: fields[k] for k in ("door_state", "veh_state", "stop_window", "blank")}
     typed |= {k: fields[k].try_cast("double") for k in ("lat", "long", "heading", "lat_raw", "long_raw")}
     typed |= {k: fields[k].try_cast("double").cast("long") for k in ("odom_ft", "sec_past_st", "sat_cnt")}
-    return marked.where("_kind = 'ping'").select("filename", "index_loc", *(typed[k].alias(k) for k in PING_FIELDS), "row_before_apc")
+    ping = F.struct("index_loc", *(typed[k].alias(k) for k in PING_FIELDS))
+    is_apc = data & (F.upper(F.trim(F.try_element_at(part, F.lit(1)))) == "APC")
+    whole = F.col("_most") <= len(PING_FIELDS)
+    rows = rows.withColumn("_most", most)
+    rows = rows.withColumn("ping", F.when(whole & data & ~is_apc & (F.size(part) == len(PING_FIELDS)) & valid_ping(fields), ping))
+    # A ping stands before an APC row if an APC row comes before the next ping.
+    next_is_apc = F.last(F.when(whole & is_apc, True).when(F.col("ping").isNotNull(), False), ignorenulls=True).over(ahead(["filename"]))
+    return rows.withColumn("row_before_apc", F.coalesce(next_is_apc, F.lit(False)))
 
 
-def run_summary(pings: DataFrame, tags: DataFrame) -> DataFrame:
-    """A run for each tag: its first and last ping, distances, durations and speeds.
+def ping_lines(lines: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """Typed pings of each file with row_before_apc; files with a row of too many fields are left out whole."""
+    return _with_pings(file_rows(lines, inventory)).where("ping is not null").select("filename", "ping.*", "row_before_apc")
 
-    tags: filename, index_run_start_original, index_run_end_original, start_date_time, end_date_time and any others. A
-    run without pings keeps a row of nulls; of runs with the same first ping the last tag stays.
-    """
-    values = ["index_loc", "odom_ft", "sec_past_st", "lat", "long"]
-    own = pings.select("filename", *values)
-    starts = tags.withColumn("index_loc", F.col("index_run_start_original"))
-    first = asof(starts, own, "index_loc", ["filename"], forward=True).drop("index_loc").withColumnsRenamed({f"{c}_asof": f"{c}_start" for c in values})
-    ends = first.withColumn("index_loc", F.col("index_run_end_original"))
-    both = asof(ends, own, "index_loc", ["filename"]).drop("index_loc").withColumnsRenamed({f"{c}_asof": f"{c}_end" for c in values})
-    both = both.withColumnsRenamed({"index_loc_start": "index_run_start", "index_loc_end": "index_run_end", "sec_past_st_start": "sec_start", "sec_past_st_end": "sec_end"})
+
+def _run_columns() -> dict[str, Column]:
+    """Distances, durations and speeds between a run's first and last ping."""
     feet, secs = F.col("odom_ft_end") - F.col("odom_ft_start"), F.col("sec_end") - F.col("sec_start")
     by_tags = F.unix_timestamp("end_date_time") - F.unix_timestamp("start_date_time")
     miles = feet / FEET_A_MILE
     crow = planar_metres(F.col("long_start"), F.col("lat_start"), F.col("long_end"), F.col("lat_end")) * MILES_A_METRE
-    out = both.withColumns(
-        {
-            "run_duration_from_sec": secs,
-            "run_duration_from_tags": by_tags,
-            "dist_odom_mi": miles,
-            "mph_odom": safe_div(miles * 3600, secs),
-            "mph_run_tag": safe_div(miles * 3600, by_tags),
-            "dist_crow_fly_mi": crow,
-        }
-    )
-    return keep_last(out, ["filename", "index_run_start"], ["index_run_start_original"])
-
-
-def assign_runs(pings: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pings with the run they lie in (left: pings outside of any keep nulls).
-
-    Runs of a file don't overlap, so the latest start at or before a ping decides; its end is checked after.
+    return {
+        "run_duration_from_sec": secs,
+        "run_duration_from_tags": by_tags,
+        "dist_odom_mi": miles,
+        "mph_odom": safe_div(miles * 3600, secs),
+        "mph_run_tag": safe_div(miles * 3600, by_tags),
+        "dist_crow_fly_mi": crow,
+    }
+
+
+def clean_pings(lines: DataFrame, inventory: DataFrame | None = None, service_day_cutoff_hour: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(pings with their runs, run summary) of the files in the inventory, or of all.
+
+    A run for each tag: from the first ping at or behind the tag to the last ping at or before its end. Pings outside of
+    any run keep null bounds. A run without pings keeps a row of nulls, or the bounds of what lies around it; of runs with
+    the same first ping the last tag stays. Runs that start before the cut-off hour count to the weekday before.
+    Both come from one pass: everything is grouped by file, so a file's lines are shuffled once.
     """
-    bounds = runs.where("index_run_start <= index_run_end").select("filename", F.col("index_run_start").alias("index_loc"), "index_run_start", "index_run_end")
-    found = asof(pings, bounds, "index_loc", ["filename"]).drop("index_loc_asof")
-    inside = F.col("index_loc") <= F.col("index_run_end_asof")
-    return found.withColumns({c: F.when(inside, F.col(f"{c}_asof")) for c in ("index_run_start", "index_run_end")}).drop("index_run_start_asof", "index_run_end_asof")
-
-
-def clean_pings(lines: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pings with their runs, run summary) of the files in the inventory."""
-    pings = ping_lines(lines, inventory)
-    bounds = run_bounds(lines, inventory)
-    first = Window.partitionBy("filename")
-    tags = inventory.where("line_num is not null").withColumn("index_run_start_original", (F.col("line_num") - F.min("line_num").over(first) - 1).cast("long"))
-    tags = tags.join(bounds.withColumnsRenamed({"index_run_start": "index_run_start_original", "index_run_end": "index_run_end_original"}), ["filename", "index_run_start_original"], "left")
-    tags = tags.withColumns({"start_date_time": F.col("tag_datetime"), "end_date_time": tag_timestamp(F.date_format("tag_date", "MM/dd/yy"), F.col("run_end_time"))})
-    runs = run_summary(pings, tags)
-    return assign_runs(pings, runs), runs
+    rows = _with_pings(file_rows(lines, inventory))
+    group, is_ping = Window.partitionBy("filename", "tag_loc"), F.col("ping").isNotNull()
+    inside = is_ping & (F.col("index_loc") <= F.col("run_end"))
+    rows = rows.withColumn("_to", F.max(F.when(inside, F.col("ping"))).over(group))
+
+    pings = rows.withColumn("_from", F.min(F.when(is_ping, F.col("index_loc"))).over(group)).where(is_ping)
+    bounds = {"index_run_start": F.col("_from"), "index_run_end": F.col("_to.index_loc")}
+    pings = pings.select("filename", "ping.*", "row_before_apc", *(F.when(inside, c).alias(k) for k, c in bounds.items()))
+
+    ends = {
+        "_first": F.last("ping", ignorenulls=True).over(from_here(["filename"])),
+        "_last": F.coalesce("_to", F.last("ping", ignorenulls=True).over(so_far(["filename"]))),
+    }
+    tags = rows.withColumns(ends).where("kind = 'tag'").withColumns(_tag_columns(F.col("line")))
+    names = {"index_loc": "index_run", "odom_ft": "odom_ft", "sec_past_st": "sec", "lat": "lat", "long": "long"}
+    sides = [F.col(f"{at}.{c}").alias(f"{to}_{side}") for at, side in (("_first", "start"), ("_last", "end")) for c, to in names.items()]
+    day = F.date_sub("tag_date", 1)
+    runs = tags.select(
+        "filename",
+        *(F.col(c) for c in INVENTORY if c != "wday"),
+        F.when(F.col("tag_starthour") < service_day_cutoff_hour, F.date_format(day, "EEEE")).otherwise(F.col("wday")).alias("wday"),
+        *(c.alias(k) for k, c in file_fields(F.col("filename")).items()),
+        F.col("index_loc").alias("index_run_start_original"),
+        F.col("run_end").alias("index_run_end_original"),
+        "run_end_time",
+        F.col("tag_datetime").alias("start_date_time"),
+        tag_timestamp(F.date_format("tag_date", "MM/dd/yy"), F.col("run_end_time")).alias("end_date_time"),
+        *sides,
+    )
+    return pings, keep_last(runs.withColumns(_run_columns()), ["filename", "index_run_start"], ["index_run_start_original"])
 
 
 def misplaced_tags(lines: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -21,8 +21,19 @@ def so_far(keys: Sequence[str] = RUN, order: Sequence = ORDER) -> WindowSpec:
     return over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def backwards(keys: Sequence[str] = RUN, order: Sequence = ORDER) -> WindowSpec:
+    """The group from its end. What is ahead of a row is read by a running window over it, in linear time."""
+    return over(keys, [F.desc(c) for c in order])
+
+
 def from_here(keys: Sequence[str] = RUN, order: Sequence = ORDER) -> WindowSpec:
-    return over(keys, order).rowsBetween(0, Window.unboundedFollowing)
+    """For F.last: this row and those ahead, the nearest last."""
+    return backwards(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def ahead(keys: Sequence[str] = RUN, order: Sequence = ORDER) -> WindowSpec:
+    """For F.last: the rows ahead without this one, the nearest last."""
+    return backwards(keys, order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def change_id(value: Column, keys: Sequence[str] = RUN, order: Sequence = ORDER) -> Column:
@@ -42,7 +53,7 @@ def change_id_where(value: Column, defined: Column, keys: Sequence[str] = RUN, o
 
 def fill(value: Column, keys: Sequence[str] = RUN, order: Sequence = ORDER) -> Column:
     """Forward, then backward fill within the group."""
-    return F.coalesce(F.last(value, ignorenulls=True).over(so_far(keys, order)), F.first(value, ignorenulls=True).over(from_here(keys, order)))
+    return F.coalesce(F.last(value, ignorenulls=True).over(so_far(keys, order)), F.last(value, ignorenulls=True).over(from_here(keys, order)))
 
 
 def last_known(value: Column, keys: Sequence[str] = RUN, order: Sequence = ORDER) -> Column:
@@ -80,7 +91,7 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], forward:
     r_side = right.select(*by, F.col(on).alias("_at"), F.lit(0).alias("_side"), F.struct(*theirs).alias("_r"))
     both = l_side.unionByName(r_side, allowMissingColumns=True)
     if forward:
-        found = F.first("_r", ignorenulls=True).over(from_here(by, ["_at", F.desc("_side")]))
+        found = F.last("_r", ignorenulls=True).over(so_far(by, [F.desc("_at"), "_side"]))
     else:
         found = F.last("_r", ignorenulls=True).over(so_far(by, ["_at", "_side"]))
     matched = both.withColumn("_m", found).where("_side = 1")
