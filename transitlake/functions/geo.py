@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _A, _F = 6378137.0, 1 / 298.257222101
@@ -139,6 +140,20 @@ def line_ends(points: Column) -> Column:
     return F.array(end("first", F.element_at(points, 1)), end("last", F.element_at(points, -1)))
 
 
+def polylines(points: DataFrame, keys: Sequence[str], order: str, lon: str, lat: str) -> DataFrame:
+    """keys and coords: each group's points joined to a line by order; points without a place are left out."""
+    placed = points.where(known_position(F.col(lon), F.col(lat)).isNotNull())
+    own = F.struct(F.col(order).alias("at"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    line = F.transform(F.array_sort(F.collect_list(own)), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    return placed.groupBy(*keys).agg(line.alias("coords"))
+
+
+def signed_offset_feet(lon0: Column, lat0: Column, lon: Column, lat: Column, towards: Column) -> Column:
+    """Feet from a start point, negative where the point lies behind it: over 90 degrees off the bearing ``towards``."""
+    off, feet = F.abs(bearing(lon0, lat0, lon, lat) - towards), haversine_feet(lon0, lat0, lon, lat)
+    return F.when((F.least(off, 360 - off) > 90) & (feet > 0), -feet).otherwise(feet)
+
+
 def link_line(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """A line of two points."""
     return F.array(F.struct(lon1.alias("lon"), lat1.alias("lat")), F.struct(lon2.alias("lon"), lat2.alias("lat")))

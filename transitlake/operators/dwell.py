@@ -28,7 +28,9 @@ def stop_window_dwell(pings: DataFrame, terminals: tuple[str, ...] = (), keys=RU
     """Seconds in each stop window by door state, no more than the 95th percentile of all, rounded up."""
     timed = pings.withColumn("secs", F.lead("sec_past_st").over(over(keys)) - F.col("sec_past_st")).where("stop_window is not null")
     per = timed.where(~F.col("stop_window").isin(*terminals)).groupBy(*keys, "stop_window", "door_state").agg(F.sum("secs").alias("secs"), F.max("secs").alias("most"))
-    top = per.agg(F.ceil(F.percentile("secs", F.lit(0.95))).alias("top"))
+    # The percentile is taken from counts of distinct seconds, as its state holds every distinct value.
+    counted = per.where("secs is not null").groupBy("secs").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.agg(F.ceil(F.percentile("secs", F.lit(0.95), F.col("n"))).alias("top"))
     return per.crossJoin(F.broadcast(top)).where(F.col("secs") <= F.col("top")).drop("top")  # one row
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitlake.functions.geo import distance
+from transitlake.functions.geo import bearing, distance, signed_offset_feet
 from transitlake.functions.values import safe_div
 from transitlake.operators.windows import RUN, over, rolling_speeds, so_far
 
@@ -122,6 +122,20 @@ def timespace(pings: DataFrame, n_first: int, keys: Sequence[str] = RUN, by: Seq
     return own.withColumns({"feet": F.col("odom_ft") - F.min("odom_ft").over(group), "secs": F.col("sec_past_st") - F.min("sec_past_st").over(group)})
 
 
+def trajectories(pings: DataFrame, starts: DataFrame, near_feet: float, keys: Sequence[str] = RUN) -> DataFrame:
+    """Each run's signed feet and seconds from its ping closest to a segment's start, negative before it.
+
+    pings carry their seg_name_id. starts: seg_name_id, start_lon, start_lat, end_lon, end_lat. Runs that come no nearer than near_feet drop out.
+    """
+    towards = bearing(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat"))
+    met = pings.join(starts, "seg_name_id")
+    met = met.withColumn("feet_from_start", signed_offset_feet(F.col("start_lon"), F.col("start_lat"), F.col("long"), F.col("lat"), towards))
+    group = Window.partitionBy(*keys, "seg_name_id")
+    closest = F.min(F.struct(F.abs("feet_from_start").alias("d"), "index_loc", "sec_past_st")).over(group)
+    met = met.withColumn("_c", closest).where(F.col("_c.d") <= near_feet)
+    return met.withColumn("secs_from_start", F.col("sec_past_st") - F.col("_c.sec_past_st")).drop("_c")
+
+
 def quality_report(pings: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
     """The quality tables by name."""
     return {

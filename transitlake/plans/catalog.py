@@ -473,44 +473,67 @@ def order_violations(spark, sf_dir):
     return stops.order_violations(near).select("filename", "index_run_start", "stop_id", "index_loc", "index_loc_before")
 
 
-ENDS = f"""{PINGS}, {SUPPLIERS}, en as (select 'e' || (stop_id // 4) as seg_name_id, case when stop_id % 4 = 0 then 'first' else 'last' end as location, stop_id, x, y, route, pattern from (select stop_id, x, y, stop_id // 4 % 3 as route, stop_id // 4 % 2 as pattern from su where stop_id % 4 in (0, 3))),
-sj as (select {RK}, index_loc, odom_ft, sec_past_st, seg_name_id, location, sqrt((p.x - en.x) * (p.x - en.x) + (p.y - en.y) * (p.y - en.y)) as d from p join en using (route, pattern)),
+_XY, _PXY = V.sql_lcc("stop_lon", "stop_lat"), V.sql_lcc("long", "lat")
+FAR, LONG = 5000.0, 100_000.0
+ENDS = f"""{PINGS}, {SUPPLIERS},
+pf as (select p.* exclude (x, y), {_PXY[0]} as x, {_PXY[1]} as y from p),
+sv as (select stop_id, stop_id // {V.LINE_POINTS} as line, {_XY[0]} as x, {_XY[1]} as y from su),
+ed as (select line, x - lag(x) over w as dx, y - lag(y) over w as dy from sv window w as (partition by line order by stop_id)),
+le as (select 'line' || line as seg_name_id, coalesce(sum(sqrt(dx * dx + dy * dy)), 0) as length_ft from ed group by line),
+en as (select 'line' || line as seg_name_id, line % 3 as route, line % 2 as pattern, location, x, y from
+  (select line, 'first' as location, arg_min(x, stop_id) as x, arg_min(y, stop_id) as y from sv group by line union all
+   select line, 'last', arg_max(x, stop_id), arg_max(y, stop_id) from sv group by line)),
+sj as (select {RK}, index_loc, seg_name_id, location, sqrt((pf.x - en.x) * (pf.x - en.x) + (pf.y - en.y) * (pf.y - en.y)) as d from pf join en using (route, pattern)),
 sn as (select * from sj qualify row_number() over (partition by {RK}, seg_name_id, location order by d, index_loc) = 1),
-si as (select *, d > 1500 as flag_too_far, coalesce(index_loc - lag(index_loc) over (partition by {SEGK} order by location), 0) < 0 as flag_wrong_order from sn)"""
+si as (select *, d > {FAR} as flag_too_far, coalesce(index_loc - lag(index_loc) over (partition by {SEGK} order by location), 0) < 0 as flag_wrong_order from sn)"""
 
 
 def _seg_index(spark, sf_dir):
-    s = V.suppliers(spark, sf_dir).where("stop_id % 4 in (0, 3)").withColumn("line", F.expr("stop_id div 4"))
-    ends = s.select(F.concat(F.lit("e"), F.col("line").cast("string")).alias("seg_name_id"), F.when(F.col("stop_id") % 4 == 0, "first").otherwise("last").alias("location"), "x", "y")
-    patterns = s.select((F.col("line") % 3).alias("route"), (F.col("line") % 2).alias("pattern"), F.concat(F.lit("e"), F.col("line").cast("string")).alias("seg_name_id")).distinct()
-    p = V.pings(spark, sf_dir)
-    return p, segments.segment_index(p, ends, patterns, 1500.0)
+    """Lines of suppliers as segments, and pings with their places projected to feet."""
+    lines = V.lines_of_suppliers(spark, sf_dir)
+    k = F.substring("seg_name_id", 5, 20).cast("long")
+    patterns = lines.select((k % 3).alias("route"), (k % 2).alias("pattern"), "seg_name_id")
+    x, y = geo.lcc_feet(F.col("long"), F.col("lat"))
+    p = V.pings(spark, sf_dir).withColumns({"x": x, "y": y})
+    return lines, p, segments.segment_index(p, segments.segment_ends(lines), patterns, FAR)
 
 
 @query(f"with {ENDS} select {SEGK}, location, index_loc, round(d, 6) as dist_to_nearest_point, flag_too_far, flag_wrong_order from si")
 def segment_index(spark, sf_dir):
     """The ping nearest to each segment end, with flags."""
-    return r6(_seg_index(spark, sf_dir)[1].select("filename", "index_run_start", "seg_name_id", "location", "index_loc", "dist_to_nearest_point", "flag_too_far", "flag_wrong_order"))
+    index = _seg_index(spark, sf_dir)[2]
+    return r6(index.select(*segments.KEYS, "location", "index_loc", "dist_to_nearest_point", "flag_too_far", "flag_wrong_order"))
 
 
-SEG_SUM = f"""with {ENDS}, sb as (select {SEGK}, min(index_loc) as lo, max(index_loc) as hi from si group by all),
+SEG_SUM = f"""with {ENDS}, sb as (select {SEGK}, min(index_loc) as lo, max(index_loc) as hi, arg_min(d, row(index_loc, d)) as d0 from si group by all),
 fl as (select {RK}, bool_or(flag_too_far) as flag_too_far_any, bool_or(flag_wrong_order) as flag_wrong_order_any from si group by all),
-ss as (select {SEGK}, min(odom_ft) as o0, max(odom_ft) as o1, min(sec_past_st) as s0, max(sec_past_st) as s1, min(index_loc) as i0, max(index_loc) as i1 from p join sb using ({RK}) where index_loc between lo and hi group by all),
-sx as (select ss.*, fl.flag_too_far_any, fl.flag_wrong_order_any, abs(2000 - (o1 - o0)) > 1500 as flag_too_long_odom from ss left join fl using ({RK}))
+sp as (select {SEGK}, d0, pf.* exclude ({RK}), lead(odom_ft) over w < odom_ft or lead(sec_past_st) over w < sec_past_st as fell
+  from pf join sb using ({RK}) where index_loc between lo and hi window w as (partition by {SEGK} order by index_loc)),
+ss as (select {SEGK}, d0, min(odom_ft) as o0, max(odom_ft) as o1, min(sec_past_st) as s0, max(sec_past_st) as s1, min(index_loc) as i0, max(index_loc) as i1,
+  arg_min(lat, index_loc) as la0, arg_max(lat, index_loc) as la1, arg_min(long, index_loc) as lo0, arg_max(long, index_loc) as lo1, coalesce(bool_or(fell), false) as fell from sp group by all),
+sx as (select ss.*, fl.flag_too_far_any, fl.flag_wrong_order_any, abs(length_ft - (o1 - o0)) > {LONG} as flag_too_long_odom from ss left join fl using ({RK}) left join le using (seg_name_id))
 """
+#: Columns of the summary and their SQL.
+_SUM = {
+    "start_odom_ft_segment": "o0", "end_odom_ft_segment": "o1", "start_sec_segment": "s0", "end_sec_segment": "s1", "trip_dur_sec_segment": "s1 - s0",
+    "start_index_loc_segment": "i0", "end_index_loc_segment": "i1", "start_lat_segment": "la0::double", "end_lat_segment": "la1::double",
+    "start_long_segment": "lo0::double", "end_long_segment": "lo1::double", "dist_first_stop_segment": "round_even(d0, 2)",
+    "trip_dist_mi_odom_and_segment": "round_even((o1 - o0) / 5280.0::double, 2)",
+    "trip_speed_mph_segment": "round_even(case when s1 <> s0 then (o1 - o0) / 5280.0::double * 3600 / (s1 - s0) end, 2)",
+    "flag_too_far_any": "flag_too_far_any", "flag_wrong_order_any": "flag_wrong_order_any", "flag_too_long_odom": "flag_too_long_odom",
+    "flag_secs_total_mismatch": "false", "flag_odom_total_mismatch": "false", "flag_counter_reset": "fell",
+}
 
 
 def _seg_summary(spark, sf_dir):
-    p, index = _seg_index(spark, sf_dir)
-    lengths = index.select("seg_name_id").distinct().withColumn("length_ft", F.lit(2000.0))
-    return segments.segment_summary(p, index, lengths, 1500.0)
+    lines, p, index = _seg_index(spark, sf_dir)
+    return segments.segment_summary(p, index, segments.segment_lengths(lines), LONG)
 
 
-@query(SEG_SUM + f"select {SEGK}, o0 as start_odom_ft_segment, o1 as end_odom_ft_segment, s1 - s0 as trip_dur_sec_segment, i0 as start_index_loc_segment, i1 as end_index_loc_segment, flag_too_far_any, flag_wrong_order_any, flag_too_long_odom, false as flag_secs_total_mismatch, false as flag_odom_total_mismatch from sx")
+@query(SEG_SUM + f"select {SEGK}, {', '.join(f'{v} as {k}' for k, v in _SUM.items())} from sx")
 def segment_summary(spark, sf_dir):
     """Runs on segments between nearest pings, with flags."""
-    keep = ["start_odom_ft_segment", "end_odom_ft_segment", "trip_dur_sec_segment", "start_index_loc_segment", "end_index_loc_segment", "flag_too_far_any", "flag_wrong_order_any", "flag_too_long_odom", "flag_secs_total_mismatch", "flag_odom_total_mismatch"]
-    return _seg_summary(spark, sf_dir).select(*segments.KEYS, *keep)
+    return _seg_summary(spark, sf_dir).select(*segments.KEYS, *_SUM)
 
 
 @query(SEG_SUM + f"select {SEGK} from sx where not (coalesce(flag_too_far_any, false) or coalesce(flag_wrong_order_any, false) or coalesce(flag_too_long_odom, false))")
@@ -519,6 +542,44 @@ def segment_quality(spark, sf_dir):
     return _seg_summary(spark, sf_dir).where(segments.quality()).select(*segments.KEYS)
 
 
+@query(f"""with {ENDS}, pl as (select line, list(x order by stop_id) as xs, list(y order by stop_id) as ys, any_value(line % 3) as route, any_value(line % 2) as pattern from sv group by line),
+eg as (select line, route, pattern, unnest(range(1, len(xs))) as i, xs, ys from pl), e as (select line, route, pattern, xs[i] as ax, ys[i] as ay, xs[i + 1] - xs[i] as dx, ys[i + 1] - ys[i] as dy from eg),
+pr as (select filename, index_loc, line, pf.x, pf.y, ax, ay, dx, dy, greatest(0, least(1, case when dx * dx + dy * dy > 0 then ((pf.x - ax) * dx + (pf.y - ay) * dy) / (dx * dx + dy * dy) else 0 end)) as t from pf join e using (route, pattern))
+select filename, index_loc, 'line' || line as seg_name_id from pr group by all having min(sqrt((x - ax - dx * t) * (x - ax - dx * t) + (y - ay - dy * t) * (y - ay - dy * t))) <= 500""")
+def corridor_pings(spark, sf_dir):
+    """Pings in the corridor of a segment of their pattern, 500 feet to each side."""
+    lines, p, _ = _seg_index(spark, sf_dir)
+    k = F.substring("seg_name_id", 5, 20).cast("long")
+    own = lines.select("seg_name_id", geo.project_line(F.col("coords")).alias("points"), (k % 3).alias("route"), (k % 2).alias("pattern"))
+    met = p.join(own, ["route", "pattern"])
+    return met.where(nearest.near_line(F.col("x"), F.col("y"), F.col("points"), 500.0)).select("filename", "index_loc", "seg_name_id")
+
+
+@query(f"with {PINGS} select {RK}, count(*) as n_points, round(sum(sqrt(dx * dx + dy * dy)), 3) as length_ft from (select {RK}, {_PXY[0]} - lag({_PXY[0]}) over w as dx, {_PXY[1]} - lag({_PXY[1]}) over w as dy from p window w as (partition by {RK} order by index_loc)) group by all having count(*) > 1")
+def run_traces(spark, sf_dir):
+    """Each run's pings as a line, and its length."""
+    lines = geo.polylines(V.pings(spark, sf_dir), ["filename", "index_run_start"], "index_loc", "long", "lat").where(F.size("coords") > 1)
+    length = F.round(geo.line_length(geo.project_line(F.col("coords"))), 3)
+    return lines.select("filename", "index_run_start", F.size("coords").cast("long").alias("n_points"), length.alias("length_ft"))
+
+
+_BRG = "degrees(atan2(sin(radians({2} - {0})) * cos(radians({3})), cos(radians({1})) * sin(radians({3})) - sin(radians({1})) * cos(radians({3})) * cos(radians({2} - {0}))))"
+_HAV = "(2 * 20898071.0::double * asin(sqrt(least(1.0::double, pow(sin(radians({3} - {1}) / 2), 2) + cos(radians({1})) * cos(radians({3})) * pow(sin(radians({2} - {0}) / 2), 2)))))"
+
+
+@query(f"""with {PINGS}, {SEGMENTS}, tb as (select *, {_BRG.format('-77.00003', '38.95004', '-76.98', '38.96')} as towards, {_BRG.format('-77.00003', '38.95004', 'long', 'lat')} as b, {_HAV.format('-77.00003', '38.95004', 'long', 'lat')} as d from pin),
+tf as (select *, case when least(abs(b - towards), 360 - abs(b - towards)) > 90 and d > 0 then -d else d end as feet from tb),
+tc as (select *, min(row(abs(feet), index_loc, sec_past_st)) over (partition by {SEGK}) as c from tf)
+select {SEGK}, index_loc, round(feet, 3) as feet_from_start, sec_past_st - c[3] as secs_from_start from tc where c[1] <= 4000""")
+def signed_trajectories(spark, sf_dir):
+    """Pings of segments by signed distance and time from one start."""
+    p = V.pings(spark, sf_dir)
+    s = V.segment_rows(p)
+    starts = s.select("seg_name_id").distinct().withColumns({"start_lon": F.lit(-77.00003), "start_lat": F.lit(38.95004), "end_lon": F.lit(-76.98), "end_lat": F.lit(38.96)})
+    out = quality.trajectories(decompose.filter_to_segment(p, s), starts, 4000.0)
+    return out.select(*segments.KEYS, "index_loc", F.round("feet_from_start", 3).alias("feet_from_start"), "secs_from_start")
+
+
 X1, Y1 = V.sql_lcc("stop_lon", "stop_lat")
 
 
@@ -623,11 +684,11 @@ def run_rows(p: DataFrame) -> DataFrame:
     )
 
 
-@query(f"with {PINGS}, {RUNS} select {RK}, secs, feet from rn where not (coalesce(secs < 900000, false) or coalesce(feet / 5280.0::double < 0.5, false))")
+@query(f"with {PINGS}, {RUNS} select {RK}, secs, feet from rn where not (coalesce(secs < 900000, false) or coalesce(feet / 5280.0::double < 0.1, false))")
 def long_enough_runs(spark, sf_dir):
     """Runs not known to be short."""
     r = run_rows(V.pings(spark, sf_dir)).withColumns({"run_duration_from_sec": F.col("secs"), "dist_odom_mi": F.col("feet") / 5280.0})
-    return runs.long_enough(r, 900_000, 0.5).select("filename", "index_run_start", "secs", "feet")
+    return runs.long_enough(r, 900_000, 0.1).select("filename", "index_run_start", "secs", "feet")
 
 
 @query(f"with {PINGS} select filename, index_loc from p qualify bool_or(coalesce(stop_window = 'E05', false)) over (partition by {RK})")
@@ -656,7 +717,8 @@ def run_set_differences(spark, sf_dir):
     return fieldcheck.same_keys(p.where("kind = 'view'"), p.where("kind = 'error'"))
 
 
-@query(None)
+@query(f"""with {PINGS}, r as (select distinct {RK} from p), k as (select {RK} from r order by md5(filename || '|' || index_run_start || '|0'), {RK} limit 10)
+select {RK}, index_loc from p semi join k using ({RK})""")
 def hash_sample_runs(spark, sf_dir):
     """A repeatable sample of ten runs."""
     return windows.hash_sample(V.pings(spark, sf_dir), ["filename", "index_run_start"], 10).select("filename", "index_run_start", "index_loc")
@@ -747,27 +809,28 @@ def gtfs_stops_on_route(spark, sf_dir):
     return gtfs.stops_on_route(_gtfs_near(spark, sf_dir), 3000.0).select("filename", "index_run_start", "stop_id", "stop_sequence", "index_loc")
 
 
-def _terminals(spark, sf_dir, rest: int):
-    """One terminal of each route and direction."""
-    s = V.suppliers(spark, sf_dir).where(F.col("stop_id") % 4 == rest)
-    return windows.keep_one(s, ["route", "pattern"], ["stop_id"]).select("route", F.col("pattern").alias("direction_id"), "stop_id", "x", "y")
+def _terminals(spark, sf_dir, last: bool):
+    """The first (or last) stop of each route and direction."""
+    s = V.suppliers(spark, sf_dir)
+    own = (windows.keep_last if last else windows.keep_one)(s, ["route", "pattern"], ["stop_id"])
+    return own.select("route", F.col("pattern").alias("direction_id"), "stop_id", "x", "y")
 
 
-def _terminal_sql(rest: int, name: str) -> str:
-    return f"""{name} as (select route, pattern as direction_id, stop_id, x, y from su where stop_id % 4 = {rest} qualify row_number() over (partition by route, pattern order by stop_id) = 1),
+def _terminal_sql(order: str, name: str) -> str:
+    return f"""{name} as (select route, pattern as direction_id, stop_id, x, y from su qualify row_number() over (partition by route, pattern order by stop_id {order}) = 1),
 {name}j as (select {RK}, index_loc, direction_id, {name}.stop_id, sqrt((p.x - {name}.x) * (p.x - {name}.x) + (p.y - {name}.y) * (p.y - {name}.y)) as d from p join {name} using (route)),
 {name}n as (select * from {name}j qualify row_number() over (partition by {RK}, direction_id order by d, index_loc) = 1)"""
 
 
-@query(f"""with {PINGS}, {SUPPLIERS}, {_terminal_sql(0, 'ft')}, {_terminal_sql(3, 'lt')}, a as (select * from ftn where d <= 5280 qualify index_loc = min(index_loc) over (partition by {RK})),
+@query(f"""with {PINGS}, {SUPPLIERS}, {_terminal_sql('asc', 'ft')}, {_terminal_sql('desc', 'lt')}, a as (select * from ftn where d <= 5280 qualify index_loc = min(index_loc) over (partition by {RK})),
 a2 as (select *, (select count(distinct direction_id) from a b where b.filename = a.filename and b.index_run_start = a.index_run_start) as nd from a),
 l2 as (select {RK}, direction_id, max(index_loc) as last_index from ltn where d <= 5280 group by all)
 select {RK}, direction_id from a2 left join l2 using ({RK}, direction_id) where nd = 1 or last_index is not null qualify row_number() over (partition by {RK} order by last_index desc nulls last, d, direction_id) = 1""")
 def gtfs_direction(spark, sf_dir):
     """Each run's direction, from its terminals."""
     p = V.pings(spark, sf_dir)
-    near = lambda rest: nearest.nearest_ping(_terminals(spark, sf_dir, rest), p, ["direction_id", "stop_id"], on=["route"])
-    return gtfs.direction(near(0), near(3))
+    near = lambda last: nearest.nearest_ping(_terminals(spark, sf_dir, last), p, ["direction_id", "stop_id"], on=["route"])
+    return gtfs.direction(near(False), near(True))
 
 
 @query(f"""with {PINGS}, {SUPPLIERS}, ft as (select route, x, y from su where pattern = 0 qualify row_number() over (partition by route order by stop_id) = 1), lt as (select route, x, y from su where pattern = 0 qualify row_number() over (partition by route order by stop_id desc) = 1),

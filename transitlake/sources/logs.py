@@ -28,15 +28,17 @@ def _unzipped(batches):
         for path, name, content in zip(*(batch.column(c).to_pylist() for c in ("path", "filename", "content")), strict=True):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    text = z.read(name).decode("latin-1")
+                    lines = z.read(name).split(b"\n")
             except (zipfile.BadZipFile, KeyError, OSError):
                 continue  # unreadable, or without the member its name promises: a file without lines
-            lines = text.splitlines()
+            if not lines[-1]:
+                lines.pop()  # what follows the last line feed is no line
             for at in range(0, len(lines), 50_000):
-                part = lines[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([name] * len(part)), pa.array(range(at + 1, at + 1 + len(part)), pa.int64()), pa.array(part, pa.string())], ["path", "filename", "line_num", "line"])
+                part = [x.rstrip(b"\r").decode("latin-1") for x in lines[at : at + 50_000]]
+                columns = [pa.array([path] * len(part)), pa.array([name] * len(part)), pa.array(range(at + 1, at + 1 + len(part)), pa.int64()), pa.array(part, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "filename", "line_num", "line"])
 
 
 def log_lines(files: DataFrame) -> DataFrame:
-    """Numbered lines of each file. Files that can't be read have none; join the file list to keep them."""
+    """Numbered lines of each file, parted by line feeds only. Files that can't be read have none; join the file list."""
     return files.select("path", "filename", "content").mapInArrow(_unzipped, LINES)

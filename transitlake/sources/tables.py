@@ -55,7 +55,8 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("route", "w
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
             there = spark.read.parquet(path).select(*by).distinct()
             df = df.join(there, list(by), "left_anti")
-    df.repartition(*by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(path)
+    # Spark splits a partition that holds very many rows over tasks, and files, and joins small ones.
+    df.hint("rebalance", *(F.col(c) for c in by)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def write_segments(df: DataFrame, path: str) -> None:
@@ -117,6 +118,13 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
     df.withColumn("id", F.xxhash64(*keys)).write.mode("append").jdbc(url, table, properties=properties)
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, schema: StructType, properties: dict[str, str], split_by: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 1) -> DataFrame:
+    """A table of runs or readings in a schema's columns, read by ``parts`` ranges of a numeric column where one is named."""
+    by = {"column": split_by, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": parts} if split_by else {}
+    df = spark.read.jdbc(url, table, properties=properties, **by)
+    return conform(df.withColumnsRenamed({c: c.lower() for c in df.columns}), schema)
+
+
 def read_field_sheets(spark: SparkSession, sheets: dict[str, str], columns: Sequence[str] = FIELD_COLUMNS) -> DataFrame:
     """Observation sheets (CSV exports) by location, columns renamed with _field, all as text."""
 
