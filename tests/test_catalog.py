@@ -62,3 +62,24 @@ def test_one_exchange_for_the_windows_of_a_run(spark):
     p = spark.createDataFrame([("a", 1, i, i, i, "O") for i in range(9)], "filename string, index_run_start long, index_loc long, odom_ft long, sec_past_st long, door_state string")
     df = rolling_speeds(p).withColumn("id", change_id(F.col("door_state"))).withColumn("f", fill(F.col("fps_next")))
     assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+@needs_data
+@pytest.mark.parametrize("name, exchanges, scans", [("run_bounds", 2, 1), ("run_summary", 2, 1), ("travel_time_decomposition", 11, 6), ("nearest_stops", 5, 3)])
+def test_plans_stay_small(spark, name, exchanges, scans):
+    """The view over events takes one exchange of its own, by user; runs take one more, by file. No sort-based sums."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") <= exchanges and plan.count("Scan parquet") <= scans and "SortAggregate" not in plan
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["segment_index", "segment_summary", "terminal_trim", "stop_summary"])
+def test_nearest_pings_need_no_sort_of_pairs(spark, name):
+    assert "SortAggregate" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_data
+def test_every_query_has_rows(spark):
+    """Empty would equal empty."""
+    empty = [n for n in ("long_enough_runs", "segment_quality", "corridor_pings", "run_traces", "signed_trajectories") if catalog.QUERIES[n](spark, SF).isEmpty()]
+    assert not empty

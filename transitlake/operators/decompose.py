@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.functions.values import FPS_A_MPH, first_of, last_of, spread
-from transitlake.operators.windows import RUN, change_id, change_id_where, drop_last, fill, keep_last, rolling_speeds
+from transitlake.operators.windows import RUN, change_id, change_id_where, drop_last, fill, rolling_speeds
 
 # Percentiles of free-flow speed, and the share taken as free flow.
 PERCENTILES = (0.01, 0.05, 0.10, 0.15, 0.25, 0.50, 0.75, 0.85, 0.90, 0.95, 0.99)
@@ -50,19 +50,34 @@ def stop_area_phases(pings: DataFrame, summary: DataFrame, stops: DataFrame, up:
     stops: run keys, seg_name_id, stop_id, odom_ft_stop. A ping in two areas of a segment counts to the stop further
     on. Missing speeds count as not moving, but don't start or end a change of movement. Fills stay within a group.
     """
-    inside = filter_to_segment(pings, summary)
-    placed = inside.join(stops.select(*SEG, "stop_id", "odom_ft_stop"), list(SEG))
-    speeds = rolling_speeds(placed, AREA)
-    area = speeds.where((F.col("odom_ft") >= F.col("odom_ft_stop") - up) & (F.col("odom_ft") <= F.col("odom_ft_stop") + down))
-    area = keep_last(area, [*SEG, "index_loc"], ["odom_ft_stop", "stop_id"])
+    rows = _segment_rows(pings, summary, stops, up, down).where("_own")
+    return _with_phases(rows, AREA).drop("_own", "_nth")
 
+
+def _segment_rows(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: float, down: float) -> DataFrame:
+    """Pings of each segment, once for each of its stops, with speeds; _own marks those in a stop's area.
+
+    Stops are joined to the segments' bounds, which are few, so pings are joined once, by run; all windows after that
+    keep its partitioning. _nth numbers a segment's stops.
+    """
+    bounds = summary.select(*SEG, "start_index_loc_segment", "end_index_loc_segment").join(stops.select(*SEG, "stop_id", "odom_ft_stop"), list(SEG), "left")
+    nth = F.row_number().over(Window.partitionBy(*SEG).orderBy("odom_ft_stop", "stop_id"))
+    rows = pings.join(bounds.withColumn("_nth", nth), list(RUN)).where(F.col("index_loc").between(F.col("start_index_loc_segment"), F.col("end_index_loc_segment")))
+    rows = rolling_speeds(rows.drop("start_index_loc_segment", "end_index_loc_segment"), AREA)
+    near = _true((F.col("odom_ft") >= F.col("odom_ft_stop") - up) & (F.col("odom_ft") <= F.col("odom_ft_stop") + down))
+    last = Window.partitionBy(*SEG, "index_loc").orderBy(F.desc("_near"), F.desc("odom_ft_stop"), F.desc("stop_id"))
+    return rows.withColumn("_near", near).withColumn("_own", F.col("_near") & (F.row_number().over(last) == 1)).drop("_near")
+
+
+def _with_phases(rows: DataFrame, keys) -> DataFrame:
+    """Adds door_id, veh_id, at_stop, phase and what they rest on; keys are those of a stop's area."""
     closed = F.col("door_state") == "C"
     known = F.col("fps_next").isNotNull()
     moving = _true(F.col("fps_next") > 0)
-    out = area.withColumns({"_closed": closed, "_moving": moving, "_known": known})
-    out = out.withColumns({"door_id": change_id(F.col("_closed"), AREA), "_veh": change_id_where(F.col("_moving"), F.col("_known"), AREA)})
-    out = out.withColumn("veh_id", fill(F.col("_veh"), AREA))
-    group = Window.partitionBy(*AREA)
+    out = rows.withColumns({"_closed": closed, "_moving": moving, "_known": known})
+    out = out.withColumns({"door_id": change_id(F.col("_closed"), keys), "_veh": change_id_where(F.col("_moving"), F.col("_known"), keys)})
+    out = out.withColumn("veh_id", fill(F.col("_veh"), keys))
+    group = Window.partitionBy(*keys)
     open_row, still = F.col("door_state") == "O", F.col("_known") & ~F.col("_moving")
     out = out.withColumns(
         {
@@ -81,7 +96,7 @@ def stop_area_phases(pings: DataFrame, summary: DataFrame, stops: DataFrame, up:
     veh, lo, hi = F.col("veh_id"), F.col("stop_min"), F.col("stop_max")
     by_veh = F.when(_true(veh < lo), "t_decel_phase").when(_true(veh == lo), "t_stop").when(_true((veh > lo) & (veh <= hi)), "t_l_addl").when(_true(veh > hi), "t_accel_phase").when(lo.isNull(), "t_nostopnopax").otherwise("not relevant")
     out = out.withColumns({"_by_door": by_door, "_by_veh": by_veh})
-    with_open = F.bool_or(F.col("_by_door") == "t_stop1").over(Window.partitionBy(*AREA, "veh_id"))
+    with_open = F.bool_or(F.col("_by_door") == "t_stop1").over(Window.partitionBy(*keys, "veh_id"))
     out = out.withColumn("at_stop", F.when(lo.isNull() & (F.col("_by_door") != "t_stop1"), False).otherwise(with_open))
     stands = F.col("at_stop") & _true(F.col("odom_ft_marg") == 0)
     at_stop = F.when(stands & (F.col("_by_door") == "t_decel_phase"), "t_l_initial").when(stands & (F.col("_by_door") == "t_accel_phase"), "t_l_addl").otherwise(F.col("_by_door"))
@@ -138,7 +153,40 @@ def travel_time(pings: DataFrame, summary: DataFrame, phases: DataFrame, ff: Dat
     out = summary.select(*SEG).join(whole, list(SEG), "left").join(columns, list(SEG), "left")
     out = out.join(ff, "seg_name_id", "left").join(acceleration_times(totals, ff), "seg_name_id", "left")
     out = out.withColumn("flag_nostop", F.col("t_stop1").isNull() & F.col("t_stop").isNull())
-    out = out.na.fill(0.0, [*PHASES, "t_decacc"])
+    return split_times(out.na.fill(0.0, [*PHASES, "t_decacc"]))
+
+
+def travel_times(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: float = UP_FEET, down: float = DOWN_FEET, max_fps: float = MAX_FPS) -> DataFrame:
+    """What travel_time gives for stop_area_phases and the free flow of the same pings, in one pass over them.
+
+    Pings are shuffled once, by run. A row for each run on a segment then carries its sums and rates, and percentiles are
+    taken of these rows; only the free flow reads pings' speeds again.
+    """
+    speed = freeflow(pings, summary, max_fps)
+    rows = _with_phases(_segment_rows(pings, summary, stops, up, down), (*AREA, "_own"))
+    at = lambda p: F.col("_own") & (F.col("phase") == p)
+    sums = [F.sum(F.when(at(p), F.col("secs_marg"))).cast("double").alias(p) for p in PHASES]
+    moving = ("t_accel_phase", "t_decel_phase")
+    ends = []
+    for p in moving:
+        order, secs = F.when(at(p) & F.col("fps_next3").isNotNull(), F.col("index_loc")), F.when(at(p), F.col("sec_past_st"))
+        ends += [F.min_by("fps_next3", order).alias(f"_a_{p}"), F.max_by("fps_next3", order).alias(f"_b_{p}"), (F.max(secs) - F.min(secs)).alias(f"_s_{p}")]
+    whole = [spread(F.col("odom_ft")).alias("odom_range"), spread(F.col("sec_past_st")).alias("t_segment"), F.bool_or(at("t_stop") | at("t_stop1")).alias("_stopped")]
+    per = rows.groupBy(*SEG).agg(*whole, *sums, *ends)
+    per = per.withColumn("flag_nostop", F.col("t_stop1").isNull() & F.col("t_stop").isNull())
+    per = per.join(free_flow_speed(speed), "seg_name_id", "left")
+    segment, lost = Window.partitionBy("seg_name_id"), F.lit(0.0)
+    for p in moving:
+        secs = F.col(f"_s_{p}")
+        rate = F.when(F.col("_stopped"), F.abs((F.col(f"_b_{p}") - F.col(f"_a_{p}")) / F.when(secs != 0, secs)))
+        per = per.withColumn(f"_p_{p}", F.percentile(rate, F.lit(0.95)).over(segment))
+        lost = lost + F.coalesce(F.abs(F.col("ff") / (2 * F.when(F.col(f"_p_{p}") != 0, F.col(f"_p_{p}")))), F.lit(0.0))
+    out = per.withColumn("t_decacc", lost).na.fill(0.0, list(PHASES)).drop("_stopped", *(f"_{x}_{p}" for p in moving for x in "absp"))
+    return split_times(out)
+
+
+def split_times(out: DataFrame) -> DataFrame:
+    """Adds t_ff, t_stop2 and t_traffic."""
     out = out.withColumn("t_ff", F.col("odom_range") / F.when(F.col("ff") != 0, F.col("ff")))
     out = out.withColumn("t_stop2", F.when(F.col("flag_nostop"), 0.0).otherwise(F.col("t_decacc") + F.col("t_l_initial")))
     return out.withColumn("t_traffic", F.col("t_segment") - F.col("t_ff") - F.col("t_stop2") - F.col("t_stop1") - F.col("t_stop"))

@@ -197,9 +197,8 @@ tx as (select *, t_segment - t_ff - t_stop2 - t_stop1 - t_stop as t_traffic from
 
 
 def travel(spark, sf_dir):
-    p, s, ph = phased(spark, sf_dir)
-    ff = decompose.free_flow_speed(decompose.freeflow(p, s))
-    return decompose.travel_time(p, s, ph, ff)
+    p = V.pings(spark, sf_dir)
+    return decompose.travel_times(p, V.segment_rows(p), V.segment_stops(p), UP, DOWN)
 
 
 @query(TRAVEL + """select filename, index_run_start, seg_name_id, t_segment, flag_nostop, round(t_ff, 6) as t_ff, round(t_stop, 6) as t_stop, round(t_stop1, 6) as t_stop1, round(t_stop2, 6) as t_stop2, round(t_traffic, 6) as t_traffic from tx""")
@@ -328,7 +327,7 @@ def tag_inventory(spark, sf_dir):
 def run_bounds(spark, sf_dir):
     """Where each run begins and ends."""
     lines = V.log_lines(spark, sf_dir)
-    return runs.run_bounds(lines, runs.tag_inventory(lines))
+    return runs.run_bounds(lines)
 
 
 RUN_SUM = f"""with {LINES}, rs as (select b.*, (select min(index_loc) from pg where pg.filename = b.filename and pg.index_loc >= b.index_run_start) as s, (select max(index_loc) from pg where pg.filename = b.filename and pg.index_loc <= b.index_run_end) as e from bd b),
@@ -345,7 +344,7 @@ round({V.sql_distance(V.sql_albers('long0', 'lat0'), V.sql_albers('long1', 'lat1
 def run_summary(spark, sf_dir):
     """Summary of each run parsed from log lines."""
     lines = V.log_lines(spark, sf_dir)
-    out = runs.clean_pings(lines, runs.tag_inventory(lines))[1]
+    out = runs.clean_pings(lines)[1]
     finite = F.when(F.abs("mph_odom") < float("inf"), F.col("mph_odom")).alias("mph_odom")
     return r6(out.select("filename", "index_run_start_original", "index_run_start", "index_run_end", "run_duration_from_sec", "run_duration_from_tags", "dist_odom_mi", finite, "dist_crow_fly_mi"))
 
@@ -355,14 +354,14 @@ select pg.filename, pg.index_loc, pg.odom_ft, max(case when pg.index_loc between
 def run_dividers(spark, sf_dir):
     """Pings with the run they lie in."""
     lines = V.log_lines(spark, sf_dir)
-    return runs.clean_pings(lines, runs.tag_inventory(lines))[0].select("filename", "index_loc", "odom_ft", "index_run_start")
+    return runs.clean_pings(lines)[0].select("filename", "index_loc", "odom_ft", "index_run_start")
 
 
 @query(f"with {LINES} select filename, index_loc, odom_ft, sec_past_st, round(lat, 6) as lat, round(long, 6) as long from pg")
 def valid_pings(spark, sf_dir):
     """Pings that pass the checks of their fields."""
     lines = V.log_lines(spark, sf_dir)
-    return r6(runs.ping_lines(lines, runs.tag_inventory(lines)).select("filename", "index_loc", "odom_ft", "sec_past_st", "lat", "long"))
+    return r6(runs.ping_lines(lines).select("filename", "index_loc", "odom_ft", "sec_past_st", "lat", "long"))
 
 
 @query(f"""with {LINES}, k as (select filename, index_loc, line_num, case when event_type = 'purchase' then 'apc' when event_type in ('view', 'click') and event_id * 7 % 400 <= 360 then 'ping' end as kind from lp where index_loc >= -1)
@@ -370,7 +369,7 @@ select filename, index_loc, coalesce(nx = 'apc', false) as row_before_apc from (
 def apc_flags(spark, sf_dir):
     """Pings before a passenger count."""
     lines = V.log_lines(spark, sf_dir)
-    return runs.ping_lines(lines, runs.tag_inventory(lines)).select("filename", "index_loc", "row_before_apc")
+    return runs.ping_lines(lines).select("filename", "index_loc", "row_before_apc")
 
 
 @query(f"with {LINES}, f as (select distinct filename, user_id from ln) select f.filename, count(line_num) as n_tags, count(line_num) = 0 as is_empty, coalesce(bool_or(f.user_id <> tag_busid), false) as is_mislabelled from f left join tg using (filename) group by all")
