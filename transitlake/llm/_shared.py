@@ -91,6 +91,20 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def hash_texts(texts) -> tuple[np.ndarray, np.ndarray]:
+    """What hash_words(space_words(text)) gives for each text of an Arrow column, one after another, and where each
+    text's begin (one more for the end). Each distinct word is hashed once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    named = pc.dictionary_encode(split.flatten())
+    at, words = named.indices.to_numpy(), named.dictionary.cast(pa.large_binary()).to_pylist()
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    real = (pc.binary_length(named.dictionary).to_numpy(zero_copy_only=False) > 0)[at]  # not what stands before or behind all words
+    return each[at[real]], np.r_[0, np.cumsum(real)][split.offsets.to_numpy()]
+
+
 def hash_windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` words, in order; empty if there are fewer words."""
     n = len(hashes) - size + 1

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.llm._shared import forget, hash_windows, hash_words, materialize, release_shuffles, scratch_root, space_words
+from transitlake.llm._shared import forget, hash_texts, hash_windows, materialize, release_shuffles, scratch_root, space_words
 
 WINDOW = 13
 #: Bytes of text in a block of documents, and in what a task of a bucket's phase answers for, on average.
@@ -78,10 +78,10 @@ def _unpack_forty(entries: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(table: pa.Table):
-    """(id or None, words, hashes of words) of each document of a block."""
-    for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-        ws = space_words(text)
-        yield doc, ws, hash_words(ws)
+    """(id or None, hashes of words) of each document of a block."""
+    hashes, bounds = hash_texts(table.column("text").combine_chunks())
+    for doc, first, last in zip(table.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
+        yield doc, hashes[first:last]
 
 
 def fingerprints(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +89,23 @@ def fingerprints(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return hash_windows(hashes, window), (hash_windows(hashes ^ _OTHER, window) >> np.uint64(32)).astype(np.uint32)
 
 
+def grouped(hash_: np.ndarray, more: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by fingerprint, then doc, and which of the ordered rows begin a fingerprint."""
+    hash_, more, doc = (np.ascontiguousarray(x) for x in (hash_, more, doc))
+    order = np.argsort(hash_)
+    sorted_ = hash_[order]
+    same = np.r_[False, sorted_[1:] == sorted_[:-1]] if len(order) else np.empty(0, bool)
+    # Only where hashes meet does the rest of the order matter; that is a small part as a rule.
+    tied = np.flatnonzero(same | np.r_[same[1:], False][: len(same)])
+    own = order[tied]
+    order[tied] = own[np.lexsort((doc[own], more[own], hash_[own]))]
+    more = more[order]
+    return order, ~same | np.r_[False, more[1:] != more[:-1]][: len(same)]
+
+
 def _anchors_of_block(table: pa.Table, n_buckets: int, anchor: int) -> pa.Table:
     grams, docs, fixed = [], [], []
-    for i, (doc, _, hashes) in enumerate(_hashes(table)):
+    for i, (doc, hashes) in enumerate(_hashes(table)):
         own = hash_windows(hashes, anchor)
         if doc is None or not len(own):
             continue
@@ -102,11 +116,11 @@ def _anchors_of_block(table: pa.Table, n_buckets: int, anchor: int) -> pa.Table:
     if not grams:
         return _packed(np.empty(0, np.int32), np.empty((0, 6), np.uint8), block)
     grams, docs, fixed = map(np.concatenate, (grams, docs, fixed))
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     grams, docs = grams[order], docs[order]
     starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-    ends = np.r_[starts[1:], len(grams)] - 1
-    marks = np.logical_or.reduceat(fixed[order], starts).astype(np.uint8) | ((docs[starts] != docs[ends]).astype(np.uint8) << 1)
+    several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)
+    marks = np.logical_or.reduceat(fixed[order], starts).astype(np.uint8) | (several.astype(np.uint8) << 1)
     grams = grams[starts]
     return _packed(((grams >> _FORTY) % np.uint64(n_buckets)).astype(np.int32), _pack_forty(grams & _LOW, marks), block)
 
@@ -127,7 +141,7 @@ def _live(batches):
         rows = by.pop(bucket)
         parts = [_unpack_forty(x) for _, x in rows]
         low, marks = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(low, kind="stable")
+        order = np.argsort(low)
         low, marks = low[order], marks[order]
         starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         times = np.diff(np.r_[starts, len(low)])
@@ -154,7 +168,7 @@ def _windows_of_block(documents: pa.Table, live: pa.Table, n_buckets: int, windo
         return nothing
     keys = np.sort(_joined(live, "<u8"))
     found = []
-    for doc, _, hashes in _hashes(documents):
+    for doc, hashes in _hashes(documents):
         if doc is None or len(hashes) < window:
             continue
         grams = hash_windows(hashes, anchor)
@@ -171,8 +185,8 @@ def _windows_of_block(documents: pa.Table, live: pa.Table, n_buckets: int, windo
     if not found:
         return nothing
     rows = np.concatenate(found)
-    rows = rows[np.lexsort((rows["doc"], rows["more"], rows["hash"]))]
-    rows = rows[np.r_[True, (rows["hash"][1:] != rows["hash"][:-1]) | (rows["more"][1:] != rows["more"][:-1])]]
+    order, starts = grouped(rows["hash"], rows["more"], rows["doc"])
+    rows = rows[order[starts]]
     return _packed((rows["hash"] % np.uint64(n_buckets)).astype(np.int32), rows, documents.column("block")[0].as_py())
 
 
@@ -184,9 +198,8 @@ def _smallest(batches):
         parts = [np.frombuffer(x, _ENTRY) for _, x in rows]
         owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
         every = np.concatenate(parts)
-        order = np.lexsort((every["doc"], every["more"], every["hash"]))
+        order, starts = grouped(every["hash"], every["more"], every["doc"])
         every, owner = every[order], owner[order]
-        starts = np.r_[True, (every["hash"][1:] != every["hash"][:-1]) | (every["more"][1:] != every["more"][:-1])]
         least = every["doc"][np.flatnonzero(starts)][np.cumsum(starts) - 1]
         beaten = np.flatnonzero(least < every["doc"])
         beaten = beaten[np.argsort(owner[beaten], kind="stable")]
@@ -199,20 +212,32 @@ def _smallest(batches):
 
 def _kept_of_block(documents: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     every = list(_hashes(documents))
-    nothing = np.empty(0, np.uint64), np.empty(0, np.uint32)
-    both = [fingerprints(h, window) if doc is not None else nothing for doc, _, h in every]
-    hashes = [h for h, _ in both]
-    docs = np.repeat(np.array([doc or 0 for doc, *_ in every], np.int64), [len(h) for h in hashes])
+    hashes = [hash_windows(h, window) if doc is not None else np.empty(0, np.uint64) for doc, h in every]
+    docs = np.repeat(np.array([doc or 0 for doc, _ in every], np.int64), [len(h) for h in hashes])
     told = _joined(answers, _ANSWER) if answers.num_rows else np.empty(0, _ANSWER)
-    keys, more, ids = np.concatenate([*hashes, told["hash"]]), np.concatenate([*(m for _, m in both), told["more"]]), np.r_[docs, told["doc"]]
-    order = np.lexsort((ids, more, keys))
-    keys, more = keys[order], more[order]
-    starts = np.r_[True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])] if len(keys) else np.empty(0, bool)
-    least = np.empty(len(keys), np.int64)
-    least[order] = ids[order][np.flatnonzero(starts)][np.cumsum(starts) - 1] if len(keys) else 0
-    gone = least[: len(docs)] < docs
+    keys = np.concatenate([*hashes, told["hash"]])
+    # Windows whose first 64 bits meet no other's stay; the whole fingerprint is taken of the others alone.
+    order = np.argsort(keys)
+    same = np.r_[False, keys[order][1:] == keys[order][:-1]] if len(keys) else np.empty(0, bool)
+    met = np.zeros(len(keys), bool)
+    met[order[same | np.r_[same[1:], False][: len(same)]]] = True
+    more, first = np.zeros(len(keys), np.uint32), 0
+    for (_, h), own in zip(every, hashes, strict=True):
+        if met[first : first + len(own)].any():
+            more[first : first + len(own)] = fingerprints(h, window)[1]
+        first += len(own)
+    more[first:] = told["more"]
+    met = np.flatnonzero(met)
+    ids = np.r_[docs, told["doc"]][met]
+    order, starts = grouped(keys[met], more[met], ids)
+    least = np.empty(len(met), np.int64)
+    least[order] = ids[order][np.flatnonzero(starts)][np.cumsum(starts) - 1] if len(met) else 0
+    gone = np.zeros(len(docs), bool)
+    gone[met[(least < ids) & (met < len(docs))]] = True
     at, rows = 0, []
-    for (doc, ws, _), own in zip(every, hashes, strict=True):
+    texts = documents.column("text").cast(pa.large_binary()).to_pylist()
+    for (doc, _), text, own in zip(every, texts, hashes, strict=True):
+        ws = space_words(text)
         hit = np.flatnonzero(gone[at : at + len(own)])
         at += len(own)
         edges = np.zeros(len(ws) + 1, np.int64)
