@@ -524,3 +524,57 @@ def test_near_duplicates_counts_no_links(spark, table):
     from transitlake.llm.neardup import near_duplicates
 
     assert near_duplicates(table.limit(0)).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_words_hashed_at_once(docs):
+    import pyarrow as pa
+
+    from transitlake.llm._shared import hash_texts, hash_words, space_words
+
+    texts = [t for _, t in docs] + ["  lead", "trail \x0b", "\x0c", "a\u2003b c"]
+    flat, bounds = hash_texts(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == hash_words(space_words(t.encode() if t else None)).tolist()
+
+
+def test_decontaminate_odd_tables(spark):
+    """Null and repeated ids give a row each; clashing columns are ignored; empty tables give none."""
+    from transitlake.llm.decontaminate import decontaminate
+
+    item = text(random.Random(1), 12)
+    docs = spark.createDataFrame([(None, item), (3, item), (3, item), (None, None), (4, "")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_words", "found", "shingle", "row", "items")})
+    items = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None)], "item_id long, text string").withColumn("words", F.lit(1))
+    rows = got(decontaminate(docs, items), ["doc_id", "n_words", "n_hit", "n_items", "contaminated"])
+    assert rows == want([(None, 12, 12, 1, True), (3, 12, 12, 1, True), (3, 12, 12, 1, True), (None, 0, 0, 0, False), (4, 0, 0, 0, False)])
+    assert decontaminate(docs.limit(0), items).count() == 0
+    assert not decontaminate(docs, items.limit(0)).where("contaminated").count()
+
+
+def test_chats_of_odd_tables(spark):
+    """Ties go by the parts as given; empty tables give none; long chats are read back whole."""
+    from transitlake.llm.chat import format_chats, read_chats, text_part
+
+    rows = [(1, None, "user", "<|x"), (1, None, "user", "<a"), (1, 2, "assistant", None), (None, 1, None, "y")] + [(2, i, "assistant" if i % 2 else "user", f"é<|im_end|>\\{i}" * 40) for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("formatted", "loss_spans", "parts0")})
+    turns = df.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
+    out = {r["conv_id"]: r for r in read_chats(format_chats(turns)).collect()}
+    truth = brute.chats([(c, -1 if t is None else t, r, x) for c, t, r, x in rows])
+    for conv, (n, turns_sha, loss_chars, loss_sha) in truth.items():
+        told = "".join(f"{t['role']}\n{t['text']}\n" for t in out[conv]["turns"])
+        assert (out[conv]["n_turns"], brute.sha(told), len(out[conv]["loss_text"]), brute.sha(out[conv]["loss_text"])) == (n, turns_sha, loss_chars, loss_sha)
+    assert format_chats(turns.limit(0)).count() == 0
+
+
+def test_large_buckets_are_joined_in_parts(spark, monkeypatch):
+    from transitlake.llm import neardup
+
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", 3)
+    rng = random.Random(5)
+    base, docs = text(rng, 60).split(), []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 4):
+            words[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    out = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got(out, ["doc_id", "n_shingles", "component_id", "kept"]) == want(brute.near(docs))
