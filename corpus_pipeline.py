@@ -3,6 +3,10 @@
 Toxic documents go; of each group of near duplicates one stays; documents with benchmark passages go; personal data is
 replaced by its kind in brackets; the rest is packed into sequences. Rows without doc_id pass every filter, as no
 decision names them. All stages but the last return the columns of documents.
+
+Defined results: null and empty texts are clean, hold no personal data and are packed as one closing id. Rows that repeat
+a doc_id share the decisions of near-dedup and decontamination; toxicity judges each row by its text. Columns beyond those
+of documents are kept by all stages but packing. A stage over an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -50,11 +54,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in texts."""
     from transitlake.llm import pii as P
+    from transitlake.llm.spans import let
 
     text = F.coalesce(F.col("text"), F.lit(""))
     model = P.fit(docs.select(P.candidates(text).alias("candidates")))
-    out = docs.withColumn("_spans", P.accepted(P.candidates(text), model))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), P.redact(F.col("text"), F.col("_spans")))).drop("_spans")
+    masked = let(P.accepted(P.candidates(text), model), lambda spans: P.redact(F.col("text"), spans))
+    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), masked))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
