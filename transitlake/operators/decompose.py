@@ -92,14 +92,31 @@ def _with_phases(rows: DataFrame, keys) -> DataFrame:
     out = out.withColumn("any_stopped", F.col("_stopped") | F.col("any_open"))
 
     door, door_min = F.col("door_id"), F.col("door_min")
-    by_door = F.when(_true(door < door_min), "t_decel_phase").when(open_row & _true(door == door_min), "t_stop1").when(_true(door > door_min), "t_accel_phase").when(door_min.isNull(), "t_nopax").otherwise("doh")
+    by_door = (
+        F.when(_true(door < door_min), "t_decel_phase")
+        .when(open_row & _true(door == door_min), "t_stop1")
+        .when(_true(door > door_min), "t_accel_phase")
+        .when(door_min.isNull(), "t_nopax")
+        .otherwise("doh")
+    )
     veh, lo, hi = F.col("veh_id"), F.col("stop_min"), F.col("stop_max")
-    by_veh = F.when(_true(veh < lo), "t_decel_phase").when(_true(veh == lo), "t_stop").when(_true((veh > lo) & (veh <= hi)), "t_l_addl").when(_true(veh > hi), "t_accel_phase").when(lo.isNull(), "t_nostopnopax").otherwise("not relevant")
+    by_veh = (
+        F.when(_true(veh < lo), "t_decel_phase")
+        .when(_true(veh == lo), "t_stop")
+        .when(_true((veh > lo) & (veh <= hi)), "t_l_addl")
+        .when(_true(veh > hi), "t_accel_phase")
+        .when(lo.isNull(), "t_nostopnopax")
+        .otherwise("not relevant")
+    )
     out = out.withColumns({"_by_door": by_door, "_by_veh": by_veh})
     with_open = F.bool_or(F.col("_by_door") == "t_stop1").over(Window.partitionBy(*keys, "veh_id"))
     out = out.withColumn("at_stop", F.when(lo.isNull() & (F.col("_by_door") != "t_stop1"), False).otherwise(with_open))
     stands = F.col("at_stop") & _true(F.col("odom_ft_marg") == 0)
-    at_stop = F.when(stands & (F.col("_by_door") == "t_decel_phase"), "t_l_initial").when(stands & (F.col("_by_door") == "t_accel_phase"), "t_l_addl").otherwise(F.col("_by_door"))
+    at_stop = (
+        F.when(stands & (F.col("_by_door") == "t_decel_phase"), "t_l_initial")
+        .when(stands & (F.col("_by_door") == "t_accel_phase"), "t_l_addl")
+        .otherwise(F.col("_by_door"))
+    )
     at_stop = F.when((at_stop == "t_accel_phase") & _true(door <= F.col("door_max")), "t_l_addl").otherwise(at_stop)
     phase = F.when(~F.col("any_stopped"), "t_nostopnopax").when(~F.col("any_open"), F.col("_by_veh")).otherwise(at_stop)
     return out.withColumn("phase", phase).drop("_closed", "_moving", "_known", "_veh", "_stopped", "_by_door", "_by_veh")
@@ -215,7 +232,8 @@ def accel_decel_decomposition(pings: DataFrame, summary: DataFrame, phases: Data
     """Seconds by phase and outside the stop area, their total, and the difference to the run's time on the segment."""
     sums = drop_last(phases, SEG).groupBy(*SEG).pivot("phase", list(PHASES)).agg(F.sum("secs_marg"))
     whole = filter_to_segment(pings, summary).groupBy(*SEG).agg(spread(F.col("sec_past_st")).alias("t_segment"))
-    out = summary.select(*SEG).join(sums, list(SEG), "left").join(outside_stop_area(pings, summary, phases), list(SEG), "left").join(whole, list(SEG), "left")
+    out = summary.select(*SEG).join(sums, list(SEG), "left")
+    out = out.join(outside_stop_area(pings, summary, phases), list(SEG), "left").join(whole, list(SEG), "left")
     out = out.na.fill(0, [*PHASES, "t_nonstop"])
     total = F.col("t_nonstop")
     for p in PHASES:

@@ -136,10 +136,13 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, user = F.col("event_id"), F.col("user_id")
     text = lambda c: c.cast("string")
     clock = F.date_format("ts", "HH:mm:ss")
-    tag = F.concat(F.lit("   A"), text(user % 10), F.lit("0"), text(user % 2), F.lit(","), text(user + F.when(k % 11 == 0, 1).otherwise(0)), F.lit(","), F.date_format("ts", "MM/dd/yy"), F.lit(","), clock, F.lit(","), text(k), F.lit(",05280"))
+    route, bus = F.concat(F.lit("   A"), text(user % 10), F.lit("0"), text(user % 2)), text(user + F.when(k % 11 == 0, 1).otherwise(0))
+    tag = F.concat_ws(",", route, bus, F.date_format("ts", "MM/dd/yy"), clock, text(k), F.lit("05280"))
     end = F.concat(F.lit("/ "), clock, F.lit(" Buswares navigation reported end of route"))
-    lat, lon = F.concat(F.lit("38."), F.lpad(text(k * 7919 % 1000000), 6, "0")), F.concat(F.lit("-77."), F.lpad(text(k * 104729 % 1000000), 6, "0"))
-    ping = F.concat_ws(",", lat, lon, text(k * 7 % 400), F.when(k % 5 == 0, "O").otherwise("C"), F.when(k % 7 == 0, "S").otherwise("M"), text(n * 10), text(n * 3), F.lit("08"), F.lit("   "), F.lit("9"), lat, lon)
+    lat = F.concat(F.lit("38."), F.lpad(text(k * 7919 % 1000000), 6, "0"))
+    lon = F.concat(F.lit("-77."), F.lpad(text(k * 104729 % 1000000), 6, "0"))
+    states = [F.when(k % 5 == 0, "O").otherwise("C"), F.when(k % 7 == 0, "S").otherwise("M")]
+    ping = F.concat_ws(",", lat, lon, text(k * 7 % 400), *states, text(n * 10), text(n * 3), F.lit("08"), F.lit("   "), F.lit("9"), lat, lon)
     kind = F.col("event_type")
     line = F.when(kind == "signup", tag).when(kind == "error", end).when(kind == "purchase", F.lit("apc,55,14,1,21,0,0")).otherwise(ping)
     return e.select(F.concat(F.lit("rawnav"), F.lpad(text(user), 5, "0"), F.lit(LOG_FILE)).alias("filename"), "line_num", line.alias("line"))
@@ -148,12 +151,27 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = f"""
 ln as (select event_id, ts, user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as line_num, 'rawnav' || lpad(cast(user_id as varchar), 5, '0') || '{LOG_FILE}' as filename from events),
 lp as (select *, line_num - min(case when event_type = 'signup' then line_num end) over (partition by user_id) - 1 as index_loc from ln),
-tg as (select filename, line_num, index_loc, user_id, event_id, ts, 'A' || (user_id % 10) as route, '0' || (user_id % 2) as pattern, user_id + case when event_id % 11 = 0 then 1 else 0 end as tag_busid, strftime(ts, '%H:%M:%S') as tag_time from lp where event_type = 'signup'),
-pg as (select filename, index_loc, line_num, event_id, line_num * 10 as odom_ft, line_num * 3 as sec_past_st, cast('38.' || lpad(cast(event_id * 7919 % 1000000 as varchar), 6, '0') as double) as lat, cast('-77.' || lpad(cast(event_id * 104729 % 1000000 as varchar), 6, '0') as double) as long from lp
-  where event_type in ('view', 'click') and event_id * 7 % 400 <= 360 and index_loc >= -1),
-ow as (select filename, tag, min(index_loc) as e, arg_min(ts, index_loc) as e_ts from (select *, max(case when event_type = 'signup' then index_loc end) over (partition by filename order by line_num) as tag from lp where index_loc >= -1) where event_type = 'error' and tag is not null group by all),
-bd as (select t.filename, t.index_loc as index_run_start, coalesce(o.e, lead(t.index_loc) over w, m.last) as index_run_end, case when o.e is not null then strftime(o.e_ts, '%H:%M:%S') else lead(t.tag_time) over w end as run_end_time, t.ts, t.tag_time
-  from tg t left join ow o on o.filename = t.filename and o.tag = t.index_loc join (select filename, max(index_loc) as last from lp group by all) m on m.filename = t.filename window w as (partition by t.filename order by t.index_loc))
+tg as (
+  select filename, line_num, index_loc, user_id, event_id, ts, 'A' || (user_id % 10) as route, '0' || (user_id % 2) as pattern,
+    user_id + case when event_id % 11 = 0 then 1 else 0 end as tag_busid, strftime(ts, '%H:%M:%S') as tag_time
+  from lp where event_type = 'signup'),
+pg as (
+  select filename, index_loc, line_num, event_id, line_num * 10 as odom_ft, line_num * 3 as sec_past_st,
+    cast('38.' || lpad(cast(event_id * 7919 % 1000000 as varchar), 6, '0') as double) as lat,
+    cast('-77.' || lpad(cast(event_id * 104729 % 1000000 as varchar), 6, '0') as double) as long
+  from lp where event_type in ('view', 'click') and event_id * 7 % 400 <= 360 and index_loc >= -1),
+ot as (
+  select *, max(case when event_type = 'signup' then index_loc end) over (partition by filename order by line_num) as tag
+  from lp where index_loc >= -1),
+ow as (
+  select filename, tag, min(index_loc) as e, arg_min(ts, index_loc) as e_ts
+  from ot where event_type = 'error' and tag is not null group by all),
+bd as (
+  select t.filename, t.index_loc as index_run_start, coalesce(o.e, lead(t.index_loc) over w, m.last) as index_run_end,
+    case when o.e is not null then strftime(o.e_ts, '%H:%M:%S') else lead(t.tag_time) over w end as run_end_time, t.ts, t.tag_time
+  from tg t left join ow o on o.filename = t.filename and o.tag = t.index_loc
+    join (select filename, max(index_loc) as last from lp group by all) m on m.filename = t.filename
+  window w as (partition by t.filename order by t.index_loc))
 """
 
 
