@@ -95,7 +95,25 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.divergence import audit_sources
+
+    return audit_sources(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitlake.llm.extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_language, op3_near_duplicates, op4_toxicity, op5_pack, op6_chat, op7_neighbours, op8_pii, op9_secrets, op10_repeats)
+    for f in (op1_decontaminate, op2_language, op3_near_duplicates, op4_toxicity, op5_pack, op6_chat, op7_neighbours, op8_pii, op9_secrets, op10_repeats, op11_audit, op12_spelling, op13_extract)
 }
