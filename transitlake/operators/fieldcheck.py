@@ -35,16 +35,27 @@ def between_times(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     return df.where(s.between(seconds_of(F.lit(start)), seconds_of(F.lit(end))))
 
 
+def near_in_time(left: DataFrame, right: DataFrame, left_time: str, right_time: str, tolerance: float, on: Sequence[str], strict: bool = False) -> DataFrame:
+    """Pairs with equal keys whose times differ by the tolerance at most (strict: by less), with delta = right - left.
+
+    Time is cut into buckets as wide as the tolerance, and the bucket is part of the join's key. A left row stands in its
+    bucket and both neighbours, a right row in one bucket, so each pair meets once and rows far apart in time never do.
+    """
+    bucket = lambda c: F.floor(F.col(c) / max(float(tolerance), 1.0))
+    dealt = left.withColumn("_bucket", F.explode(F.sequence(bucket(left_time) - 1, bucket(left_time) + 1)))
+    met = dealt.join(right.withColumn("_bucket", bucket(right_time)), [*on, "_bucket"]).drop("_bucket")
+    delta = F.abs("delta")
+    return met.withColumn("delta", F.col(right_time) - F.col(left_time)).where(delta < tolerance if strict else delta <= tolerance)
+
+
 def match_by_time(field: DataFrame, runs: DataFrame, field_time: str, run_time: str, tolerance: float = NEAR_SECONDS, on: Sequence[str] = ("route", "bus_id")) -> DataFrame:
     """Observations and runs of the same route and bus whose times differ by the tolerance at most."""
-    delta = F.col(run_time) - F.col(field_time)
-    return field.join(runs, list(on)).withColumn("delta", delta).where(F.abs("delta") <= tolerance)
+    return near_in_time(field, runs, field_time, run_time, tolerance, on)
 
 
 def match_by_start(field: DataFrame, runs: DataFrame, field_time: str, start: str, approx: str, tolerance: float = APPROX_SECONDS, on: Sequence[str] = ("route", "bus_id")) -> DataFrame:
     """Pairs in which the run starts before the observation and its estimated time is near it."""
-    joined = field.join(runs, list(on)).where(F.col(start) < F.col(field_time)).withColumn("delta", F.col(approx) - F.col(field_time))
-    return joined.where(F.abs("delta") < tolerance)
+    return near_in_time(field, runs, field_time, approx, tolerance, on, strict=True).where(F.col(start) < F.col(field_time))
 
 
 def coverage(field: DataFrame, keys: Sequence[str], **sources: DataFrame) -> DataFrame:

@@ -4,42 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitlake.functions.geo import distance, line_distance
+from transitlake.functions import rings
+from transitlake.functions.geo import distance, edge_distance, line_edges
 from transitlake.operators.windows import RUN
 
 CELL_FEET = 500.0
-#: Pings of a run that are held in one row.
-RUN_PART = 256
-
-
-def nearest_ping(targets: DataFrame, pings: DataFrame, target_keys: Sequence[str], on: Sequence[str] = ("route", "pattern"), keys: Sequence[str] = RUN) -> DataFrame:
+#: Pings of a run, and targets of a pattern, that are held in one row.
+RUN_PART, TARGET_PART = 1024, 512
+
+
+def _closest(within: float | None):
+    """Column function over arrays of a row's pings (ranks, x, y) and targets (x, y): target, ping and distance."""
+    kind = pa.struct([("target", pa.int32()), ("ping", pa.int32()), ("d", pa.float64())])
+
+    @F.arrow_udf("array<struct<target:int,ping:int,d:double>>")
+    def find(rank: pa.Array, x: pa.Array, y: pa.Array, tx: pa.Array, ty: pa.Array) -> pa.Array:
+        flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+        bounds = lambda a: a.offsets.to_numpy() - a.offsets[0].as_py()
+        pings, targets = bounds(x), bounds(tx)
+        n = len(x)
+        owner, to = np.repeat(np.arange(n), np.diff(pings)), np.repeat(np.arange(n), np.diff(targets))
+        found, d, _ = rings.nearest(owner, flat(rank), flat(x), flat(y), to, flat(tx), flat(ty), n, within)
+        there = np.flatnonzero(found >= 0)
+        own = to[there]
+        rows = pa.StructArray.from_arrays(
+            [pa.array((there - targets[own]).astype(np.int32)), pa.array((found[there] - pings[own]).astype(np.int32)), pa.array(d[there])], fields=list(kind)
+        )
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)).astype(np.int32)), rows)
+
+    return find
+
+
+def nearest_ping(
+    targets: DataFrame, pings: DataFrame, target_keys: Sequence[str], on: Sequence[str] = ("route", "pattern"), keys: Sequence[str] = RUN, within: float | None = None
+) -> DataFrame:
     """For each run and target of the run's pattern, its closest ping; ties go to the lowest index_loc.
 
-    Both sides have x and y in feet; a run has one ping for each index_loc. Runs without targets drop out, pings without
-    a place take no part. Places are gathered RUN_PART pings at a time, so that a run's part meets each target in one
-    row, and only the best of each part moves on. Spark broadcasts the targets where their size allows.
+    Both sides have x and y in feet; a run has one ping for each index_loc. Runs without targets drop out, pings and
+    targets without a place take no part. ``within`` leaves out targets with no ping that close.
+
+    Pings are shuffled once, with all their columns, and gathered RUN_PART to a row; a row meets the targets of its
+    pattern TARGET_PART at a time and looks around each of them in rings of grid cells, so that a target is compared with
+    the pings near it only. What each part found is then brought together by run and target.
     """
-    own = targets.withColumnsRenamed({"x": "target_x", "y": "target_y"})
+    own = targets.where("x is not null and y is not null").withColumnsRenamed({"x": "target_x", "y": "target_y"})
     by = list(dict.fromkeys([*on, *keys]))
-    place = F.struct("index_loc", "x", "y")
-    parts = pings.where("x is not null and y is not null").groupBy(*by, F.floor(F.col("index_loc") / RUN_PART).alias("_part"))
-    more = [c for c in own.columns if c not in (*on, *keys, *target_keys)]
-    met = parts.agg(F.collect_list(place).alias("_places")).join(own, list(on))
+    t_rest = [c for c in own.columns if c not in on]
+    dealt = own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*on))).withColumn(
+        "_chunk", F.pmod(F.xxhash64(*(F.col(c) for c in target_keys if c in own.columns)), F.ceil(F.col("_n") / TARGET_PART))
+    )
+    sets = dealt.groupBy(*on, "_chunk").agg(F.collect_list(F.struct(*t_rest)).alias("_targets")).drop("_chunk")
+    rest = [c for c in pings.columns if c not in by]
+    placed = pings.where("x is not null and y is not null")
+    parts = placed.groupBy(*by, F.floor(F.col("index_loc") / RUN_PART).alias("_part")).agg(F.collect_list(F.struct(*rest)).alias("_pings"))
+    column = lambda a, c: F.transform(a, lambda e: e[c].cast("double"))
+    index = F.transform("_pings", lambda p: p["index_loc"].cast("long"))
+    met = parts.drop("_part").join(sets, list(on))
+    found = met.withColumn("_f", _closest(within)(index, column("_pings", "x"), column("_pings", "y"), column("_targets", "target_x"), column("_targets", "target_y")))
+    flat = found.select("*", F.explode("_f").alias("_e")).select(*by, F.col("_targets")[F.col("_e.target")].alias("_t"), F.col("_pings")[F.col("_e.ping")].alias("_p"), F.col("_e.d").alias("_d"))
+    group = [*keys, *(c for c in target_keys if c not in keys)]
+    flat = flat.select("*", *(F.col(f"_t.{c}").alias(c) for c in target_keys if c not in by))
+    # A row for each part of a run, so one as a rule.
+    more = [c for c in on if c not in group]
+    best = flat.groupBy(*group).agg(F.min_by(F.struct("_t", "_p", "_d", *more), F.struct("_d", F.col("_p.index_loc"))).alias("_b"))
+    values = [c for c in dict.fromkeys((*on, *pings.columns, *own.columns)) if c not in group]
 
-    def best(p: Column) -> Column:
-        return F.struct(distance(p["x"], p["y"], F.col("target_x"), F.col("target_y")).alias("d"), p["index_loc"].alias("i"))
+    def value(c: str) -> Column:
+        side = "_b" if c in on else "_b._p" if c in rest else "_b._t"
+        return F.col(f"{side}.{c}").alias(c)
 
-    found = met.select(*by, *(c for c in target_keys if c not in by), F.array_min(F.transform("_places", best)).alias("_best"), F.struct(*more).alias("_more"))
-    # A row for each part of a run, so one as a rule.
-    least = F.array_min(F.collect_list(F.struct("_best", *(F.col(c).alias(c) for c in on if c not in keys), "_more")))
-    near = found.groupBy(*keys, *target_keys).agg(least.alias("_b"))
-    near = near.select(*keys, *target_keys, F.col("_b._best.i").alias("index_loc"), F.col("_b._best.d").alias("dist_to_nearest_point"), *(F.col(f"_b._more.{c}").alias(c) for c in more))
-    out = near.join(pings.select(*keys, "index_loc", *(c for c in pings.columns if c not in (*keys, *target_keys, "index_loc"))), [*keys, "index_loc"])
-    values = [c for c in (*on, *pings.columns, *own.columns) if c not in (*keys, *target_keys)]
-    return out.select(*keys, *target_keys, *dict.fromkeys(values), "dist_to_nearest_point")
+    return best.select(*group, *map(value, values), F.col("_b._d").alias("dist_to_nearest_point"))
 
 
 def within_cells(points: DataFrame, targets: DataFrame, radius: float, cell: float = CELL_FEET) -> DataFrame:
@@ -48,12 +87,10 @@ def within_cells(points: DataFrame, targets: DataFrame, radius: float, cell: flo
     Both sides have x and y. Targets are copied to the cells that their radius reaches, so a point meets each at most
     once. Target columns must not clash with those of points.
     """
-    reach = int(-(-radius // cell))
-    cx, cy = (lambda c: F.floor(F.col(c) / cell)), F.floor(F.col("target_y") / cell)
     own = targets.withColumnsRenamed({"x": "target_x", "y": "target_y"})
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    own = own.withColumn("_s", F.explode(steps)).withColumns({"_cx": cx("target_x") + F.col("_s.i"), "_cy": cy + F.col("_s.j")}).drop("_s")
-    dealt = points.withColumns({"_cx": cx("x"), "_cy": F.floor(F.col("y") / cell)})
+    reached = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / cell), F.floor((F.col(c) + radius) / cell)))
+    own = own.where("target_x is not null and target_y is not null").withColumn("_cx", reached("target_x")).withColumn("_cy", reached("target_y"))
+    dealt = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
     d = distance(F.col("x"), F.col("y"), F.col("target_x"), F.col("target_y"))
     return dealt.join(own, ["_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
@@ -65,9 +102,38 @@ def nearest_within(points: DataFrame, targets: DataFrame, target_keys: Sequence[
     return near.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
 
 
-def near_line(x: Column, y: Column, points: Column, radius: float) -> Column:
-    """Whether a point lies in a line's corridor."""
-    return F.coalesce(line_distance(x, y, points) <= radius, F.lit(False))
+def edge_cells(lines: DataFrame, keys: Sequence[str], radius: float, cell: float = CELL_FEET) -> DataFrame:
+    """keys, _cx, _cy, _edges: the cells that come within ``radius`` of a line, each with the edges that do so.
+
+    lines: keys and points (array of x, y). An edge covers, column of cells by column, the rows it passes there and a
+    radius more to each side, so a long edge has about as many cells as its length and none beside it.
+    """
+    edges = lines.select(*keys, F.explode(line_edges(F.col("points"))).alias("_e"))
+    a, b = F.col("_e.a"), F.col("_e.b")
+    low, high = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
+    columns = edges.withColumn("_cx", F.explode(F.sequence(F.floor((low - radius) / cell), F.floor((high + radius) / cell))))
+    # The edge's part above the column, widened by the radius.
+    left, right = F.greatest(low, F.col("_cx") * cell - radius), F.least(high, (F.col("_cx") + 1) * cell + radius)
+    dx = b["x"] - a["x"]
+    at = lambda x: a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / dx
+    steep = F.abs(dx) < 1e-6
+    y1, y2 = F.when(steep, a["y"]).otherwise(at(left)), F.when(steep, b["y"]).otherwise(at(right))
+    spare = radius + cell * 1e-6  # more than rounding can take away
+    rows = F.explode(F.sequence(F.floor((F.least(y1, y2) - spare) / cell), F.floor((F.greatest(y1, y2) + spare) / cell)))
+    return columns.withColumn("_cy", rows).groupBy(*keys, "_cx", "_cy").agg(F.collect_list("_e").alias("_edges"))
+
+
+def within_corridor(points: DataFrame, lines: DataFrame, line_keys: Sequence[str], radius: float, on: Sequence[str] = (), cell: float = CELL_FEET) -> DataFrame:
+    """Points no more than ``radius`` from a line, once for each line, joined on grid cells (and ``on``).
+
+    points have x and y. lines: on, line_keys and points. A cell has a line's edges in one row, and a point lies in one
+    cell, so it meets a line once and only the edges that pass near.
+    """
+    index = edge_cells(lines, [*on, *line_keys], radius, cell)
+    dealt = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
+    met = dealt.join(index, [*on, "_cx", "_cy"])
+    near = F.exists("_edges", lambda e: edge_distance(F.col("x"), F.col("y"), e) <= radius)
+    return met.where(near).drop("_cx", "_cy", "_edges")
 
 
 def terminal_match(ends: DataFrame, terminals: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def missing_routes(wanted: DataFrame, schedule: DataFrame) -> DataFrame:
 
 def stop_index(pings: DataFrame, stops: DataFrame, most_feet: float = MOST_FEET, strict: bool = False) -> DataFrame:
     """The ping nearest to each stop of a run's pattern: closer than most_feet, in stop order along the run."""
-    near = nearest_ping(stops, pings, ["stop_id", "stop_sort_order"]).where(F.col("dist_to_nearest_point") < most_feet)
+    near = nearest_ping(stops, pings, ["stop_id", "stop_sort_order"], within=most_feet).where(F.col("dist_to_nearest_point") < most_feet)
     return nondecreasing(near, "index_loc", RUN, ["stop_sort_order", "stop_id"], strict)
 
 

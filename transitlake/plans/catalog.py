@@ -550,8 +550,7 @@ def corridor_pings(spark, sf_dir):
     lines, p, _ = _seg_index(spark, sf_dir)
     k = F.substring("seg_name_id", 5, 20).cast("long")
     own = lines.select("seg_name_id", geo.project_line(F.col("coords")).alias("points"), (k % 3).alias("route"), (k % 2).alias("pattern"))
-    met = p.join(own, ["route", "pattern"])
-    return met.where(nearest.near_line(F.col("x"), F.col("y"), F.col("points"), 500.0)).select("filename", "index_loc", "seg_name_id")
+    return nearest.within_corridor(p, own, ["seg_name_id"], 500.0, on=["route", "pattern"]).select("filename", "index_loc", "seg_name_id")
 
 
 @query(f"with {PINGS} select {RK}, count(*) as n_points, round(sum(sqrt(dx * dx + dy * dy)), 3) as length_ft from (select {RK}, {_PXY[0]} - lag({_PXY[0]}) over w as dx, {_PXY[1]} - lag({_PXY[1]}) over w as dy from p window w as (partition by {RK} order by index_loc)) group by all having count(*) > 1")
@@ -789,9 +788,9 @@ gj as (select {RK}, index_loc, stop_id, stop_sequence, sqrt((p.x - gs.x) * (p.x
 gn as (select * from gj qualify row_number() over (partition by {RK}, stop_id, stop_sequence order by d, index_loc) = 1)"""
 
 
-def _gtfs_near(spark, sf_dir):
+def _gtfs_near(spark, sf_dir, within=None):
     s = V.suppliers(spark, sf_dir).where("pattern = 0").select("stop_id", "route", F.col("stop_sort_order").alias("stop_sequence"), "x", "y")
-    return gtfs.nearest_gtfs_stop(s, V.pings(spark, sf_dir))
+    return gtfs.nearest_gtfs_stop(s, V.pings(spark, sf_dir), within=within)
 
 
 @query(f"with {GN} select {RK}, stop_id, stop_sequence, index_loc, round(d, 6) as dist_to_nearest_point from gn")
@@ -805,7 +804,7 @@ c as (select *, coalesce(lag(index_loc) over (partition by {RK} order by stop_se
 select {RK}, stop_id, stop_sequence, index_loc from c qualify not bool_or(bad) over (partition by {RK})""")
 def gtfs_stops_on_route(spark, sf_dir):
     """Stops near enough, of runs in order."""
-    return gtfs.stops_on_route(_gtfs_near(spark, sf_dir), 3000.0).select("filename", "index_run_start", "stop_id", "stop_sequence", "index_loc")
+    return gtfs.stops_on_route(_gtfs_near(spark, sf_dir, 3000.0), 3000.0).select("filename", "index_run_start", "stop_id", "stop_sequence", "index_loc")
 
 
 def _terminals(spark, sf_dir, last: bool):
