@@ -51,6 +51,7 @@ def audit_rows():
         lang = rng.choice(["en", "en", "de", None])
         rows.append((i, " ".join(rng.choices(words[i % 5 :: 2], k=rng.randrange(1, 60))), lang, source))
     rows += [(200, None, "en", "silent"), (201, "", "xx", "one"), (None, "wab wac 12 3", "en", "b"), (3, "wab", "en", "b"), (3, "wab", "en", "b"), (202, "only here", "yy", "a"), (203, "", "yy", "b")]
+    rows += [(300 + i, f"rare{chr(97 + i)} term", "zz", "a" if i % 2 else "b") for i in range(9)] + [(320 + i, f"x{chr(97 + i)}", "zx", "a" if i % 2 else "b") for i in range(12)]
     rows += [(204, "wab " * 30_000 + "waé", "en", "long")]
     return rows
 

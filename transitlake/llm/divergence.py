@@ -1,8 +1,8 @@
 """Audit of sources: how far the sources of a language diverge from each other, and by which terms from the language.
 
-1. Terms. Each document is a list of terms, written once by language and, where a language has more distinct terms than
-   MODEL_TERMS, by shard of their hash, so that no vocabulary outgrows that bound. A term's documents all meet in one
-   shard, so document frequencies stay exact.
+1. Terms. Each document is a list of terms, written by language. Where a language has more distinct terms than MODEL_TERMS
+   (a count by sketch, so within some percent), its lists are dealt to shards by the terms' hash, so that no vocabulary
+   outgrows that bound. A term's documents all meet in one shard, so document frequencies stay exact.
 2. Vectors. A CountVectorizer for each language (and shard), with minDF and the largest integer as vocabSize, fits its
    vocabulary and turns the documents into exact sparse count vectors.
 3. Group sums. Vectors are summed by source without being made dense: a task adds up what its batches hold by source and
@@ -26,11 +26,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitlake.llm._shared import materialize, scratch_root
+from transitlake.llm._shared import materialize, scratch_root, text_slices
 
 MIN_DF = 10
 #: The largest integer: no vocabulary is cut.
@@ -39,13 +41,32 @@ VOCABULARY = 2**31 - 1
 MODEL_TERMS = 8_000_000
 SCALE, TOP = 1_000_000_000, 10
 
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Each byte of UTF-8 as a part of a term (A-Z lower-cased) or as a blank.
+_BYTES = np.full(256, 0x20, np.uint8)
+for _low, _high, _shift in ((0x41, 0x5B, 0x20), (0x61, 0x7B, 0), (0x80, 0x100, 0)):
+    _BYTES[_low:_high] = np.arange(_low, _high) + _shift
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text, in order."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_TERM), F.lit(0))
+def split_terms(texts: pa.Array) -> pa.Array:
+    """Lists of the terms [^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+ of texts (large strings without nulls), in order; [''] where there are none."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = _BYTES[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    plain = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data))
+    return pc.ascii_split_whitespace(pc.ascii_trim(plain, " "))
+
+
+def term_lists(documents: DataFrame) -> DataFrame:
+    """model, source, terms of each document (model, source, text) that has terms."""
+
+    def split(batches):
+        for batch in batches:
+            for first, texts in text_slices(batch.column("text")):
+                lists = split_terms(texts)
+                found = pc.greater(pc.binary_length(pc.list_element(lists, 0)), 0)
+                own = [batch.column(c).slice(first, len(texts)) for c in ("model", "source")]
+                yield pa.RecordBatch.from_arrays([x.filter(found) for x in (*own, lists.cast(pa.list_(pa.string())))], ["model", "source", "terms"])
+
+    return documents.select("model", "source", "text").mapInArrow(split, "model int, source string, terms array<string>")
 
 
 def group_sums(vectors: DataFrame) -> DataFrame:
@@ -72,30 +93,40 @@ def group_sums(vectors: DataFrame) -> DataFrame:
 def group_counts(documents: DataFrame, min_df: int = MIN_DF, model_terms: int = MODEL_TERMS) -> DataFrame:
     """lang, source, term, n: occurrences of each kept term in each group that holds it; written to the shared folder."""
     spark, folder = documents.sparkSession, f"{scratch_root(documents.sparkSession)}/divergence-{uuid.uuid4().hex}"
-    told = documents.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), terms(F.col("text")).alias("terms"))
-    # One row for each language that has enough documents for any term to be kept.
-    sizes = told.select("lang", F.explode_outer(F.array_distinct("terms")).alias("term")).groupBy("lang").agg(F.approx_count_distinct("term").alias("n"))
-    enough = told.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_df)
-    models = sorted((r["lang"], max(1, math.ceil(r["n"] / model_terms))) for r in sizes.join(enough, "lang").collect())
+    told = documents.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), "text")
     schema = "lang string, source string, term string, n long"
-    if not models:
+    # Languages with enough documents for any term to be kept, by number, as their names may be any text.
+    enough = told.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_df)
+    langs = sorted(r["lang"] for r in enough.collect())
+    if not langs:
         return spark.createDataFrame([], schema)
-    # Languages by number, as their names may be any text.
-    known = spark.createDataFrame([(lang, i, n) for i, (lang, n) in enumerate(models)], "lang string, model int, shards int")
-    dealt = told.join(F.broadcast(known), "lang")
-    shard = lambda t: F.pmod(F.xxhash64(t), F.col("shards")).cast("int")
-    parts = F.when(F.col("shards") == 1, F.array(F.struct(F.lit(0).alias("shard"), F.col("terms")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda i: F.struct(i.alias("shard"), F.filter("terms", lambda t: shard(t) == i).alias("terms")))
-    )
-    dealt.select("model", "source", F.explode(parts).alias("p")).select("model", "source", "p.shard", "p.terms").write.partitionBy("model", "shard").parquet(f"{folder}/terms")
-    for i, (lang, n) in enumerate(models):
-        for s in range(n):
-            own = spark.read.parquet(f"{folder}/terms/model={i}/shard={s}")
-            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=min_df, vocabSize=VOCABULARY).fit(own)
-            model.write().save(f"{folder}/models/{i}-{s}")
-            named = spark.read.parquet(f"{folder}/models/{i}-{s}/data").select(F.posexplode("vocabulary").alias("index", "term"))
+    known = spark.createDataFrame(list(zip(langs, range(len(langs)), strict=True)), "lang string, model int")
+    term_lists(told.join(known, "lang")).write.partitionBy("model").parquet(f"{folder}/terms")
+    every = spark.read.schema("source string, terms array<string>, model int").parquet(f"{folder}/terms")
+    sizes = every.select("model", F.explode("terms").alias("term")).groupBy("model").agg(F.approx_count_distinct("term").alias("n")).collect()
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/counts")
+    for i, shards in sorted((r["model"], math.ceil(r["n"] / model_terms)) for r in sizes):
+        path = f"{folder}/terms/model={i}"
+        if shards > 1:
+            # Written once more, so that each model reads its own terms only.
+            at = lambda t: F.pmod(F.xxhash64(t), F.lit(shards)).cast("int")  # noqa: E731, B023
+            parts = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.struct(k.alias("shard"), F.filter("terms", lambda t: at(t) == k).alias("terms")))  # noqa: B023
+            dealt = every.where(F.col("model") == i).select("source", F.explode(parts).alias("p")).select("source", "p.*").where(F.size("terms") > 0)
+            path = f"{folder}/shards-{i}"
+            dealt.write.partitionBy("shard").parquet(path)
+        for k in range(shards):
+            own = spark.read.schema("source string, terms array<string>, shard int").parquet(path)
+            own = (own.where(F.col("shard") == k) if shards > 1 else own).select("source", "terms")
+            try:
+                model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=min_df, vocabSize=VOCABULARY).fit(own)
+            except IllegalArgumentException as e:
+                if "vocabulary size" not in str(e):
+                    raise
+                continue  # no term is in so many documents
+            model.write().save(f"{folder}/models/{i}-{k}")
+            named = spark.read.parquet(f"{folder}/models/{i}-{k}/data").select(F.posexplode("vocabulary").alias("index", "term"))
             sums = group_sums(model.transform(own).select("source", "vector"))
-            sums.join(named, "index").select(F.lit(lang).alias("lang"), "source", "term", "n").write.mode("append").parquet(f"{folder}/counts")
+            sums.join(named, "index").select(F.lit(langs[i]).alias("lang"), "source", "term", "n").write.mode("append").parquet(f"{folder}/counts")
     return spark.read.schema(schema).parquet(f"{folder}/counts")
 
 
