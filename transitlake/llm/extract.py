@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from transitlake.llm.markup import constructs
+
 # Elements and the words that mark them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -64,41 +66,16 @@ ENDS = {
 SIGMA, REACH = 1.0, 2
 _KERNEL = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
 
-_OPENS = re.compile(r"<(?:(!--)|([!?]|/[^a-zA-Z])|(/?)([a-zA-Z][^\s/>]*))")
-_REST_OF_TAG = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
-_SHORT, _CLOSE = re.compile("-?>"), re.compile(">")
-_END_OF_COMMENT = re.compile(r"--!?>")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+|[0-9]+")
 
 
 def pieces(html: str):
     """The page without comments, declarations and raw contents; what follows an unfinished one is left out."""
-    at = pos = 0
-    while (m := _OPENS.search(html, pos)) is not None:
-        start = m.start()
-        if m[1]:
-            # <!--> and <!---> are whole comments.
-            short = _SHORT.match(html, m.end())
-            end = short or _END_OF_COMMENT.search(html, m.end())
-        elif m[2]:
-            end = _CLOSE.search(html, m.end() - 1)
-        else:
-            end = _REST_OF_TAG.match(html, m.end())
-        if end is None:
-            yield html[at:start]
-            return
-        pos = end.end()
-        name = "" if m[1] or m[2] or m[3] else m[4].lower()
-        if name in RAW:
-            yield html[at:start]
-            closing = re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE).search(html, pos)
-            end = closing and _REST_OF_TAG.match(html, closing.end())
-            if end is None:
-                return
-            at = pos = end.end()
-        elif m[1] or m[2]:
+    at = 0
+    for start, end, name in constructs(html, RAW):
+        if not name:
             yield html[at:start]
-            at = pos
+            at = end
     yield html[at:]
 
 

@@ -33,14 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm._shared import materialize, text_slices
+from transitlake.llm.markup import attributes, constructs
 
 SMOOTHING = 0.5
 TEXT_WEIGHT, TEXT_MOST = 0.3, 60.0
 #: Pseudo-counts: of a host's domain, of a domain's whole, and of an evidence value under a language.
 HOST_PRIOR, DOMAIN_PRIOR, VALUE_PRIOR = 4.0, 8.0, 1.0
 
-_HIDDEN = re.compile(r"<(!--|(?:script|style|noscript|template)\b)", re.IGNORECASE)
-_CLOSING = {x: re.compile(rf"</{x}\s*+>", re.IGNORECASE) for x in ("script", "style", "noscript", "template")} | {"!--": re.compile("-->")}
+#: Elements whose contents nobody sees.
+HIDDEN = frozenset(("script", "style", "noscript", "template"))
+_SUBTAG = re.compile(r"\s*([A-Za-z]{2,3})(?![A-Za-z])")
 _BLANK = re.compile(r"[\W\d_]+")
 #: Characters take 21 bits each in a gram's key, the last one lowest.
 _BITS, _WORD_EDGE = np.uint64(21), np.uint64(0x20)
@@ -49,20 +51,20 @@ _BITS, _WORD_EDGE = np.uint64(21), np.uint64(0x20)
 def visible(page: str | None) -> str:
     """A page's text without tags, scripts, styles and comments, in one pass."""
     page, at, out = page or "", 0, []
-    while (i := page.find("<", at)) >= 0:
-        out.append(page[at:i])
-        hidden = _HIDDEN.match(page, i)
-        if hidden:
-            closing = _CLOSING[hidden[1].lower()].search(page, hidden.end())
-            at = closing.end() if closing else len(page)
-        else:
-            j = page.find(">", i)
-            if j < 0:  # no tag ends any more
-                at = i
-                break
-            at = j + 1
-        out.append(" ")
-    return entities.unescape("".join([*out, page[at:]]))
+    for start, end, _ in constructs(page, HIDDEN):
+        out.append(page[at:start])
+        at = end
+    return entities.unescape(" ".join([*out, page[at:]]))
+
+
+def declared_lang(page: str | None) -> str:
+    """The primary subtag of the first html element's lang attribute (or else xml:lang), or empty."""
+    for start, end, name in constructs(page or "", HIDDEN):
+        if name == "html":
+            told = attributes(page[start:end])
+            found = _SUBTAG.match(told.get("lang", "")) or _SUBTAG.match(told.get("xml:lang", ""))
+            return found[1].lower() if found else ""
+    return ""
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +167,15 @@ def suffix_of(url: Column, host: Column) -> Column:
 
 
 def declared_in(page: Column) -> Column:
-    """The primary subtag of the html element's lang attribute, or empty."""
-    tag = F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)^.*?<html\b([^>]*+)", 1)
-    return F.lower(F.regexp_extract(tag, r"""(?i)\blang\s*+=\s*+["']?([A-Za-z]{2,3})""", 1))
+    """declared_lang of a column of pages."""
+
+    @F.pandas_udf("string")
+    def of(pages):
+        import pandas as pd
+
+        return pd.Series([declared_lang(x) for x in pages])
+
+    return of(page)
 
 
 def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
