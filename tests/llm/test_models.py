@@ -320,6 +320,63 @@ def test_language_is_that_of_a_plain_version(spark):
         assert got[page]["lang"] == lang and got[page]["posterior"] == pytest.approx(posterior, abs=1e-5), page
 
 
+@pytest.mark.parametrize(
+    ("page", "lang"),
+    [
+        ('<html data-lang="fr" lang="en">', "en"),
+        ('<!-- <html lang="de"> --><html lang="en">', "en"),
+        ('<html xml:lang="fr" lang="en">', "en"),
+        ('<html title="a>b" lang="en">', "en"),
+        ("<HTML LANG=pt-BR>", "pt"),
+        ("<html xml:lang='es'>", "es"),
+        ('<script>"<html lang=de>"</script ><html lang = "fr">', "fr"),
+        ('<html lang="">', ""),
+        ("<p lang='en'>", ""),
+        ("<html lang='en", ""),
+        (None, ""),
+    ],
+)
+def test_declared_language(page, lang):
+    from transitlake.llm.langid import declared_lang
+
+    assert declared_lang(page) == lang
+
+
+def test_visible_text():
+    from transitlake.llm.langid import visible
+
+    assert visible("a < b and c > d").split() == "a < b and c > d".split()
+    assert visible("x<script>no</script y>z<!-- n -->u&amp;v").split() == ["x", "z", "u&v"]
+    assert visible('<a title="b>c">d</a>').split() == ["d"] and visible(None) == ""
+
+
+def test_scores_do_not_follow_the_order_of_rows(spark, corpus):
+    """The same rows in three orders and partitionings, a third of them copies under other ids: equal scores."""
+    from transitlake.llm.toxicity import score_documents
+
+    docs, labels = corpus
+    copies = docs.where("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 100_000)
+    more = labels.unionByName(labels.where("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 100_000))
+    both = docs.unionByName(copies)
+    found = []
+    for parts, order in ((1, F.col("doc_id")), (3, F.xxhash64("doc_id")), (5, F.desc("doc_id"))):
+        rows = score_documents(both.repartition(parts).orderBy(order), more.orderBy(order)).collect()
+        found.append(sorted((r["doc_id"], r["score"]) for r in rows))
+    assert found[0] == found[1] == found[2]
+
+
+def test_fit_reads_its_sample_in_parts(spark, corpus, monkeypatch):
+    """Parts of any size give every row once, in the order of their keys."""
+    from transitlake.llm import toxicity as T
+
+    docs, labels = corpus
+    monkeypatch.setattr(T, "PART_CHARS", 3000)
+    sample = T.Sample(T._sampled(docs, labels, 10_000), T.character_model(docs))
+    rows = [len(toxic) for _, toxic in sample]
+    assert sample.parts > 3 and len(rows) == sample.parts and max(rows) < sum(rows) / 2
+    assert sum(rows) == docs.join(labels.where("toxic in (0, 1)"), "doc_id").select("text", "toxic").distinct().count()
+
+
 @pytest.mark.parametrize("page", ["<!--" * 250_000, "<script>" * 130_000, "<" * 10**6, "<html " * 170_000, "<html lang " * 90_000, "</script <script>" * 60_000, "a " * 500_000])
 def test_long_pages_take_linear_time(spark, page):
     from transitlake.llm.langid import declared_in, visible
