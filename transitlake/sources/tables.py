@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -113,9 +115,54 @@ def read_schedule_tables(spark: SparkSession, url: str, tables: dict[str, str],
     return {k: spark.read.jdbc(url, t, properties=properties) for k, t in tables.items()}
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], keys: Sequence[str]) -> None:
-    """Appends rows with an id hashed from their natural key."""
-    df.withColumn("id", F.xxhash64(*keys)).write.mode("append").jdbc(url, table, properties=properties)
+def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], keys: Sequence[str], batch: str | None = None) -> int:
+    """Adds rows, with an id hashed from their natural key, that the table doesn't have yet; returns their number.
+
+    Tasks write to a staging table of the batch. What they write twice, as a task is tried again after its rows arrived,
+    stands there under one id. One statement in the database then moves one row of each id that the table lacks, so a
+    batch that is written again, or rows of one key in two batches, add nothing. A missing table is created; one that is
+    there has the rows' columns and id, and an index on id is advised.
+    """
+    batch = batch or uuid.uuid4().hex
+    if not re.fullmatch(r"\w+", batch):
+        raise ValueError("a batch is named by letters, digits and underscores")
+    spark, staging, rows = df.sparkSession, f"{table}_stage_{batch}", df.withColumn("id", F.xxhash64(*keys))
+    rows.limit(0).write.mode("append").jdbc(url, table, properties=properties)
+    # Another value each time that a row is written, also by the same task.
+    tried = F.xxhash64(F.expr("java_method('java.util.UUID', 'randomUUID')"))
+    rows.withColumn("tried", tried).write.mode("overwrite").jdbc(url, staging, properties=properties)
+    dialect = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    names, of, at = ", ".join(map(dialect.quoteIdentifier, rows.columns)), dialect.quoteIdentifier("id"), dialect.quoteIdentifier("tried")
+    added = _in_database(
+        spark,
+        url,
+        properties,
+        f"insert into {table} ({names}) select {names} from {staging} s "
+        f"where s.{at} = (select min(o.{at}) from {staging} o where o.{of} = s.{of}) and not exists (select 1 from {table} t where t.{of} = s.{of})",
+    )
+    _in_database(spark, url, properties, f"drop table {staging}")
+    return added
+
+
+def _in_database(spark: SparkSession, url: str, properties: dict[str, str], sql: str) -> int:
+    """Runs a statement as one transaction; returns how many rows it changed."""
+    jvm = spark._jvm
+    told = jvm.java.util.Properties()
+    for k, v in properties.items():
+        told.setProperty(k, v)
+    if "driver" in properties:
+        jvm.java.lang.Class.forName(properties["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    connection = jvm.java.sql.DriverManager.getConnection(url, told)
+    try:
+        connection.setAutoCommit(False)
+        changed = connection.createStatement().executeUpdate(sql)
+        connection.commit()
+        return changed
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, schema: StructType, properties: dict[str, str], split_by: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 1) -> DataFrame:
