@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.functions.values import FPS_A_MPH, first_of, last_of, spread
+from transitlake.operators.quantiles import exact_quantiles
 from transitlake.operators.windows import RUN, change_id, change_id_where, drop_last, fill, rolling_speeds
 
 # Percentiles of free-flow speed, and the share taken as free flow.
@@ -30,8 +31,8 @@ def freeflow(pings: DataFrame, summary: DataFrame, max_fps: float = MAX_FPS, key
     """seg_name_id, percentile, fps, mph: percentiles of the 3-step speed below the cap."""
     speeds = rolling_speeds(filter_to_segment(pings, summary), keys).where(F.col("fps_next3") < max_fps)
     at = F.array(*(F.lit(p) for p in PERCENTILES))
-    grouped = speeds.groupBy("seg_name_id").agg(F.percentile("fps_next3", at).alias("p"))
-    rows = grouped.select("seg_name_id", F.explode(F.arrays_zip(at.alias("percentile"), F.col("p").alias("fps"))).alias("r"))
+    grouped = exact_quantiles(speeds, ["seg_name_id"], "fps_next3", PERCENTILES)
+    rows = grouped.select("seg_name_id", F.explode(F.arrays_zip(at.alias("percentile"), F.col("quantiles").alias("fps"))).alias("r"))
     return rows.select("seg_name_id", F.col("r.percentile").alias("percentile"), F.col("r.fps").alias("fps"), (F.col("r.fps") / FPS_A_MPH).alias("mph"))
 
 
@@ -149,8 +150,9 @@ def acceleration_times(totals: DataFrame, ff: DataFrame) -> DataFrame:
     moving = totals.where(F.col("phase").isin("t_accel_phase", "t_decel_phase")).join(stopped, list(SEG), "left_semi")
     secs = F.col("sec_max") - F.col("sec_min")
     rate = F.abs((F.col("fps_last") - F.col("fps_first")) / F.when(secs != 0, secs))
-    rates = moving.withColumn("rate", rate).where("rate is not null").groupBy("seg_name_id", "phase").agg(F.percentile("rate", F.lit(0.95)).alias("p95"))
-    half = F.abs(F.col("ff") / (2 * F.when(F.col("p95") != 0, F.col("p95"))))
+    rates = exact_quantiles(moving.withColumn("rate", rate).where("rate is not null"), ["seg_name_id", "phase"], "rate", [0.95])
+    p95 = F.col("quantiles")[0]
+    half = F.abs(F.col("ff") / (2 * F.when(p95 != 0, p95)))
     return rates.join(ff, "seg_name_id").groupBy("seg_name_id").agg(F.sum(half).alias("t_decacc"))
 
 
@@ -158,8 +160,9 @@ def rate_summary(totals: DataFrame) -> DataFrame:
     """Mean, median and high percentiles of the rates of each segment's phases."""
     secs = F.col("sec_max") - F.col("sec_min")
     rates = totals.withColumn("rate", F.abs((F.col("fps_last") - F.col("fps_first")) / F.when(secs != 0, secs))).where("rate is not null")
-    p = lambda x: F.percentile("rate", F.lit(x))
-    return rates.groupBy("seg_name_id", "phase").agg(F.avg("rate").alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"), p(0.95).alias("p95"))
+    means = rates.groupBy("seg_name_id", "phase").agg(F.avg("rate").alias("mean"))
+    told = exact_quantiles(rates, ["seg_name_id", "phase"], "rate", [0.5, 0.9, 0.95]).select("seg_name_id", "phase", *(F.col("quantiles")[i].alias(c) for i, c in enumerate(("median", "p90", "p95"))))
+    return means.join(told, ["seg_name_id", "phase"])
 
 
 def travel_time(pings: DataFrame, summary: DataFrame, phases: DataFrame, ff: DataFrame) -> DataFrame:
@@ -176,8 +179,9 @@ def travel_time(pings: DataFrame, summary: DataFrame, phases: DataFrame, ff: Dat
 def travel_times(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: float = UP_FEET, down: float = DOWN_FEET, max_fps: float = MAX_FPS) -> DataFrame:
     """What travel_time gives for stop_area_phases and the free flow of the same pings, in one pass over them.
 
-    Pings are shuffled once, by run. A row for each run on a segment then carries its sums and rates, and percentiles are
-    taken of these rows; only the free flow reads pings' speeds again.
+    Pings are shuffled once, by run. A row for each run on a segment then carries its sums and rates. Percentiles by
+    segment come from exact_quantiles, so no task holds a segment: of the rates here, of pings' speeds for the free flow,
+    which reads them again.
     """
     speed = freeflow(pings, summary, max_fps)
     rows = _with_phases(_segment_rows(pings, summary, stops, up, down), (*AREA, "_own"))
@@ -191,14 +195,17 @@ def travel_times(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: flo
     whole = [spread(F.col("odom_ft")).alias("odom_range"), spread(F.col("sec_past_st")).alias("t_segment"), F.bool_or(at("t_stop") | at("t_stop1")).alias("_stopped")]
     per = rows.groupBy(*SEG).agg(*whole, *sums, *ends)
     per = per.withColumn("flag_nostop", F.col("t_stop1").isNull() & F.col("t_stop").isNull())
-    per = per.join(free_flow_speed(speed), "seg_name_id", "left")
-    segment, lost = Window.partitionBy("seg_name_id"), F.lit(0.0)
+    rates = []
     for p in moving:
         secs = F.col(f"_s_{p}")
         rate = F.when(F.col("_stopped"), F.abs((F.col(f"_b_{p}") - F.col(f"_a_{p}")) / F.when(secs != 0, secs)))
-        per = per.withColumn(f"_p_{p}", F.percentile(rate, F.lit(0.95)).over(segment))
-        lost = lost + F.coalesce(F.abs(F.col("ff") / (2 * F.when(F.col(f"_p_{p}") != 0, F.col(f"_p_{p}")))), F.lit(0.0))
-    out = per.withColumn("t_decacc", lost).na.fill(0.0, list(PHASES)).drop("_stopped", *(f"_{x}_{p}" for p in moving for x in "absp"))
+        rates.append(F.struct(F.lit(p).alias("phase"), rate.alias("rate")))
+    each = per.select("seg_name_id", F.explode(F.array(*rates)).alias("r")).select("seg_name_id", "r.*").where("rate is not null")
+    ff, p95 = free_flow_speed(speed), F.col("quantiles")[0]
+    half = F.abs(F.col("ff") / (2 * F.when(p95 != 0, p95)))
+    lost = exact_quantiles(each, ["seg_name_id", "phase"], "rate", [0.95]).join(ff, "seg_name_id").groupBy("seg_name_id").agg(F.sum(half).alias("t_decacc"))
+    by_segment = ff.join(lost, "seg_name_id", "full")  # a row for each segment
+    out = per.join(by_segment, "seg_name_id", "left").na.fill(0.0, [*PHASES, "t_decacc"]).drop("_stopped", *(f"_{x}_{p}" for p in moving for x in "abs"))
     return split_times(out)
 
 
@@ -216,7 +223,7 @@ def phase_delay(phases: DataFrame, phase: str, name: str) -> DataFrame:
     """A phase's least time at its segment's 95th percentile of mean speed, and what each run took on top."""
     per = phases.where(F.col("phase") == phase).groupBy(*SEG).agg(F.sum("secs_marg").alias("secs"), F.sum("odom_ft_marg").alias("feet"))
     per = per.withColumn("fps", F.col("feet") / F.when(F.col("secs") != 0, F.col("secs")))
-    best = per.groupBy("seg_name_id").agg(F.percentile("fps", F.lit(0.95)).alias("p95"))
+    best = exact_quantiles(per, ["seg_name_id"], "fps", [0.95]).select("seg_name_id", F.col("quantiles")[0].alias("p95"))
     least = F.col("feet") / F.when(F.col("p95") != 0, F.col("p95"))
     return per.join(best, "seg_name_id").select(*SEG, "secs", least.alias(f"t_{name}_min"), (F.col("secs") - least).alias(f"t_{name}_delay"))
 

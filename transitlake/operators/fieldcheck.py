@@ -90,13 +90,21 @@ def attrition_audit(runs: DataFrame, stages: Mapping[str, DataFrame], keys: Sequ
 
 
 def filter_funnel(stages: Mapping[str, DataFrame], keys: Sequence[str] = RUN) -> DataFrame:
-    """stage, n_runs: distinct runs after each stage."""
+    """stage, n_runs: distinct runs after each stage, where stages are tables of their own."""
     rows = [df.agg(F.countDistinct(*keys).alias("n_runs")).select(F.lit(f"{i:02d}_{name}").alias("stage"), "n_runs") for i, (name, df) in enumerate(stages.items())]
     return reduce(DataFrame.unionByName, rows)
 
 
-def flag_sums(df: DataFrame, flags: Sequence[str]) -> DataFrame:
-    return df.agg(*(F.sum(F.col(f).cast("long")).alias(f) for f in flags))
+def funnel(rows: DataFrame, stages: Mapping[str, Column], keys: Sequence[str] = RUN) -> DataFrame:
+    """stage, n_runs where stages are conditions on rows, each on top of those before: one scan, one shuffle by run."""
+    held, flags = F.lit(True), {}
+    for name, condition in stages.items():
+        held = held & F.coalesce(condition, F.lit(False))
+        flags[name] = held
+    per = rows.groupBy(*keys).agg(*(F.bool_or(c).alias(name) for name, c in flags.items()))
+    counted = per.agg(*(F.count_if(F.col(name)).alias(name) for name in flags))
+    each = F.array(*(F.struct(F.lit(f"{i:02d}_{name}").alias("stage"), F.col(name).alias("n_runs")) for i, name in enumerate(flags)))
+    return counted.select(F.explode(each).alias("s")).select("s.*")
 
 
 def exclude(df: DataFrame, listed: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:

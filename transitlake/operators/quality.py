@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from transitlake.functions.geo import bearing, distance, signed_offset_feet
 from transitlake.functions.values import safe_div
+from transitlake.operators.quantiles import exact_quantiles
 from transitlake.operators.windows import RUN, over, rolling_speeds, so_far
 
 
@@ -18,17 +19,23 @@ def hour_weekday_coverage(rows: DataFrame, kept: Column) -> DataFrame:
     return counted.withColumn("percent", F.col("n_kept") * 100.0 / F.col("n_all"))
 
 
+def _percentiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
+    """A column for each percentile of each group."""
+    told = exact_quantiles(rows, by, value, at)
+    return told.select(*by, *(F.col("quantiles")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(at)))
+
+
 def segment_mean_speeds(pings: DataFrame, keys: Sequence[str], at: Sequence[float] = (0.02, 0.25, 0.5, 0.75, 0.98)) -> DataFrame:
     """Percentiles over runs of the mean speed on each segment."""
     per = pings.groupBy(*keys).agg((F.max("odom_ft") - F.min("odom_ft")).alias("feet"), (F.max("sec_past_st") - F.min("sec_past_st")).alias("secs"))
     per = per.withColumn("fps", F.col("feet") / F.when(F.col("secs") != 0, F.col("secs")))
-    return per.groupBy("seg_name_id").agg(*(F.percentile("fps", F.lit(p)).alias(f"p{round(100 * p):02d}") for p in at))
+    return _percentiles(per, ["seg_name_id"], "fps", at)
 
 
 def ping_speed_percentiles(pings: DataFrame, keys: Sequence[str], at: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
     """Percentiles of ping-to-ping speeds of each segment, infinite ones left out."""
     speeds = rolling_speeds(pings, keys).where("fps_next < double('infinity') and fps_next > double('-infinity')")
-    return speeds.groupBy("seg_name_id").agg(*(F.percentile("fps_next", F.lit(p)).alias(f"p{round(100 * p):02d}") for p in at))
+    return _percentiles(speeds, ["seg_name_id"], "fps_next", at)
 
 
 def speed_state(fps: Column) -> Column:
@@ -101,8 +108,12 @@ def runtime_by_period(runs: DataFrame, periods: Sequence[str]) -> DataFrame:
 
 
 def describe_by(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    p = lambda x: F.percentile(value, F.lit(x))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.max(value).alias("max"))
+    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    told = _percentiles(df, by, value, (0.25, 0.5, 0.75)).withColumnsRenamed({k: f"_{k}" for k in by})
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return sums.join(told, same).select(*by, "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def usable_runs(runs: DataFrame) -> DataFrame:
@@ -136,13 +147,73 @@ def trajectories(pings: DataFrame, starts: DataFrame, near_feet: float, keys: Se
     return met.withColumn("secs_from_start", F.col("sec_past_st") - F.col("_c.sec_past_st")).drop("_c")
 
 
-def quality_report(pings: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
-    """The quality tables by name."""
+#: Columns that the completeness table counts nulls of.
+COUNTED = ("lat", "long", "odom_ft", "sec_past_st")
+#: Groupings of the report's aggregate: name, keys.
+REPORT = {
+    "state_crosstab": ("speed_state", "state"),
+    "state_changes": ("from_state", "to_state"),
+    "stopped_in_window_share": ("route",),
+    "completeness": RUN,
+}
+
+
+def report_rows(pings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """All tables of the quality report as rows of one, from one scan and one shuffle of pings.
+
+    The windows of all tables share the run's partitioning, and one aggregate with a grouping for each table sums them.
+    ``report`` names a row's table; write the result once and take tables from it by report_tables.
+    """
+    w = over(keys)
+    rows = gps_distance(rolling_speeds(pings, keys), keys)
+    state = F.concat_ws("_", "veh_state", "door_state")
+    stood = F.when((F.col("veh_state") == "S") & F.col("secs_marg").isNotNull(), F.col("secs_marg"))
+    rows = rows.withColumns({"speed_state": speed_state(F.col("fps_next")), "state": state, "from_state": state, "to_state": F.lead(state).over(w), "_stood": stood})
+    columns = list(dict.fromkeys(c for group in REPORT.values() for c in group))
+    sets = [[F.col(c) for c in group] for group in REPORT.values()]
+    number = F.grouping_id(*columns)
+    measures = [
+        F.count(F.lit(1)).alias("n"),
+        F.count("to_state").alias("n_followed"),
+        F.sum("_stood").alias("stopped_secs"),
+        F.sum(F.when(F.col("stop_window").isNotNull(), F.col("_stood")).otherwise(F.when(F.col("_stood").isNotNull(), 0))).alias("inside_secs"),
+        *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in COUNTED),
+        F.count_if((F.col("lat") == 0) | (F.col("long") == 0)).alias("zero_place"),
+        F.count_if((F.col("odom_step") > 10) & (F.col("gps_step") < 1)).alias("only_odometer"),
+        F.count_if((F.col("odom_step") < 1) & (F.col("gps_step") > 10)).alias("only_gps"),
+    ]
+    # A bit for each column that a grouping leaves out, the first column's highest.
+    ids = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in group) for name, group in REPORT.items()}
+    name = F.coalesce(*(F.when(F.col("_id") == i, F.lit(name)) for name, i in ids.items()))
+    return rows.groupingSets(sets, *columns).agg(number.alias("_id"), *measures).withColumn("report", name).drop("_id")
+
+
+def report_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables in a (written) result of report_rows."""
+    of = lambda name: rows.where(F.col("report") == name)
+    kinds = ["M_C", "M_O", "S_C", "S_O"]
+    crosstab = of("state_crosstab").groupBy("speed_state").pivot("state", kinds).agg(F.sum("n"))
+    share = F.col("inside_secs") / F.when(F.col("stopped_secs") != 0, F.col("stopped_secs"))
     return {
-        "state_crosstab": state_crosstab(pings),
-        "state_changes": state_changes(pings),
-        "stopped_in_window_share": stopped_in_window_share(pings),
-        "completeness": completeness(pings, ["lat", "long", "odom_ft", "sec_past_st"], RUN),
-        "gps_odo_gap": gps_odo_gap(pings),
-        "usable_runs": usable_runs(runs),
+        "state_crosstab": crosstab.select("speed_state", *(F.coalesce(k, F.lit(0)).alias(k.lower()) for k in kinds)),
+        "state_changes": of("state_changes").where("to_state is not null").select("from_state", "to_state", F.col("n_followed").alias("n")),
+        "stopped_in_window_share": of("stopped_in_window_share").where("stopped_secs is not null").select("route", "stopped_secs", "inside_secs", share.alias("share")),
+        "completeness": of("completeness").select(*RUN, "n", *(f"null_{c}" for c in COUNTED), "zero_place"),
+        "gps_odo_gap": of("completeness").select(*RUN, "only_odometer", "only_gps"),
     }
+
+
+def observed(pings: DataFrame, name: str, columns: Sequence[str] = COUNTED) -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation of their number and gaps that is there once they have been written."""
+    seen = Observation(name)
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
+    return pings.observe(seen, F.count(F.lit(1)).alias("n"), *nulls, F.count_if((F.col("lat") == 0) | (F.col("long") == 0)).alias("zero_place")), seen
+
+
+def quality_report(pings: DataFrame, runs: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """The quality tables by name. With a path, pings are read once: the common table is written there and read again."""
+    rows = report_rows(pings)
+    if path:
+        rows.write.mode("overwrite").partitionBy("report").parquet(path)
+        rows = pings.sparkSession.read.schema(rows.schema).parquet(path)
+    return report_tables(rows) | {"usable_runs": usable_runs(runs)}

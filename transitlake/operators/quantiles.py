@@ -36,7 +36,7 @@ def _range_of(value: Column, cuts: Column) -> Column:
 def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence[float], whole: int = WHOLE) -> DataFrame:
     """by, n and quantiles (an array in the order of ``at``) of each group's values, with linear interpolation.
 
-    The results are those of Spark's ``percentile``. Nulls don't count, and groups with nothing else have no row.
+    The results are those of Spark's ``percentile``: nulls don't count, and groups with nothing else have null quantiles.
 
     Equal values of a group become one row with their number, so a hot group is spread by its values. Groups with up to
     ``whole`` distinct values are then done in one state of that size. Larger ones go through selection:
@@ -47,13 +47,14 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence
     """
     by = list(by)
     # Read by each step; Spark shuffles it once.
-    counts = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_distinct"), F.sum("_n").alias("_total"))
+    counts = rows.select(*by, F.col(value).cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    values = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    sizes = counts.groupBy(*by).agg(F.count("_v").alias("_distinct"), F.sum(values).alias("_total"))
     names = [f"_by_{i}" for i in range(len(by))]
     small = counts.join(_told(sizes.where(F.col("_distinct") <= whole).drop("_total"), by), _matches(by)).drop(*names)
     told = F.percentile("_v", F.array(*(F.lit(float(p)) for p in at)), F.col("_n"))
-    small = small.groupBy(*by).agg(F.sum("_n").alias("n"), told.alias("quantiles"))
-    large = counts.join(_told(sizes.where(F.col("_distinct") > whole).drop("_distinct"), by), _matches(by)).drop(*names)
+    small = small.groupBy(*by).agg(F.sum(values).alias("n"), told.alias("quantiles"))
+    large = counts.where("_v is not null").join(_told(sizes.where(F.col("_distinct") > whole).drop("_distinct"), by), _matches(by)).drop(*names)
     return small.unionByName(_selected(large, by, at))
 
 
