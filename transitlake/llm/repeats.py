@@ -77,11 +77,26 @@ def _unpack_forty(entries: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.view("<u8").ravel(), raw[:, 5]
 
 
-def _hashes(table: pa.Table):
-    """(id or None, hashes of words) of each document of a block."""
-    hashes, bounds = hash_texts(table.column("text").combine_chunks())
-    for doc, first, last in zip(table.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
-        yield doc, hashes[first:last]
+class Block:
+    """Hashes of all words of a block, one document after another, and which document each is of."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = table.column("doc_id").to_pylist()
+        self.number = table.column("block")[0].as_py()
+        self.hashes, bounds = hash_texts(table.column("text").combine_chunks())
+        self.bounds = bounds[: len(self.ids) + 1]
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
+        self.known = np.array([d is not None for d in self.ids], bool)
+
+    def places(self, size: int) -> np.ndarray:
+        """Where runs of ``size`` words of one document with an id begin."""
+        n = len(self.hashes) - size + 1
+        if n <= 0:
+            return np.empty(0, np.int64)
+        return np.flatnonzero((self.doc[:n] == self.doc[size - 1 :]) & self.known[self.doc[:n]])
+
+    def id_of(self, at: np.ndarray) -> np.ndarray:
+        return np.array([d or 0 for d in self.ids], np.int64)[self.doc[at]]
 
 
 def fingerprints(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,25 +119,19 @@ def grouped(hash_: np.ndarray, more: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 
 def _anchors_of_block(table: pa.Table, n_buckets: int, anchor: int) -> pa.Table:
-    grams, docs, fixed = [], [], []
-    for i, (doc, hashes) in enumerate(_hashes(table)):
-        own = hash_windows(hashes, anchor)
-        if doc is None or not len(own):
-            continue
-        grams.append(own)
-        docs.append(np.full(len(own), i))
-        fixed.append(np.arange(len(own)) % anchor == 0)
-    block = table.column("block")[0].as_py()
-    if not grams:
-        return _packed(np.empty(0, np.int32), np.empty((0, 6), np.uint8), block)
-    grams, docs, fixed = map(np.concatenate, (grams, docs, fixed))
+    block = Block(table)
+    at = block.places(anchor)
+    if not len(at):
+        return _packed(np.empty(0, np.int32), np.empty((0, 6), np.uint8), block.number)
+    grams = hash_windows(block.hashes, anchor)[at]
     order = np.argsort(grams)
-    grams, docs = grams[order], docs[order]
+    grams, docs = grams[order], block.doc[at][order]
+    fixed = ((at - block.bounds[block.doc[at]]) % anchor == 0)[order]
     starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
     several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)
-    marks = np.logical_or.reduceat(fixed[order], starts).astype(np.uint8) | (several.astype(np.uint8) << 1)
+    marks = np.logical_or.reduceat(fixed, starts).astype(np.uint8) | (several.astype(np.uint8) << 1)
     grams = grams[starts]
-    return _packed(((grams >> _FORTY) % np.uint64(n_buckets)).astype(np.int32), _pack_forty(grams & _LOW, marks), block)
+    return _packed(((grams >> _FORTY) % np.uint64(n_buckets)).astype(np.int32), _pack_forty(grams & _LOW, marks), block.number)
 
 
 def _by_bucket(batches) -> dict[int, list[tuple[int, bytes]]]:
@@ -167,27 +176,24 @@ def _windows_of_block(documents: pa.Table, live: pa.Table, n_buckets: int, windo
     if not live.num_rows:
         return nothing
     keys = np.sort(_joined(live, "<u8"))
-    found = []
-    for doc, hashes in _hashes(documents):
-        if doc is None or len(hashes) < window:
-            continue
-        grams = hash_windows(hashes, anchor)
-        own = (grams & _LOW) | (((grams >> _FORTY) % np.uint64(n_buckets)) << _FORTY)
-        hit = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
-        sums = np.r_[0, np.cumsum(hit)]
-        at = np.flatnonzero(sums[anchor:] - sums[:-anchor])[: len(hashes) - window + 1]
-        at = at[at <= len(hashes) - window]
-        if len(at):
-            rows = np.empty(len(at), _ENTRY)
-            hash_, more = fingerprints(hashes, window)
-            rows["hash"], rows["more"], rows["doc"] = hash_[at], more[at], doc
-            found.append(rows)
-    if not found:
+    block = Block(documents)
+    at = block.places(window)
+    if not len(at):
+        return nothing
+    grams = hash_windows(block.hashes, anchor)
+    own = (grams & _LOW) | (((grams >> _FORTY) % np.uint64(n_buckets)) << _FORTY)
+    hit = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+    sums = np.r_[0, np.cumsum(hit)]
+    # A window lies in one document, so its anchors do, too.
+    at = at[sums[at + anchor] > sums[at]]
+    if not len(at):
         return nothing
-    rows = np.concatenate(found)
+    hash_, more = fingerprints(block.hashes, window)
+    rows = np.empty(len(at), _ENTRY)
+    rows["hash"], rows["more"], rows["doc"] = hash_[at], more[at], block.id_of(at)
     order, starts = grouped(rows["hash"], rows["more"], rows["doc"])
     rows = rows[order[starts]]
-    return _packed((rows["hash"] % np.uint64(n_buckets)).astype(np.int32), rows, documents.column("block")[0].as_py())
+    return _packed((rows["hash"] % np.uint64(n_buckets)).astype(np.int32), rows, block.number)
 
 
 def _smallest(batches):
@@ -203,51 +209,46 @@ def _smallest(batches):
         least = every["doc"][np.flatnonzero(starts)][np.cumsum(starts) - 1]
         beaten = np.flatnonzero(least < every["doc"])
         beaten = beaten[np.argsort(owner[beaten], kind="stable")]
-        for i in np.unique(owner[beaten]).tolist():
-            own = beaten[np.searchsorted(owner[beaten], i) : np.searchsorted(owner[beaten], i, "right")]
+        owners, first = np.unique(owner[beaten], return_index=True)
+        for i, a, b in zip(owners.tolist(), first.tolist(), [*first[1:].tolist(), len(beaten)], strict=False):
+            own = beaten[a:b]
             out = np.empty(len(own), _ANSWER)
             out["hash"], out["more"], out["doc"] = every["hash"][own], every["more"][own], least[own]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([rows[i][0]], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["bucket", "block", "entries"])
 
 
 def _kept_of_block(documents: pa.Table, answers: pa.Table, window: int) -> pa.Table:
-    every = list(_hashes(documents))
-    hashes = [hash_windows(h, window) if doc is not None else np.empty(0, np.uint64) for doc, h in every]
-    docs = np.repeat(np.array([doc or 0 for doc, _ in every], np.int64), [len(h) for h in hashes])
+    block = Block(documents)
+    at = block.places(window)
+    whole = hash_windows(block.hashes, window)
     told = _joined(answers, _ANSWER) if answers.num_rows else np.empty(0, _ANSWER)
-    keys = np.concatenate([*hashes, told["hash"]])
+    keys = np.concatenate([whole[at], told["hash"]])
     # Windows whose first 64 bits meet no other's stay; the whole fingerprint is taken of the others alone.
     order = np.argsort(keys)
     same = np.r_[False, keys[order][1:] == keys[order][:-1]] if len(keys) else np.empty(0, bool)
     met = np.zeros(len(keys), bool)
     met[order[same | np.r_[same[1:], False][: len(same)]]] = True
-    more, first = np.zeros(len(keys), np.uint32), 0
-    for (_, h), own in zip(every, hashes, strict=True):
-        if met[first : first + len(own)].any():
-            more[first : first + len(own)] = fingerprints(h, window)[1]
-        first += len(own)
-    more[first:] = told["more"]
     met = np.flatnonzero(met)
-    ids = np.r_[docs, told["doc"]][met]
+    more = np.r_[fingerprints(block.hashes, window)[1][at], told["more"]] if len(met) else np.empty(0, np.uint32)
+    ids = np.r_[block.id_of(at), told["doc"]][met] if len(met) else np.empty(0, np.int64)
     order, starts = grouped(keys[met], more[met], ids)
     least = np.empty(len(met), np.int64)
     least[order] = ids[order][np.flatnonzero(starts)][np.cumsum(starts) - 1] if len(met) else 0
-    gone = np.zeros(len(docs), bool)
-    gone[met[(least < ids) & (met < len(docs))]] = True
-    at, rows = 0, []
-    texts = documents.column("text").cast(pa.large_binary()).to_pylist()
-    for (doc, _), text, own in zip(every, texts, hashes, strict=True):
-        ws = space_words(text)
-        hit = np.flatnonzero(gone[at : at + len(own)])
-        at += len(own)
-        edges = np.zeros(len(ws) + 1, np.int64)
-        np.add.at(edges, hit, 1)
-        np.add.at(edges, hit + window, -1)
-        covered = np.cumsum(edges)[: len(ws)] > 0
-        turns = np.flatnonzero(np.diff(np.r_[False, covered, False])).tolist()
-        spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-        kept = b" ".join(w for w, c in zip(ws, covered.tolist(), strict=True) if not c) if len(hit) else b" ".join(ws)
-        rows.append((doc, len(ws), int(covered.sum()), spans, kept.decode("utf-8", "replace")))
+    gone = at[met[(least < ids) & (met < len(at))]]
+    edges = np.zeros(len(block.hashes) + 1, np.int64)
+    np.add.at(edges, gone, 1)
+    np.add.at(edges, gone + window, -1)
+    covered = np.cumsum(edges)[: len(block.hashes)] > 0
+    lost = np.r_[0, np.cumsum(covered)][block.bounds]
+    rows, texts = [], documents.column("text").cast(pa.large_binary()).to_pylist()
+    for doc, text, a, b, n in zip(block.ids, texts, block.bounds[:-1].tolist(), block.bounds[1:].tolist(), np.diff(lost).tolist(), strict=True):
+        ws, spans = space_words(text), []
+        if n:
+            own = covered[a:b]
+            turns = np.flatnonzero(np.diff(np.r_[False, own, False])).tolist()
+            spans = [{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2], strict=True)]
+            ws = [w for w, c in zip(ws, own.tolist(), strict=True) if not c]
+        rows.append((doc, b - a, n, spans, b" ".join(ws).decode("utf-8", "replace")))
     columns = list(zip(*rows, strict=True))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
     return _table(["doc_id", "n_words", "n_removed", "removed", "kept_text"], [(list(c), t) for c, t in zip(columns, kinds, strict=True)])
