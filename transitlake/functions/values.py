@@ -45,10 +45,6 @@ def last_of(value: str, order: str = "index_loc") -> Column:
     return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
 
 
-def null_if_blank(text: Column) -> Column:
-    return F.when(F.trim(text) != "", F.trim(text))
-
-
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """A regex group, null where the pattern doesn't match."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))

@@ -29,12 +29,6 @@ def file_fields(name: Column) -> dict[str, Column]:
     return {"file_busid": extract(name, FILE_NAME, 1).cast("long"), "file_id": extract(name, r"(\d{11})\.txt", 1)}
 
 
-def line_kind(line: Column) -> Column:
-    upper = F.upper(F.trim(line))
-    kind = F.when(upper == "", "blank").when(line.rlike(TAG), "tag").when(line.rlike(END), "end").when(upper.startswith("APC"), "apc").when(upper.startswith("CAL"), "cal")
-    return kind.when(upper.startswith("/"), "message").when(F.size(F.split(line, ",")) == len(PING_FIELDS), "ping").otherwise("other")
-
-
 def _tag_columns(line: Column) -> dict[str, Column]:
     """What a tag line says."""
     part = lambda i: F.trim(F.regexp_extract(line, TAG, i))

@@ -121,12 +121,6 @@ def rolling_mean(value: Column, rows: int, keys: Sequence[str] = RUN, order: Seq
     return F.when(F.row_number().over(over(keys, order)) >= rows, F.avg(value).over(w))
 
 
-def from_start(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Each column less its least value in the group."""
-    group = Window.partitionBy(*keys)
-    return df.withColumns({f"{c}_zero": F.col(c) - F.min(c).over(group) for c in columns})
-
-
 def first_rows(df: DataFrame, n: int, keys: Sequence[str], order: Sequence) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(over(keys, order))).where(F.col("_i") <= n).drop("_i")
 

@@ -1048,3 +1048,6 @@ def reading_times(spark, sf_dir):
     p = V.pings(spark, sf_dir).withColumn("start_date_time", F.timestamp_seconds(F.lit(3600)))
     out = fieldcheck.between_times(legacy.reading_times(p), "gps_reading_dtm", "06:00:00", "18:00:00")
     return out.select("filename", "index_loc", F.col("secs_past_midnight").cast("long").alias("secs_past_midnight"))
+
+
+from transitlake.plans import chains  # noqa: E402, F401  registers its queries
