@@ -39,6 +39,8 @@ MIN_DF = 10
 VOCABULARY = 2**31 - 1
 #: Distinct terms of a language, before minDF, that one model is fitted on; languages with more are dealt to more models.
 MODEL_TERMS = 8_000_000
+#: Names of languages that are broadcast; more are joined by a shuffle.
+BROADCAST_LANGS = 10_000
 SCALE, TOP = 1_000_000_000, 10
 
 #: Each byte of UTF-8 as a part of a term (A-Z lower-cased) or as a blank.
@@ -101,7 +103,8 @@ def group_counts(documents: DataFrame, min_df: int = MIN_DF, model_terms: int =
     if not langs:
         return spark.createDataFrame([], schema)
     known = spark.createDataFrame(list(zip(langs, range(len(langs)), strict=True)), "lang string, model int")
-    term_lists(told.join(known, "lang")).write.partitionBy("model").parquet(f"{folder}/terms")
+    named = told.join(F.broadcast(known) if len(langs) <= BROADCAST_LANGS else known, "lang")
+    term_lists(named).write.partitionBy("model").parquet(f"{folder}/terms")
     every = spark.read.schema("source string, terms array<string>, model int").parquet(f"{folder}/terms")
     sizes = every.select("model", F.explode("terms").alias("term")).groupBy("model").agg(F.approx_count_distinct("term").alias("n")).collect()
     spark.createDataFrame([], schema).write.parquet(f"{folder}/counts")
@@ -133,8 +136,10 @@ def group_counts(documents: DataFrame, min_df: int = MIN_DF, model_terms: int =
 def _share(count: Column, total: Column, size: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / (total + 2 * size))"""
     wide = lambda c: c.cast("decimal(19,0)")
-    whole = F.expr("cast({} as decimal(10,0))".format(SCALE)) * (wide(count) + 2)
-    return F.lit(1).cast("long") + F.call_function("div", whole, wide(total) + 2 * wide(size))
+    scale = F.lit(SCALE).cast("long")
+    exact = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (wide(count) + 2), wide(total) + 2 * wide(size))
+    # Products below 2 ** 63 need no decimals.
+    return F.lit(1).cast("long") + F.when(count < 9_000_000_000, F.call_function("div", scale * (count + 2), total + 2 * size)).otherwise(exact)
 
 
 def _apart(p: Column, q: Column) -> Column:
@@ -151,7 +156,8 @@ def divergence(counts: DataFrame, groups: DataFrame, top: int = TOP) -> DataFram
     known = groups.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
     known = known.select("lang", "source", *(F.coalesce(c, zero).alias(c) for c in ("of_group", "v", "total")))
     known = materialize(known.withColumn("none", F.when(F.col("v") > 0, _share(zero, F.col("of_group"), F.col("v")))), "divergence-groups")
-    shares = counts.join(known, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("of_group"), F.col("v")))
+    shares = counts.join(known, ["lang", "source"]).select("lang", "source", "term", "none", _share(F.col("n"), F.col("of_group"), F.col("v")).alias("p"))
+    shares = materialize(shares, "divergence-shares")
 
     # Terms: against the language.
     q = langs.join(sizes, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("q"))
