@@ -269,3 +269,58 @@ def test_extract_of_odd_tables(spark):
     assert out[None, None]["text"] == "" and out[None, None]["n_chars"] == 0
     assert out[1, "u"]["n_chars"] == len(out[1, "u"]["text"]) > 50 and out[2, "v"]["n_chars"] == 100_000 * 6 - 1
     assert extract(df).count() == 4 and extract(df.limit(0)).count() == 0
+
+
+def plain_nearest(vectors, k=20):
+    import numpy as np
+
+    ids = np.array(sorted(vectors))
+    table = np.array([vectors[i] for i in ids])
+    scores = table @ table.T
+    np.fill_diagonal(scores, -np.inf)
+    return {int(q): [int(ids[j]) for j in np.lexsort((ids, -scores[i]))[:k]] for i, q in enumerate(ids) if q % 20 == 0}
+
+
+def hub_vectors(n=1200, width=12):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    table = rng.standard_normal((n, width))
+    table[7] *= 100  # in nearly every list
+    return {i: table[i] for i in range(n)}
+
+
+def test_exact_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from transitlake.llm.neighbours import exact_nearest
+
+    vectors = hub_vectors(500)
+    rows = [(i, v.tolist()) for i, v in vectors.items()] + [(9000, None), (9020, [0.0] * 12), (None, [1.0] * 12), (9040, [float("nan")] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = {}
+    for r in exact_nearest(df, F.col("vec_id") % 20 == 0, block=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == plain_nearest(vectors)
+    assert exact_nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(45)], "vec_id long, embedding array<double>")
+    first = exact_nearest(same, F.col("vec_id") == 40, block=8).orderBy("rank").collect()
+    assert [r["vec_id"] for r in first] == list(range(20))
+
+
+def test_a_hub_costs_no_recall_and_is_no_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from transitlake.llm import neighbours as N
+
+    vectors = hub_vectors()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = plain_nearest(vectors)
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values())) > 0.97
+    edges = spark.range(5000).select(F.col("id").alias("node"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).alias("neighbour"))
+    few = N._few(edges, "neighbour", F.xxhash64("node"), 40)
+    assert few.where("neighbour = 7").count() == 40 and few.count() == 90
+    assert few._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # one before the shuffle
