@@ -156,8 +156,9 @@ def valid_text(column):
 SLICE_BYTES = 6_000_000
 
 
-def text_slices(column):
-    """(first row, texts as valid_text gives them) of consecutive parts of a column, of about SLICE_BYTES each."""
+def text_slices(column, size: int = SLICE_BYTES):
+    """(first row, texts as valid_text gives them) of consecutive parts of a column, of about ``size`` bytes each."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     column = valid_text(column)
@@ -165,9 +166,11 @@ def text_slices(column):
     first = 0
     while first < len(column):
         before = int(ends[first - 1]) if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
         yield first, column.slice(first, last - first)
         first = last
+    # Workers live on, and would keep what the batch took.
+    pa.default_memory_pool().release_unused()
 
 
 def covered(ranges):

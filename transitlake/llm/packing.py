@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitlake.llm._shared import ROW_BITS, gather, materialize
+from transitlake.llm._shared import ROW_BITS, gather, materialize, text_slices
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -56,7 +56,7 @@ _PIECES = "number long, doc_id long, piece int, start long, length long, ids_crc
 class Pieces(dict):
     """Ids of single pieces (what the pre-tokenizer makes), straight from the tokenizer's model; a bounded memory."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __init__(self, model):
         super().__init__()
@@ -166,7 +166,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         number = TaskContext.get().partitionId() << ROW_BITS
         for batch in batches:
             docs, done = batch.column("doc_id"), 0
-            for ids, n in coder(tokenizer_path).of_texts(batch.column("text"), closing_id):
+            slices = (texts for _, texts in text_slices(batch.column("text")))
+            for ids, n in (x for texts in slices for x in coder(tokenizer_path).of_texts(texts, closing_id)):
                 times = -(-n // capacity)
                 doc = np.repeat(np.arange(len(n)), times)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
