@@ -27,11 +27,15 @@ def filter_to_segment(pings: DataFrame, summary: DataFrame) -> DataFrame:
     return joined.where(F.col("index_loc").between(F.col("start_index_loc_segment"), F.col("end_index_loc_segment"))).drop("start_index_loc_segment", "end_index_loc_segment")
 
 
+def segment_speeds(pings: DataFrame, summary: DataFrame, max_fps: float = MAX_FPS, keys=SEG) -> DataFrame:
+    """3-step speeds of pings on segments below the cap."""
+    return rolling_speeds(filter_to_segment(pings, summary), keys).where(F.col("fps_next3") < max_fps)
+
+
 def freeflow(pings: DataFrame, summary: DataFrame, max_fps: float = MAX_FPS, keys=SEG) -> DataFrame:
     """seg_name_id, percentile, fps, mph: percentiles of the 3-step speed below the cap."""
-    speeds = rolling_speeds(filter_to_segment(pings, summary), keys).where(F.col("fps_next3") < max_fps)
     at = F.array(*(F.lit(p) for p in PERCENTILES))
-    grouped = exact_quantiles(speeds, ["seg_name_id"], "fps_next3", PERCENTILES)
+    grouped = exact_quantiles(segment_speeds(pings, summary, max_fps, keys), ["seg_name_id"], "fps_next3", PERCENTILES)
     rows = grouped.select("seg_name_id", F.explode(F.arrays_zip(at.alias("percentile"), F.col("quantiles").alias("fps"))).alias("r"))
     return rows.select("seg_name_id", F.col("r.percentile").alias("percentile"), F.col("r.fps").alias("fps"), (F.col("r.fps") / FPS_A_MPH).alias("mph"))
 
@@ -180,10 +184,8 @@ def travel_times(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: flo
     """What travel_time gives for stop_area_phases and the free flow of the same pings, in one pass over them.
 
     Pings are shuffled once, by run. A row for each run on a segment then carries its sums and rates. Percentiles by
-    segment come from exact_quantiles, so no task holds a segment: of the rates here, of pings' speeds for the free flow,
-    which reads them again.
+    segment, of these rates and of pings' speeds, come from exact_quantiles, so no task holds a segment.
     """
-    speed = freeflow(pings, summary, max_fps)
     rows = _with_phases(_segment_rows(pings, summary, stops, up, down), (*AREA, "_own"))
     at = lambda p: F.col("_own") & (F.col("phase") == p)
     sums = [F.sum(F.when(at(p), F.col("secs_marg"))).cast("double").alias(p) for p in PHASES]
@@ -195,18 +197,22 @@ def travel_times(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: flo
     whole = [spread(F.col("odom_ft")).alias("odom_range"), spread(F.col("sec_past_st")).alias("t_segment"), F.bool_or(at("t_stop") | at("t_stop1")).alias("_stopped")]
     per = rows.groupBy(*SEG).agg(*whole, *sums, *ends)
     per = per.withColumn("flag_nostop", F.col("t_stop1").isNull() & F.col("t_stop").isNull())
-    rates = []
+    kinds = []
     for p in moving:
         secs = F.col(f"_s_{p}")
         rate = F.when(F.col("_stopped"), F.abs((F.col(f"_b_{p}") - F.col(f"_a_{p}")) / F.when(secs != 0, secs)))
-        rates.append(F.struct(F.lit(p).alias("phase"), rate.alias("rate")))
-    each = per.select("seg_name_id", F.explode(F.array(*rates)).alias("r")).select("seg_name_id", "r.*").where("rate is not null")
-    ff, p95 = free_flow_speed(speed), F.col("quantiles")[0]
-    half = F.abs(F.col("ff") / (2 * F.when(p95 != 0, p95)))
-    lost = exact_quantiles(each, ["seg_name_id", "phase"], "rate", [0.95]).join(ff, "seg_name_id").groupBy("seg_name_id").agg(F.sum(half).alias("t_decacc"))
-    by_segment = ff.join(lost, "seg_name_id", "full")  # a row for each segment
-    out = per.join(by_segment, "seg_name_id", "left").na.fill(0.0, [*PHASES, "t_decacc"]).drop("_stopped", *(f"_{x}_{p}" for p in moving for x in "abs"))
-    return split_times(out)
+        kinds.append(F.struct(F.lit(p).alias("kind"), rate.alias("v")))
+    # All of a segment's percentiles are one selection: of the speeds, and of both rates.
+    each = per.select("seg_name_id", F.explode(F.array(*kinds)).alias("k")).select("seg_name_id", "k.*").where("v is not null")
+    speeds = segment_speeds(pings, summary, max_fps).select("seg_name_id", F.lit("ff").alias("kind"), F.col("fps_next3").alias("v"))
+    told = exact_quantiles(speeds.unionByName(each), ["seg_name_id", "kind"], "v", [FREE_FLOW])
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("quantiles")[0]))
+    by_segment = told.groupBy("seg_name_id").agg(of("ff").alias("ff"), *(of(p).alias(f"_p_{p}") for p in moving))
+    lost = F.lit(0.0)
+    for p in moving:
+        lost = lost + F.coalesce(F.abs(F.col("ff") / (2 * F.when(F.col(f"_p_{p}") != 0, F.col(f"_p_{p}")))), F.lit(0.0))
+    out = per.join(by_segment, "seg_name_id", "left").withColumn("t_decacc", lost).na.fill(0.0, list(PHASES))
+    return split_times(out.drop("_stopped", *(f"_p_{p}" for p in moving), *(f"_{x}_{p}" for p in moving for x in "abs")))
 
 
 def split_times(out: DataFrame) -> DataFrame:

@@ -66,12 +66,14 @@ def nearest_ping(
     index = F.transform("_pings", lambda p: p["index_loc"].cast("long"))
     met = parts.drop("_part").join(sets, list(on))
     found = met.withColumn("_f", _closest(within)(index, column("_pings", "x"), column("_pings", "y"), column("_targets", "target_x"), column("_targets", "target_y")))
-    flat = found.select("*", F.explode("_f").alias("_e")).select(*by, F.col("_targets")[F.col("_e.target")].alias("_t"), F.col("_pings")[F.col("_e.ping")].alias("_p"), F.col("_e.d").alias("_d"))
+    # Outer, as Spark would work out the column once more to see whether there is anything to explode.
+    flat = found.select("*", F.explode_outer("_f").alias("_e")).where("_e is not null").select(*by, F.col("_targets")[F.col("_e.target")].alias("_t"), F.col("_pings")[F.col("_e.ping")].alias("_p"), F.col("_e.d").alias("_d"))
     group = [*keys, *(c for c in target_keys if c not in keys)]
     flat = flat.select("*", *(F.col(f"_t.{c}").alias(c) for c in target_keys if c not in by))
     # A row for each part of a run, so one as a rule.
     more = [c for c in on if c not in group]
-    best = flat.groupBy(*group).agg(F.min_by(F.struct("_t", "_p", "_d", *more), F.struct("_d", F.col("_p.index_loc"))).alias("_b"))
+    least = F.array_min(F.collect_list(F.struct("_d", F.col("_p.index_loc").alias("_i"), "_t", "_p", *more)))
+    best = flat.groupBy(*group).agg(least.alias("_b"))
     values = [c for c in dict.fromkeys((*on, *pings.columns, *own.columns)) if c not in group]
 
     def value(c: str) -> Column:

@@ -1,4 +1,4 @@
-"""Exact quantiles by selection of order statistics: no task holds a group's values."""
+"""Exact quantiles by selection of order statistics: no task's state holds a group's values."""
 
 from __future__ import annotations
 
@@ -7,82 +7,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct values up to which a group is put in order at once.
-WHOLE = 50_000
-#: Ranges that the distinct values of larger groups are cut into, and the accuracy of the cuts.
-RANGES, ACCURACY = 256, 2000
+#: The sketch gives a value whose rank is off by a group's size / ACCURACY at most; MARGIN times that is kept to each side.
+ACCURACY, MARGIN = 10_000, 3
 
 
-def _matches(by: Sequence[str]) -> Column:
-    """Keys are equal; they may be null."""
-    out = F.lit(True)
-    for i, k in enumerate(by):
-        out = out & F.col(k).eqNullSafe(F.col(f"_by_{i}"))
-    return out
+def _bounds(at: Sequence[float], accuracy: int) -> tuple[list[Column], list[Column]]:
+    """Aggregates that lie at or below, and at or above, the values at each wanted rank and beside it.
 
-
-def _told(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Keys under names of their own, for _matches."""
-    return df.withColumnsRenamed({k: f"_by_{i}" for i, k in enumerate(by)})
-
-
-def _range_of(value: Column, cuts: Column) -> Column:
-    """How many cuts lie below the value: binary search in a sorted array."""
-    steps = F.array(*(F.lit(1 << i) for i in reversed(range(RANGES.bit_length()))))
-    ok = lambda at, step: (at + step <= F.size(cuts)) & (F.try_element_at(cuts, at + step) < value)
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ok(at, step), at + step).otherwise(at))
+    Groups of up to ``accuracy`` values are whole within them; in larger ones the margin is some ranks at least.
+    """
+    asked, spare = [], MARGIN / accuracy
+    for p in at:
+        asked += [max(0.0, p - spare), min(1.0, p + spare)]
+    told = F.percentile_approx("_v", F.array(*(F.lit(float(p)) for p in asked)), accuracy)
+    few = F.count("_v") <= accuracy
+    low = [F.min("_v") if asked[2 * i] <= 0 else F.when(few, F.min("_v")).otherwise(told[2 * i]) for i in range(len(at))]
+    high = [F.max("_v") if asked[2 * i + 1] >= 1 else F.when(few, F.max("_v")).otherwise(told[2 * i + 1]) for i in range(len(at))]
+    return low, high
 
 
-def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence[float], whole: int = WHOLE) -> DataFrame:
+def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
     """by, n and quantiles (an array in the order of ``at``) of each group's values, with linear interpolation.
 
     The results are those of Spark's ``percentile``: nulls don't count, and groups with nothing else have null quantiles.
 
-    Equal values of a group become one row with their number, so a hot group is spread by its values. Groups with up to
-    ``whole`` distinct values are then done in one state of that size. Larger ones go through selection:
+    1. A sketch of fixed size gives, for each wanted rank, a value surely at or below it and one surely at or above.
+    2. Rows meet their group's bounds. A value between the two of a rank is counted for itself, all others by the place
+       they have among the bounds only, so what is shuffled is a small share of the distinct values, summed beforehand.
+    3. Running sums of these counts in order give the values at the wanted ranks. They pass a task as a sorted stream.
 
-    1. Cuts from a sketch of the distinct values, of fixed size, part each group into ranges; a range's number of rows
-       says which ranges hold a wanted rank.
-    2. Only these ranges are put in order, each for itself, and give the values at the wanted ranks.
+    Rows are read twice, by 1 and 2. A hot group is spread in both, as its rows are summed where they are.
     """
-    by = list(by)
-    # Read by each step; Spark shuffles it once.
-    counts = rows.select(*by, F.col(value).cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    values = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
-    sizes = counts.groupBy(*by).agg(F.count("_v").alias("_distinct"), F.sum(values).alias("_total"))
-    names = [f"_by_{i}" for i in range(len(by))]
-    small = counts.join(_told(sizes.where(F.col("_distinct") <= whole).drop("_total"), by), _matches(by)).drop(*names)
-    told = F.percentile("_v", F.array(*(F.lit(float(p)) for p in at)), F.col("_n"))
-    small = small.groupBy(*by).agg(F.sum(values).alias("n"), told.alias("quantiles"))
-    large = counts.where("_v is not null").join(_told(sizes.where(F.col("_distinct") > whole).drop("_distinct"), by), _matches(by)).drop(*names)
-    return small.unionByName(_selected(large, by, at))
-
-
-def _selected(counts: DataFrame, by: Sequence[str], at: Sequence[float]) -> DataFrame:
-    """by, n, quantiles from distinct values (_v) with their numbers (_n) and their groups' (_total)."""
-    ranks = F.array(*(F.lit(float(p)) for p in at))
-    probabilities = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
-    sketch = _told(counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", probabilities, ACCURACY)).alias("_cuts")), by)
-    names = [f"_by_{i}" for i in range(len(by))]
-    ranged = counts.join(sketch, _matches(by)).withColumn("_range", _range_of(F.col("_v"), F.col("_cuts"))).drop("_cuts", *names)
-    held = ranged.groupBy(*by, "_total", "_range").agg(F.sum("_n").alias("_held"))
-    # A group has RANGES rows here at most.
-    before = F.sum("_held").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_held")
-    position = lambda p: p * (F.col("_total") - 1)
-    inside = lambda p, lo, n: (F.floor(position(p)) < lo + n) & (F.ceil(position(p)) >= lo)
-    held = held.withColumn("_before", before).where(F.exists(ranks, lambda p: inside(p, F.col("_before"), F.col("_held"))))
-    held = _told(held.select(*by, F.col("_range").alias("_wanted"), "_before"), by)
-    chosen = ranged.join(held, _matches(by) & (F.col("_range") == F.col("_wanted"))).drop(*names)
-    run = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = chosen.withColumn("_first", F.col("_before") + F.sum("_n").over(run) - F.col("_n"))
-    holds = lambda rank: F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_n")), F.col("_v")))
+    by, names = list(by), [f"_by_{i}" for i in range(len(by))]
+    values = rows.select(*by, F.col(value).cast("double").alias("_v"))
+    low, high = _bounds(at, accuracy)
+    sketch = values.groupBy(*by).agg(F.count("_v").alias("_total"), F.array(*low).alias("_low"), F.array(*high).alias("_high"))
+    same = F.lit(True)
+    for k, name in zip(by, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    met = values.join(sketch.withColumnsRenamed(dict(zip(by, names, strict=True))), same).drop(*names)
+    inside = F.exists(F.arrays_zip("_low", "_high"), lambda b: (F.col("_v") >= b["_low"]) & (F.col("_v") <= b["_high"]))
+    # Whatever lies in no range comes behind all that lies in the last range before it.
+    place = F.size(F.filter("_low", lambda x: x <= F.col("_v")))
+    counted = met.withColumns({"_place": F.when(F.col("_v").isNotNull(), place), "_near": F.when(inside, F.col("_v"))})
+    counted = counted.groupBy(*by, "_total", "_place", "_near").agg(F.count("_place").alias("_n"))
+    run = Window.partitionBy(*by).orderBy("_place", F.asc_nulls_last("_near")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("_behind", F.sum("_n").over(run))
+    position = lambda p: F.lit(float(p)) * (F.col("_total") - 1)
+    holds = lambda rank: F.max(F.when((rank < F.col("_behind")) & (rank >= F.col("_behind") - F.col("_n")), F.col("_near")))
     ends = []
     for i, p in enumerate(at):
-        ends += [holds(F.floor(position(F.lit(float(p))))).alias(f"_lo_{i}"), holds(F.ceil(position(F.lit(float(p))))).alias(f"_hi_{i}")]
-    picked = chosen.groupBy(*by, F.col("_total").alias("n")).agg(*ends)
+        ends += [holds(F.floor(position(p))).alias(f"_lo_{i}"), holds(F.ceil(position(p))).alias(f"_hi_{i}")]
+    picked = counted.groupBy(*by).agg(F.max("_total").alias("n"), *ends)
 
     def between(i: int, p: float) -> Column:
         where, lo, hi = F.lit(float(p)) * (F.col("n") - 1), F.col(f"_lo_{i}"), F.col(f"_hi_{i}")
-        return F.when(lo == hi, lo).otherwise((F.ceil(where) - where) * lo + (where - F.floor(where)) * hi)
+        found = F.when(lo == hi, lo).otherwise((F.ceil(where) - where) * lo + (where - F.floor(where)) * hi)
+        lost = (F.col("n") > 0) & (lo.isNull() | hi.isNull())
+        return F.when(lost, F.raise_error(F.lit("a wanted rank lies outside of its bounds")).cast("double")).otherwise(found)
 
-    return picked.select(*by, "n", F.array(*(between(i, p) for i, p in enumerate(at))).alias("quantiles"))
+    return picked.select(*by, "n", F.when(F.col("n") > 0, F.array(*(between(i, p) for i, p in enumerate(at)))).alias("quantiles"))
