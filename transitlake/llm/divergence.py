@@ -1,8 +1,9 @@
 """Audit of sources: how far the sources of a language diverge from each other, and by which terms from the language.
 
-1. Terms. Each document is a list of terms, written by language. Where a language has more distinct terms than MODEL_TERMS
-   (a count by sketch, so within some percent), its lists are dealt to shards by the terms' hash, so that no vocabulary
-   outgrows that bound. A term's documents all meet in one shard, so document frequencies stay exact.
+1. Terms. Each document is a list of terms, written by language. Where a language may keep more than MODEL_TERMS terms (it
+   has more than MIN_DF times as many occurrences, and more distinct terms by a sketch), its lists are dealt to shards by
+   the terms' hash, so that no vocabulary outgrows that bound. A term's documents all meet in one shard, so document
+   frequencies stay exact.
 2. Vectors. A CountVectorizer for each language (and shard), with minDF and the largest integer as vocabSize, fits its
    vocabulary and turns the documents into exact sparse count vectors.
 3. Group sums. Vectors are summed by source without being made dense: a task adds up what its batches hold by source and
@@ -37,7 +38,7 @@ from transitlake.llm._shared import materialize, scratch_root, text_slices
 MIN_DF = 10
 #: The largest integer: no vocabulary is cut.
 VOCABULARY = 2**31 - 1
-#: Distinct terms of a language, before minDF, that one model is fitted on; languages with more are dealt to more models.
+#: Terms that one model may keep; languages with more are dealt to more models.
 MODEL_TERMS = 8_000_000
 #: Names of languages that are broadcast; more are joined by a shuffle.
 BROADCAST_LANGS = 10_000
@@ -58,7 +59,7 @@ def split_terms(texts: pa.Array) -> pa.Array:
 
 
 def term_lists(documents: DataFrame) -> DataFrame:
-    """model, source, terms of each document (model, source, text) that has terms."""
+    """model, source, terms, n_terms of each document (model, source, text) that has terms."""
 
     def split(batches):
         for batch in batches:
@@ -66,9 +67,10 @@ def term_lists(documents: DataFrame) -> DataFrame:
                 lists = split_terms(texts)
                 found = pc.greater(pc.binary_length(pc.list_element(lists, 0)), 0)
                 own = [batch.column(c).slice(first, len(texts)) for c in ("model", "source")]
-                yield pa.RecordBatch.from_arrays([x.filter(found) for x in (*own, lists.cast(pa.list_(pa.string())))], ["model", "source", "terms"])
+                columns = (*own, lists.cast(pa.list_(pa.string())), pc.list_value_length(lists).cast(pa.int64()))
+                yield pa.RecordBatch.from_arrays([x.filter(found) for x in columns], ["model", "source", "terms", "n_terms"])
 
-    return documents.select("model", "source", "text").mapInArrow(split, "model int, source string, terms array<string>")
+    return documents.select("model", "source", "text").mapInArrow(split, "model int, source string, terms array<string>, n_terms long")
 
 
 def group_sums(vectors: DataFrame) -> DataFrame:
@@ -105,10 +107,15 @@ def group_counts(documents: DataFrame, min_df: int = MIN_DF, model_terms: int =
     known = spark.createDataFrame(list(zip(langs, range(len(langs)), strict=True)), "lang string, model int")
     named = told.join(F.broadcast(known) if len(langs) <= BROADCAST_LANGS else known, "lang")
     term_lists(named).write.partitionBy("model").parquet(f"{folder}/terms")
-    every = spark.read.schema("source string, terms array<string>, model int").parquet(f"{folder}/terms")
-    sizes = every.select("model", F.explode("terms").alias("term")).groupBy("model").agg(F.approx_count_distinct("term").alias("n")).collect()
+    every = spark.read.schema("source string, terms array<string>, n_terms long, model int").parquet(f"{folder}/terms")
     spark.createDataFrame([], schema).write.parquet(f"{folder}/counts")
-    for i, shards in sorted((r["model"], math.ceil(r["n"] / model_terms)) for r in sizes):
+    # A kept term occurs min_df times at least. Only where that bound is too large, distinct terms are counted.
+    most = {r["model"]: r["n"] // max(1, min_df) for r in every.groupBy("model").agg(F.sum("n_terms").alias("n")).collect()}
+    large = [i for i, n in most.items() if n > model_terms]
+    if large:
+        each = every.where(F.col("model").isin(large)).select("model", F.explode("terms").alias("term"))
+        most |= {r["model"]: r["n"] for r in each.groupBy("model").agg(F.approx_count_distinct("term").alias("n")).collect()}
+    for i, shards in sorted((i, max(1, math.ceil(n / model_terms))) for i, n in most.items()):
         path = f"{folder}/terms/model={i}"
         if shards > 1:
             # Written once more, so that each model reads its own terms only.
