@@ -65,11 +65,18 @@ def test_one_exchange_for_the_windows_of_a_run(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name, exchanges, scans", [("run_bounds", 2, 1), ("run_summary", 2, 1), ("travel_time_decomposition", 11, 6), ("nearest_stops", 5, 3)])
+@pytest.mark.parametrize("name, exchanges, scans", [("run_bounds", 2, 1), ("run_summary", 2, 1), ("travel_time_decomposition", 12, 4), ("nearest_stops", 4, 2)])
 def test_plans_stay_small(spark, name, exchanges, scans):
-    """The view over events takes one exchange of its own, by user; runs take one more, by file. No sort-based sums."""
-    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("Exchange hashpartitioning") <= exchanges and plan.count("Scan parquet") <= scans and "SortAggregate" not in plan
+    """What runs: the view over events takes one exchange of its own, by user; runs take one more, by file.
+
+    Percentiles by segment read their input twice, so shuffles and scans that Spark runs once and reuses count once.
+    """
+    df = catalog.QUERIES[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    ran = [line for line in plan if "ReusedExchange" not in line]
+    assert sum("Exchange hashpartitioning" in line for line in ran) <= exchanges
+    assert sum("FileScan parquet" in line for line in ran) <= scans and not any("SortAggregate" in line for line in ran)
 
 
 @needs_data
