@@ -324,3 +324,32 @@ def test_a_hub_costs_no_recall_and_is_no_hot_key(spark):
     few = N._few(edges, "neighbour", F.xxhash64("node"), 40)
     assert few.where("neighbour = 7").count() == 40 and few.count() == 90
     assert few._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # one before the shuffle
+
+
+def test_very_long_texts(spark):
+    """A text of a megabyte and more, with copies of it and of its passages: operators 1, 3, 5 and 10 against plain versions."""
+    from pyspark.sql import functions as F
+
+    from tests.llm import brute
+    from transitlake.llm.decontaminate import decontaminate
+    from transitlake.llm.neardup import near_duplicates
+    from transitlake.llm.packing import pack
+    from transitlake.llm.repeats import remove_repeats
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcdefgh')}{i}" for i in range(30_000)]
+    long = " ".join(rng.choice(words) for _ in range(190_000))
+    parts = long.split()
+    docs = [(1, long), (2, " ".join([*parts[:-40], *["new"] * 40])), (3, " ".join(parts[90_000:90_060])), (4, long), (5, "short text"), (6, None)]
+    assert len(long) > 1_000_000
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = [(1, " ".join(parts[150_000:150_020])), (2, "short text")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    told = lambda df, *columns: sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+    assert told(decontaminate(df, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(brute.decontaminate(docs, items), key=str)
+    assert told(near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(docs), key=str)
+    kept = remove_repeats(df).withColumn("kept_sha256", F.sha2("kept_text", 256))
+    assert told(kept, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeats(docs), key=str)
+    path = tokenizers.path("word_bpe_49k.json")
+    assert told(pack(df, path), "doc_id", "piece", "start", "length", "ids_crc32") == sorted(brute.pieces(docs, path), key=str)

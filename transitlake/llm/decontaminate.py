@@ -16,7 +16,8 @@ benchmark's size; a larger benchmark only lets more rows through to the join.
 
 Defined results: null or wordless texts have no words and no hits. Items without an id or words take no part. Rows that
 repeat an item_id are one item with the windows of all. Every document row gives one result row, repeated ids and null
-ids included. Other columns are ignored.
+ids included. Without documents the result is empty, without items nothing is hit. Texts may be very long: a text is held
+by one task, in time linear in its words. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@
 
 Defined results: documents without words have an empty set and are linked with nothing. Documents with fewer words than
 a shingle have one shingle, all their words. Rows without doc_id get component null and are kept. Rows that repeat a
-doc_id are one document with the union of their rows' links. Ties go to the smaller doc_id. Other columns are ignored.
+doc_id are one document with the union of their rows' links. Ties go to the smaller doc_id. An empty table gives an empty
+result. Texts may be very long: a text and its set are held by one task. Other columns are ignored.
 """
 
 from __future__ import annotations
