@@ -15,6 +15,9 @@ HEADLINE = ("freeflow_percentiles", "stop_area_phases", "travel_time_decompositi
 
 
 def main() -> None:
+    # Python workers import the library wherever the bench is started from.
+    root = os.path.dirname(os.path.abspath(__file__))
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -52,15 +52,16 @@ def test_empty(spark, rows):
     assert quantiles.exact_quantiles(rows.limit(0), ["g"], "v", AT).count() == 0
 
 
-def test_no_window_over_a_segment(spark):
+def test_bounded_plans_hold_no_segment(spark):
     p = spark.createDataFrame([], "filename string, index_run_start long, index_loc long, odom_ft long, sec_past_st long, door_state string, veh_state string, stop_window string")
     summary = spark.createDataFrame([], "filename string, index_run_start long, seg_name_id string, start_index_loc_segment long, end_index_loc_segment long")
     stops = spark.createDataFrame([], "filename string, index_run_start long, seg_name_id string, stop_id long, odom_ft_stop long")
-    plan = decompose.travel_times(p, summary, stops)._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    # Windows over a run, and the running sum of what was counted near the wanted ranks.
-    assert windows and all("filename" in line or "sum(_n" in line for line in windows)
-    assert "percentile(" not in plan
+    for df in (decompose.freeflow(p, summary, bounded=True), decompose.travel_times(p, summary, stops, bounded=True)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        # Windows over a run, and the running sum of what was counted near the wanted ranks.
+        assert windows and all("filename" in line or "sum(_n" in line for line in windows)
+        assert " percentile(" not in plan
 
 
 def test_report_in_one_scan(spark, tmp_path):

@@ -32,11 +32,18 @@ def segment_speeds(pings: DataFrame, summary: DataFrame, max_fps: float = MAX_FP
     return rolling_speeds(filter_to_segment(pings, summary), keys).where(F.col("fps_next3") < max_fps)
 
 
-def freeflow(pings: DataFrame, summary: DataFrame, max_fps: float = MAX_FPS, keys=SEG) -> DataFrame:
-    """seg_name_id, percentile, fps, mph: percentiles of the 3-step speed below the cap."""
-    at = F.array(*(F.lit(p) for p in PERCENTILES))
-    grouped = exact_quantiles(segment_speeds(pings, summary, max_fps, keys), ["seg_name_id"], "fps_next3", PERCENTILES)
-    rows = grouped.select("seg_name_id", F.explode(F.arrays_zip(at.alias("percentile"), F.col("quantiles").alias("fps"))).alias("r"))
+def freeflow(pings: DataFrame, summary: DataFrame, max_fps: float = MAX_FPS, keys=SEG, bounded: bool = False) -> DataFrame:
+    """seg_name_id, percentile, fps, mph: percentiles of the 3-step speed below the cap.
+
+    A segment's distinct speeds are one task's state; ``bounded`` selects them in two readings instead (exact_quantiles),
+    with the same result, for segments whose speeds outgrow a task.
+    """
+    at, speeds = F.array(*(F.lit(p) for p in PERCENTILES)), segment_speeds(pings, summary, max_fps, keys)
+    if bounded:
+        grouped = exact_quantiles(speeds, ["seg_name_id"], "fps_next3", PERCENTILES).withColumnRenamed("quantiles", "p")
+    else:
+        grouped = speeds.groupBy("seg_name_id").agg(F.percentile("fps_next3", at).alias("p"))
+    rows = grouped.select("seg_name_id", F.explode(F.arrays_zip(at.alias("percentile"), F.col("p").alias("fps"))).alias("r"))
     return rows.select("seg_name_id", F.col("r.percentile").alias("percentile"), F.col("r.fps").alias("fps"), (F.col("r.fps") / FPS_A_MPH).alias("mph"))
 
 
@@ -180,11 +187,12 @@ def travel_time(pings: DataFrame, summary: DataFrame, phases: DataFrame, ff: Dat
     return split_times(out.na.fill(0.0, [*PHASES, "t_decacc"]))
 
 
-def travel_times(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: float = UP_FEET, down: float = DOWN_FEET, max_fps: float = MAX_FPS) -> DataFrame:
+def travel_times(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: float = UP_FEET, down: float = DOWN_FEET, max_fps: float = MAX_FPS, bounded: bool = False) -> DataFrame:
     """What travel_time gives for stop_area_phases and the free flow of the same pings, in one pass over them.
 
-    Pings are shuffled once, by run. A row for each run on a segment then carries its sums and rates. Percentiles by
-    segment, of these rates and of pings' speeds, come from exact_quantiles, so no task holds a segment.
+    Pings are shuffled once, by run. A row for each run on a segment then carries its sums and rates, and percentiles of
+    the rates are taken of these rows, a segment's in one task. ``bounded`` selects all of a segment's percentiles by
+    exact_quantiles instead: no task holds a segment, but the rows by run are worked out once more for each reading.
     """
     rows = _with_phases(_segment_rows(pings, summary, stops, up, down), (*AREA, "_own"))
     at = lambda p: F.col("_own") & (F.col("phase") == p)
@@ -197,22 +205,33 @@ def travel_times(pings: DataFrame, summary: DataFrame, stops: DataFrame, up: flo
     whole = [spread(F.col("odom_ft")).alias("odom_range"), spread(F.col("sec_past_st")).alias("t_segment"), F.bool_or(at("t_stop") | at("t_stop1")).alias("_stopped")]
     per = rows.groupBy(*SEG).agg(*whole, *sums, *ends)
     per = per.withColumn("flag_nostop", F.col("t_stop1").isNull() & F.col("t_stop").isNull())
-    kinds = []
+    if bounded:
+        kinds = []
+        for p in moving:
+            secs = F.col(f"_s_{p}")
+            rate = F.when(F.col("_stopped"), F.abs((F.col(f"_b_{p}") - F.col(f"_a_{p}")) / F.when(secs != 0, secs)))
+            kinds.append(F.struct(F.lit(p).alias("kind"), rate.alias("v")))
+        # All of a segment's percentiles are one selection: of the speeds, and of both rates.
+        each = per.select("seg_name_id", F.explode(F.array(*kinds)).alias("k")).select("seg_name_id", "k.*").where("v is not null")
+        speeds = segment_speeds(pings, summary, max_fps).select("seg_name_id", F.lit("ff").alias("kind"), F.col("fps_next3").alias("v"))
+        told = exact_quantiles(speeds.unionByName(each), ["seg_name_id", "kind"], "v", [FREE_FLOW])
+        of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("quantiles")[0]))
+        by_segment = told.groupBy("seg_name_id").agg(of("ff").alias("ff"), *(of(p).alias(f"_p_{p}") for p in moving))
+        lost = F.lit(0.0)
+        for p in moving:
+            lost = lost + F.coalesce(F.abs(F.col("ff") / (2 * F.when(F.col(f"_p_{p}") != 0, F.col(f"_p_{p}")))), F.lit(0.0))
+        out = per.join(by_segment, "seg_name_id", "left").withColumn("t_decacc", lost).na.fill(0.0, list(PHASES))
+        return split_times(out.drop("_stopped", *(f"_p_{p}" for p in moving), *(f"_{x}_{p}" for p in moving for x in "abs")))
+    speed = freeflow(pings, summary, max_fps)
+    per = per.join(free_flow_speed(speed), "seg_name_id", "left")
+    segment, lost = Window.partitionBy("seg_name_id"), F.lit(0.0)
     for p in moving:
         secs = F.col(f"_s_{p}")
         rate = F.when(F.col("_stopped"), F.abs((F.col(f"_b_{p}") - F.col(f"_a_{p}")) / F.when(secs != 0, secs)))
-        kinds.append(F.struct(F.lit(p).alias("kind"), rate.alias("v")))
-    # All of a segment's percentiles are one selection: of the speeds, and of both rates.
-    each = per.select("seg_name_id", F.explode(F.array(*kinds)).alias("k")).select("seg_name_id", "k.*").where("v is not null")
-    speeds = segment_speeds(pings, summary, max_fps).select("seg_name_id", F.lit("ff").alias("kind"), F.col("fps_next3").alias("v"))
-    told = exact_quantiles(speeds.unionByName(each), ["seg_name_id", "kind"], "v", [FREE_FLOW])
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("quantiles")[0]))
-    by_segment = told.groupBy("seg_name_id").agg(of("ff").alias("ff"), *(of(p).alias(f"_p_{p}") for p in moving))
-    lost = F.lit(0.0)
-    for p in moving:
+        per = per.withColumn(f"_p_{p}", F.percentile(rate, F.lit(0.95)).over(segment))
         lost = lost + F.coalesce(F.abs(F.col("ff") / (2 * F.when(F.col(f"_p_{p}") != 0, F.col(f"_p_{p}")))), F.lit(0.0))
-    out = per.join(by_segment, "seg_name_id", "left").withColumn("t_decacc", lost).na.fill(0.0, list(PHASES))
-    return split_times(out.drop("_stopped", *(f"_p_{p}" for p in moving), *(f"_{x}_{p}" for p in moving for x in "abs")))
+    out = per.withColumn("t_decacc", lost).na.fill(0.0, list(PHASES)).drop("_stopped", *(f"_{x}_{p}" for p in moving for x in "absp"))
+    return split_times(out)
 
 
 def split_times(out: DataFrame) -> DataFrame:

@@ -46,9 +46,12 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence
     for k, name in zip(by, names, strict=True):
         same = same & F.col(k).eqNullSafe(F.col(name))
     met = values.join(sketch.withColumnsRenamed(dict(zip(by, names, strict=True))), same).drop(*names)
-    inside = F.exists(F.arrays_zip("_low", "_high"), lambda b: (F.col("_v") >= b["_low"]) & (F.col("_v") <= b["_high"]))
-    # Whatever lies in no range comes behind all that lies in the last range before it.
-    place = F.size(F.filter("_low", lambda x: x <= F.col("_v")))
+    # Written out, as functions over arrays are not compiled.
+    v, inside, place = F.col("_v"), F.lit(False), F.lit(0)
+    for i in range(len(at)):
+        inside = inside | ((v >= F.col("_low")[i]) & (v <= F.col("_high")[i]))
+        # Whatever lies in no range comes behind all that lies in the last range before it.
+        place = place + F.when(F.col("_low")[i] <= v, 1).otherwise(0)
     counted = met.withColumns({"_place": F.when(F.col("_v").isNotNull(), place), "_near": F.when(inside, F.col("_v"))})
     counted = counted.groupBy(*by, "_total", "_place", "_near").agg(F.count("_place").alias("_n"))
     run = Window.partitionBy(*by).orderBy("_place", F.asc_nulls_last("_near")).rowsBetween(Window.unboundedPreceding, 0)

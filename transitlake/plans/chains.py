@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from transitlake.functions import geo
-from transitlake.operators import fieldcheck, gtfs, legacy, quality, runs, segments, stops
+from transitlake.operators import decompose, fieldcheck, gtfs, legacy, quality, runs, segments, stops
 from transitlake.plans import views as V
-from transitlake.plans.catalog import CLEAN, FAR, LEADS, LONG, MOST, RK, SEG_SUM, SEGK, query, r6
+from transitlake.plans.catalog import CLEAN, DOWN, FAR, LEADS, LONG, MOST, RK, SEG_SUM, SEGK, SQL, UP, query, r6
 from transitlake.plans.views import LINES, PINGS, SEGMENTS, SUPPLIERS
 
 
@@ -249,3 +249,18 @@ def compare_field(spark, sf_dir):
     times = times.agg(F.count_if(F.col("door_state") == "O").cast("double").alias("t_stop1"), (F.max("sec_past_st") - F.min("sec_past_st")).cast("double").alias("t_traffic"))
     out = fieldcheck.compare_field(field, passes, times)
     return out.select("obs_id", "filename", "index_run_start", "delta", "t_stop1", "t_traffic", "has_run", "has_decomposition")
+
+
+@query(SQL["freeflow_percentiles"])
+def freeflow_bounded(spark, sf_dir):
+    """Free-flow percentiles by selection: no task holds a segment."""
+    p = V.pings(spark, sf_dir)
+    return r6(decompose.freeflow(p, V.segment_rows(p), bounded=True))
+
+
+@query(SQL["travel_time_decomposition"])
+def travel_time_bounded(spark, sf_dir):
+    """The decomposition with all percentiles of a segment by selection."""
+    p = V.pings(spark, sf_dir)
+    out = decompose.travel_times(p, V.segment_rows(p), V.segment_stops(p), UP, DOWN, bounded=True)
+    return r6(out.select("filename", "index_run_start", "seg_name_id", "t_segment", "flag_nostop", "t_ff", "t_stop", "t_stop1", "t_stop2", "t_traffic"))
