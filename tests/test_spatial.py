@@ -136,3 +136,30 @@ def test_time_buckets_equal_all_pairs(spark, tolerance):
     assert sorted((q["obs"], q["run"], q["delta"]) for q in start.collect()) == sorted((o, k, q - a) for o, k, a, p, q in known if p < a and abs(q - a) < tolerance)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in plan[plan.index("Join") :].split("\n")[0]
+
+
+def test_runs_meet_places_instead_of_targets(spark):
+    """A thousand stops at four places are four searches of a run; all get their rows, also where a stop has two places."""
+    pings = [("f", 1, i, "A", 0, float(i), 0.0, i) for i in range(20)]
+    targets = [(s, "A", 0, 5.0 * (s % 4), 1.0) for s in range(1000)]
+    t = spark.createDataFrame(targets, "stop_id long, route string, pattern int, x double, y double")
+    p = spark.createDataFrame(pings, PINGS)
+    search = nearest.Search(t, p, ["stop_id"], ["route", "pattern"], ["filename", "index_run_start"], None)
+    assert search.found.count() == 4
+    assert sorted((r["stop_id"], r["index_loc"]) for r in search.expand(search.found).collect()) == [(s, 5 * (s % 4)) for s in range(1000)]
+    twice = t.unionByName(t.limit(1).selectExpr("stop_id", "route", "pattern", "x + 2.25 as x", "0.0 as y"))
+    got = {r["stop_id"]: (r["index_loc"], r["dist_to_nearest_point"]) for r in nearest.nearest_ping(twice, p, ["stop_id"]).collect()}
+    assert len(got) == 1000 and nearest.nearest_ping(twice, p, ["stop_id"]).count() == 1000 and got[0] == (2, 0.25)
+
+
+def test_sets_compared_whole_equal_rings(monkeypatch):
+    rng = np.random.default_rng(6)
+    for within in (None, 40.0):
+        owner, to = np.sort(rng.integers(0, 6, 900)), np.sort(rng.integers(0, 6, 70))
+        x, y, tx, ty = np.floor(rng.uniform(0, 300, 900) / 20) * 20, rng.uniform(0, 20, 900) // 5, rng.uniform(-99, 400, 70), rng.uniform(-20, 60, 70)
+        rank = rng.permutation(900)
+        want = rings.nearest(owner, rank, x, y, to, tx, ty, 6, within)
+        for few in (0, 150, 1000):
+            monkeypatch.setattr(rings, "FEW_POINTS", few)
+            found, d = rings.closest(owner, rank, x, y, to, tx, ty, 6, within)
+            assert (found == want[0]).all() and (d == want[1]).all()
