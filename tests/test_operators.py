@@ -203,3 +203,34 @@ def test_quality_report_has_its_tables(spark):
     p = views.pings(spark, "/root/testdata/sf0.001")
     tables = quality.quality_report(p, catalog.run_rows(p))
     assert all(t.count() > 0 for t in tables.values())
+
+
+def test_stops_of_one_place_are_put_in_order_before_they_get_rows(spark):
+    """Many stops at few places, ties of order, a stop named twice, runs of several rows: what repeated deletion leaves."""
+    rng = random.Random(5)
+    places = [(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(9)]
+    rows = [(f"f{r % 2}", r, i, "A", 0, *rng.choice(places)) for r in range(6) for i in range(r * 40, r * 40 + 12)]
+    rows += [("long", 7, i, "B", 0, *rng.choice(places)) for i in range(0, 3000, 100)]
+    stops_ = [(s, s // 2, route, 0, *rng.choice(places)) for route in "AB" for s in range(60)] + [(3, 1, "B", 0, *places[0])]
+    p = spark.createDataFrame(rows, "filename string, index_run_start long, index_loc long, route string, pattern int, x double, y double")
+    s = spark.createDataFrame(stops_, "stop_id long, stop_sort_order long, route string, pattern int, x double, y double")
+    for strict in (False, True):
+        want = []
+        for f, r in {(q[0], q[1]) for q in rows}:
+            own = [q for q in rows if (q[0], q[1]) == (f, r)]
+            near = {}
+            for stop, order, route, _, x, y in stops_:
+                if route == own[0][3]:
+                    d, i = min((math.hypot(q[5] - x, q[6] - y), q[2]) for q in own)
+                    if d < 300.0:
+                        near[order, stop] = min(near.get((order, stop), (d, i)), (d, i))
+            most = None
+            for (order, stop), (_, i) in sorted(near.items()):
+                if most is None or (i > most if strict else i >= most):
+                    want.append((f, r, stop, i))
+                most = i if most is None else max(most, i)
+        got = [(q["filename"], q["index_run_start"], q["stop_id"], q["index_loc"]) for q in stops.stop_index(p, s, 300.0, strict).collect()]
+        assert sorted(got) == sorted(want)
+    # Rows put in order: a few of each run, not one for each stop.
+    index = stops.stop_index(p, s, 300.0)
+    assert "_cut" in index._jdf.queryExecution().optimizedPlan().toString()

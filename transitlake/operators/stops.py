@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from transitlake.functions.geo import link_line
 from transitlake.functions.values import FEET_A_MILE, first_of, half_even, last_of, safe_div, spread
-from transitlake.operators.nearest import nearest_ping
+from transitlake.operators.nearest import Search
 from transitlake.operators.windows import RUN, nondecreasing
 
 MOST_FEET = 100.0
@@ -43,9 +43,17 @@ def missing_routes(wanted: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def stop_index(pings: DataFrame, stops: DataFrame, most_feet: float = MOST_FEET, strict: bool = False) -> DataFrame:
-    """The ping nearest to each stop of a run's pattern: closer than most_feet, in stop order along the run."""
-    near = nearest_ping(stops, pings, ["stop_id", "stop_sort_order"], within=most_feet).where(F.col("dist_to_nearest_point") < most_feet)
-    return nondecreasing(near, "index_loc", RUN, ["stop_sort_order", "stop_id"], strict)
+    """The ping nearest to each stop of a run's pattern: closer than most_feet, in stop order along the run.
+
+    A stop falls if one before it has a later ping. So of the stops of one place those fall that come after the first
+    stop of any place with a later ping, and get no row; the clean-up itself has few rows to put in order.
+    """
+    order = ["stop_sort_order", "stop_id"]
+    s = Search(stops, pings, order[::-1], ("route", "pattern"), RUN, most_feet, order)
+    later = Window.partitionBy(*RUN).orderBy(F.desc("index_loc")).rangeBetween(Window.unboundedPreceding, -1)
+    near = s.found.where(F.col("dist_to_nearest_point") < most_feet).withColumn("_cut", F.when(~F.col("_again"), F.min("_first").over(later)))
+    rows = s.expand(near).where(F.col("_cut").isNull() | (F.struct(*order) < F.col("_cut"))).drop("_cut")
+    return nondecreasing(rows, "index_loc", RUN, order, strict)
 
 
 def first_last_stop(index: DataFrame, keys=RUN) -> DataFrame:
