@@ -163,3 +163,31 @@ def test_sets_compared_whole_equal_rings(monkeypatch):
             monkeypatch.setattr(rings, "FEW_POINTS", few)
             found, d = rings.closest(owner, rank, x, y, to, tx, ty, 6, within)
             assert (found == want[0]).all() and (d == want[1]).all()
+
+
+def test_many_targets_at_few_places(spark):
+    """Places, courses and terminals that many share: compared once, told for each; stops with two places, lines in parts."""
+    rng = random.Random(12)
+    at = [(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(7)]
+    pings = [(f"f{i % 3}", 1, i, "AB"[i % 3 % 2], 0, rng.uniform(0, 900), rng.uniform(0, 900), i) for i in range(90)]
+    targets = [(s, "AB"[s % 2], *at[s % 7]) for s in range(80)] + [(5, "B", *at[0]), (200, "A", None, 1.0)]
+    p, t = spark.createDataFrame(pings, PINGS), spark.createDataFrame(targets, "stop_id long, route string, x double, y double")
+    far = lambda q, s: math.sqrt((q[5] - s[2]) ** 2 + (q[6] - s[3]) ** 2)
+    want, ends = {}, {}
+    for q in pings:
+        for s in targets:
+            if s[2] is not None:
+                if far(q, s) <= 250.0:
+                    want[q[0], s[0]] = min(want.get((q[0], s[0]), (math.inf, 0)), (far(q, s), q[2]))
+                if q[2] < 3 and q[3] == s[1]:
+                    ends[q[0]] = min(ends.get(q[0], (math.inf, 0)), (far(q, s), s[0]))
+    got = nearest.nearest_within(p.drop("route"), t, ["stop_id"], 250.0).collect()
+    assert {(r["filename"], r["stop_id"]): r["index_loc"] for r in got} == {k: v[1] for k, v in want.items()} and len(got) == len(want)
+    assert nearest.place_cells(p, t, 1e9, 1e9).count() == 7 * len(pings)
+    match = nearest.terminal_match(p.where("index_loc < 3"), t)
+    assert {r["filename"]: r["stop_id"] for r in match.collect()} == {k: v[1] for k, v in ends.items()} and "target_x" in match.columns
+    courses = [[{"x": x, "y": y} for x, y in rng.sample(at, 3)] for _ in range(3)]
+    lines = spark.createDataFrame([(n, "A", courses[n % 3]) for n in range(30)] + [(4, "A", courses[2])], "seg long, route string, points array<struct<x:double,y:double>>")
+    near = [(r["index_loc"], r["seg"]) for r in nearest.within_corridor(p, lines, ["seg"], 60.0, on=["route"]).collect()]
+    hit = lambda q, c: any(distance_to_edge(q[5], q[6], a["x"], a["y"], b["x"], b["y"]) <= 60.0 for a, b in zip(c, c[1:]))
+    assert sorted(near) == sorted((q[2], n) for q in pings if q[3] == "A" for n in range(30) if hit(q, courses[n % 3]) or (n == 4 and hit(q, courses[2])))
