@@ -234,3 +234,20 @@ def test_stops_of_one_place_are_put_in_order_before_they_get_rows(spark):
     # Rows put in order: a few of each run, not one for each stop.
     index = stops.stop_index(p, s, 300.0)
     assert "_cut" in index._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_segments_of_equal_bounds_are_summed_once(spark):
+    """Forty segments between the same two pings: each has its row, the pings are read once; a fall beyond the end doesn't count."""
+    from transitlake.operators import segments
+
+    rows = [("f", 1, i, i * 10 if i < 6 else 0, i, 1.0 * i, 2.0 * i) for i in range(8)]
+    p = spark.createDataFrame(rows, "filename string, index_run_start long, index_loc long, odom_ft long, sec_past_st long, lat double, long double")
+    ends = [("f", 1, f"s{n}", at, i, 1.0 + n, False, False) for n in range(40) for at, i in (("first", 2), ("last", 5 + (n == 0)))]
+    index = spark.createDataFrame(ends, "filename string, index_run_start long, seg_name_id string, location string, index_loc long, dist_to_nearest_point double, flag_too_far boolean, flag_wrong_order boolean")
+    lengths = spark.createDataFrame([(f"s{n}", 30.0) for n in range(40)], "seg_name_id string, length_ft double")
+    out = segments.segment_summary(p, index, lengths)
+    got = {r["seg_name_id"]: r for r in out.collect()}
+    assert len(got) == 40 and got["s0"]["flag_counter_reset"] and not got["s1"]["flag_counter_reset"]
+    assert (got["s7"]["start_odom_ft_segment"], got["s7"]["end_odom_ft_segment"], got["s7"]["dist_first_stop_segment"]) == (20, 50, 8.0)
+    groups = [g.split("]")[0] for g in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[1:]]
+    assert any("_lo" in g and "_hi" in g for g in groups)
