@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from transitlake.operators import gtfs, nearest
+from transitlake.operators import gtfs, nearest, stops
 from transitlake.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -57,7 +57,19 @@ def test_stops_of_runs_in_order(spark, monkeypatch, kind, part):
         assert expected or kind != "plain"
 
 
-@pytest.mark.parametrize("name, module, step", [("gtfs_stops_on_route", gtfs, "stops_on_route")])
+@pytest.mark.parametrize("part", [16, 1024])
+@pytest.mark.parametrize("kind", KINDS)
+def test_falling_stops(spark, monkeypatch, kind, part):
+    monkeypatch.setattr(nearest, "RUN_PART", part)
+    rng = random.Random(KINDS.index(kind))
+    p, t = pings(spark, rng, kind == "two routes"), targets(spark, rng, kind).drop("stop_sequence", "signature")
+    near = nearest.nearest_ping(t, p, ["stop_id", "stop_sort_order"]).where("dist_to_nearest_point < 60")
+    columns = ["filename", "index_run_start", "stop_id", "stop_sort_order", "index_loc", "index_loc_before"]
+    expected = told(stops.order_violations(near), columns)
+    assert expected and told(stops.nearest_violations(p, t, 60.0), columns) == expected
+
+
+@pytest.mark.parametrize("name, module, step", [("gtfs_stops_on_route", gtfs, "stops_on_route"), ("order_violations", stops, "order_violations")])
 def test_stops_of_one_place_are_not_sorted_by_run(spark, monkeypatch, name, module, step):
     """With twenty stops at each place, no more rows by run and stop are put in order than there are pings."""
     once, sorted_rows, original = catalog.V.suppliers, [], getattr(module, step)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +112,50 @@ def order_violations(index: DataFrame) -> DataFrame:
     """Rows at which index_loc falls along the stop order, of runs that have such rows."""
     before = F.lag("index_loc").over(Window.partitionBy(*RUN).orderBy("stop_sort_order", "stop_id"))
     return index.withColumn("index_loc_before", before).where("index_loc < index_loc_before")
+
+
+def _falls():
+    """Column function over arrays of a run (numbers of its places, their pings) and its pattern (places of stops in order)."""
+
+    @F.arrow_udf("array<struct<stop:int,index_loc:long,index_loc_before:long>>")
+    def find(place: pa.Array, index: pa.Array, order: pa.Array) -> pa.Array:
+        flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+        bounds = lambda a: a.offsets.to_numpy() - a.offsets[0].as_py()
+        places, pings, stops, met, all_stops = flat(place), flat(index), flat(order), bounds(place), bounds(order)
+        found = []
+        for i in range(len(place)):
+            own, line = slice(met[i], met[i + 1]), stops[all_stops[i] : all_stops[i + 1]]
+            at, near = np.zeros(line.max() + 1, np.int64), np.zeros(line.max() + 1, bool)
+            at[places[own]], near[places[own]] = pings[own], True
+            stop = np.flatnonzero(near[line])
+            v = at[line[stop]]
+            fall = np.flatnonzero(v[1:] < v[:-1]) + 1
+            found.append((stop[fall].astype(np.int32), v[fall], v[fall - 1]))
+        columns = [np.concatenate([f[c] for f in found]) if found else np.array([], kind) for c, kind in enumerate((np.int32, np.int64, np.int64))]
+        rows = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["stop", "index_loc", "index_loc_before"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)), rows)
+
+    return find
+
+
+def nearest_violations(pings: DataFrame, stops: DataFrame, most_feet: float = MOST_FEET) -> DataFrame:
+    """order_violations of the pings nearest to each stop of a run's pattern, of those closer than most_feet.
+
+    Run keys, stop_id, stop_sort_order, index_loc and index_loc_before. Stops of one place have one ping, so a run is one
+    row of its places' pings, which is read in the order of its pattern's stops: only rows that fall are made, and rows
+    by run and stop are not sorted.
+    """
+    order, on = ["stop_sort_order", "stop_id"], ["route", "pattern"]
+    s = Search(stops, pings, order[::-1], on, RUN, most_feet)
+    near = s.found.where(F.col("dist_to_nearest_point") < most_feet)
+    pattern = Window.partitionBy(*on)
+    own = s.targets.withColumns({"_place": F.dense_rank().over(pattern.orderBy("_x", "_y")) - 1, "_rank": F.row_number().over(pattern.orderBy(*order))})
+    lines = own.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("_rank", "_place", *order))).alias("_line"))
+    lines = lines.select(*on, *(F.col(f"_line.{c}").alias(f"_l_{c}") for c in ("_place", *order)))
+    met = near.where("not _again").join(F.broadcast(own.select(*on, "_x", "_y", "_place").distinct()), [*on, "_x", "_y"])
+    runs = met.groupBy(*RUN, *on).agg(F.collect_list(F.struct("_place", "index_loc")).alias("_met")).join(F.broadcast(lines), on)
+    fallen = runs.withColumn("_f", _falls()(F.col("_met._place"), F.col("_met.index_loc"), F.col("_l__place")))
+    # Outer, as in Search.
+    rows = fallen.select(*RUN, *(f"_l_{c}" for c in order), F.explode_outer("_f").alias("_e")).where("_e is not null")
+    rows = rows.select(*RUN, *(F.col(f"_l_{c}")[F.col("_e.stop")].alias(c) for c in order[::-1]), "_e.index_loc", "_e.index_loc_before")
+    return rows.unionByName(order_violations(s.expand(near.where("_again"))).select(*rows.columns))

@@ -542,8 +542,7 @@ def first_last_stops(spark, sf_dir):
   from nr where d < {MOST}) where index_loc < b""")
 def order_violations(spark, sf_dir):
     """Stops that fall behind the one before."""
-    near = nearest.nearest_ping(V.suppliers(spark, sf_dir), V.pings(spark, sf_dir), ["stop_id", "stop_sort_order"]).where(F.col("dist_to_nearest_point") < MOST)
-    return stops.order_violations(near).select("filename", "index_run_start", "stop_id", "index_loc", "index_loc_before")
+    return stops.nearest_violations(V.pings(spark, sf_dir), V.suppliers(spark, sf_dir), MOST).select("filename", "index_run_start", "stop_id", "index_loc", "index_loc_before")
 
 
 _XY, _PXY = V.sql_lcc("stop_lon", "stop_lat"), V.sql_lcc("long", "lat")
