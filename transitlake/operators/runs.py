@@ -68,40 +68,59 @@ def analysis_files(inventory: DataFrame, routes: Sequence[str]) -> DataFrame:
     return inventory.withColumn("_hit", hit).where("_hit").drop("_hit")
 
 
-def file_rows(lines: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+def file_rows(lines: DataFrame, inventory: DataFrame | None = None, fields: Sequence[str] = ()) -> DataFrame:
     """Lines from each file's first tag on: kind, index_loc (line number - first tag line - 1), and where their run ends.
 
-    All is read by windows over the file or over the lines behind a tag, which share one partitioning by file. An end
-    message belongs to the latest tag at or before it, the first one counts. Tags without one end at the next tag; the
-    last ends at the file's last place, with no time. With an inventory only its files are read.
+    A file is sorted twice, forwards and backwards, and all is read by running windows. An end message belongs to the latest
+    tag at or before it, the first one counts. Tags without one end at the next tag; the last ends at the file's last
+    place, with no time. With an inventory only its files are read. ``run_end`` and ``run_end_time`` are those of the run for
+    tags and for rows no end message of the run stands before; ``ended`` says where one does. Only tags keep their line.
+
+    With ``fields`` also ping (index_loc and these fields, typed; null in other rows), first_ping (the first at or behind the
+    row), last_ping (the last at or before the run's end) and row_before_apc. Files with a row of too many fields have no
+    pings. Lines are parsed before they are moved, so only what is asked for is sorted.
     """
     own = lines.select("filename", F.col("line_num").cast("long").alias("line_num"), "line")
     if inventory is not None:
         own = own.join(inventory.where("line_num is not null").select("filename").distinct(), "filename", "left_semi")
-    line, file = F.col("line"), Window.partitionBy("filename")
+    line, number = F.col("line"), F.col("line_num")
     own = own.withColumn("kind", F.when(line.rlike(TAG), "tag").when(line.rlike(END), "end"))
     is_tag, is_end = F.col("kind") == "tag", F.col("kind") == "end"
-    own = own.withColumn("index_loc", F.col("line_num") - F.min(F.when(is_tag, F.col("line_num"))).over(file) - 1).where("index_loc >= -1")
-    here = F.struct("index_loc", "line_num", F.regexp_extract(line, TAG, 4).alias("time"))
-    end = F.struct("index_loc", F.regexp_extract(line, END, 1).alias("time"))
-    own = own.withColumns(
-        {
-            "tag_loc": F.last(F.when(is_tag, F.col("index_loc")), ignorenulls=True).over(so_far(["filename"])),
-            "_next": F.last(F.when(is_tag, here), ignorenulls=True).over(ahead(["filename"])),
-            "_last": F.max("index_loc").over(file),
-        }
-    )
-    own = own.withColumn("_end", F.min(F.when(is_end, end)).over(Window.partitionBy("filename", "tag_loc")))
+    time = F.when(is_tag, F.regexp_extract(line, TAG, 4)).when(is_end, F.regexp_extract(line, END, 1))
+    own = own.select("filename", "line_num", "kind", F.when(is_tag, line).alias("line"), time.alias("_time"), *_parsed(fields))
+    told = so_far(["filename"], ["line_num"])
+    last = lambda c: F.last(c, ignorenulls=True)
+    own = own.withColumns({"_base": F.first(F.when(is_tag, number), ignorenulls=True).over(told), "_tag": last(F.when(is_tag, number)).over(told), "_ended": last(F.when(is_end, number)).over(told)})
+    own = own.where("_base is not null")
+    if fields:
+        own = own.withColumn("_whole", F.max("_size").over(Window.partitionBy("filename")) <= len(PING_FIELDS))
+        own = own.withColumn("ping", F.when(F.col("_whole"), F.col("ping"))).withColumn("_before", last("ping").over(told))
+    held = ["_before"] if fields else []
+    here, from_row, behind = F.struct("line_num", "_time", *held), from_here(["filename"], ["line_num"]), ahead(["filename"], ["line_num"])
+    marks = {"_next": last(F.when(is_tag, here)).over(behind), "_end": last(F.when(is_end, here)).over(behind), "_bottom": F.first(here).over(from_row)}
+    if fields:
+        # A ping stands before an APC row if an APC row comes before the next ping.
+        apc = last(F.when(F.col("_whole") & F.col("_apc"), True).when(F.col("ping").isNotNull(), False)).over(behind)
+        marks |= {"first_ping": last("ping").over(from_row), "row_before_apc": F.coalesce(apc, F.lit(False))}
+    own = own.withColumns(marks)
+    by_message = F.col("_end").isNotNull() & F.coalesce(F.col("_end.line_num") < F.col("_next.line_num"), F.lit(True))
+    end = lambda c: F.when(by_message, F.col(f"_end.{c}")).when(F.col("_next").isNotNull(), F.col(f"_next.{c}"))
+    place = lambda c: c - F.col("_base") - 1
+    at = lambda p: F.when(p.isNotNull(), F.struct(place(p["line_num"]).alias("index_loc"), *(p[k].alias(k) for k in fields)))
+    pings = {"ping": F.col("ping"), "first_ping": F.col("first_ping"), "last_ping": end("_before").otherwise(F.col("_bottom._before"))} if fields else {}
     return own.select(
         "filename",
         "line_num",
         "line",
         "kind",
-        "index_loc",
-        "tag_loc",
+        place(number).alias("index_loc"),
+        place(F.col("_tag")).alias("tag_loc"),
         F.col("_next.line_num").alias("line_num_next"),
-        F.coalesce("_end.index_loc", "_next.index_loc", "_last").alias("run_end"),
-        F.when(F.col("_end").isNotNull(), F.col("_end.time")).otherwise(F.col("_next.time")).alias("run_end_time"),
+        place(end("line_num").otherwise(F.col("_bottom.line_num"))).alias("run_end"),
+        end("_time").alias("run_end_time"),
+        F.coalesce(F.col("_ended") > F.col("_tag"), F.lit(False)).alias("ended"),
+        *(at(c).alias(k) for k, c in pings.items()),
+        *(["row_before_apc"] if fields else []),
     )
 
 
@@ -119,31 +138,26 @@ def valid_ping(fields: dict[str, Column] | None = None) -> Column:
     return F.coalesce(ok & c["door_state"].isin("O", "C") & c["veh_state"].isin("M", "S"), F.lit(False))
 
 
-def _with_pings(rows: DataFrame) -> DataFrame:
-    """Adds ping (its typed fields; null in other rows) and row_before_apc to file_rows.
-
-    Files with a row of too many fields have no pings.
-    """
+def _parsed(keep: Sequence[str]) -> list[Column]:
+    """ping (line_num and the fields to keep, typed; null in other lines), _apc and _size of lines with their kind."""
+    if not keep:
+        return []
     part, line = F.split("line", ","), F.col("line")
     data = F.col("kind").isNull() & (F.trim("line") != "")
-    most = F.max(F.when(data & ~line.rlike(r"^\s*/"), F.size(part))).over(Window.partitionBy("filename"))
+    size = F.when(data & ~line.rlike(r"^\s*/"), F.size(part))
     fields = {k: F.trim(F.try_element_at(part, F.lit(i + 1))) for i, k in enumerate(PING_FIELDS)}
     typed = {k: fields[k] for k in ("door_state", "veh_state", "stop_window", "blank")}
     typed |= {k: fields[k].try_cast("double") for k in ("lat", "long", "heading", "lat_raw", "long_raw")}
     typed |= {k: fields[k].try_cast("double").cast("long") for k in ("odom_ft", "sec_past_st", "sat_cnt")}
-    ping = F.struct("index_loc", *(typed[k].alias(k) for k in PING_FIELDS))
     is_apc = data & (F.upper(F.trim(F.try_element_at(part, F.lit(1)))) == "APC")
-    whole = F.col("_most") <= len(PING_FIELDS)
-    rows = rows.withColumn("_most", most)
-    rows = rows.withColumn("ping", F.when(whole & data & ~is_apc & (F.size(part) == len(PING_FIELDS)) & valid_ping(fields), ping))
-    # A ping stands before an APC row if an APC row comes before the next ping.
-    next_is_apc = F.last(F.when(whole & is_apc, True).when(F.col("ping").isNotNull(), False), ignorenulls=True).over(ahead(["filename"]))
-    return rows.withColumn("row_before_apc", F.coalesce(next_is_apc, F.lit(False)))
+    ping = F.struct("line_num", *(typed[k].alias(k) for k in keep))
+    whole = F.when(data & ~is_apc & (F.size(part) == len(PING_FIELDS)) & valid_ping(fields), ping)
+    return [whole.alias("ping"), is_apc.alias("_apc"), size.alias("_size")]
 
 
 def ping_lines(lines: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     """Typed pings of each file with row_before_apc; files with a row of too many fields are left out whole."""
-    return _with_pings(file_rows(lines, inventory)).where("ping is not null").select("filename", "ping.*", "row_before_apc")
+    return file_rows(lines, inventory, PING_FIELDS).where("ping is not null").select("filename", "ping.*", "row_before_apc")
 
 
 def _run_columns() -> dict[str, Column]:
@@ -168,24 +182,16 @@ def clean_pings(lines: DataFrame, inventory: DataFrame | None = None, service_da
     A run for each tag: from the first ping at or behind the tag to the last ping at or before its end. Pings outside of
     any run keep null bounds. A run without pings keeps a row of nulls, or the bounds of what lies around it; of runs with
     the same first ping the last tag stays. Runs that start before the cut-off hour count to the weekday before.
-    Both come from one pass: everything is grouped by file, so a file's lines are shuffled once.
+    Everything is grouped by file, so a file's lines are shuffled once for each; runs move no more than their columns need.
     """
-    rows = _with_pings(file_rows(lines, inventory))
-    group, is_ping = Window.partitionBy("filename", "tag_loc"), F.col("ping").isNotNull()
-    inside = is_ping & (F.col("index_loc") <= F.col("run_end"))
-    rows = rows.withColumn("_to", F.max(F.when(inside, F.col("ping"))).over(group))
-
-    pings = rows.withColumn("_from", F.min(F.when(is_ping, F.col("index_loc"))).over(group)).where(is_ping)
-    bounds = {"index_run_start": F.col("_from"), "index_run_end": F.col("_to.index_loc")}
-    pings = pings.select("filename", "ping.*", "row_before_apc", *(F.when(inside, c).alias(k) for k, c in bounds.items()))
-
-    ends = {
-        "_first": F.last("ping", ignorenulls=True).over(from_here(["filename"])),
-        "_last": F.coalesce("_to", F.last("ping", ignorenulls=True).over(so_far(["filename"]))),
-    }
-    tags = rows.withColumns(ends).where("kind = 'tag'").withColumns(_tag_columns(F.col("line")))
+    pings = file_rows(lines, inventory, PING_FIELDS).where("ping is not null")
+    group = Window.partitionBy("filename", "tag_loc")
+    bounds = {"index_run_start": F.min("index_loc").over(group), "index_run_end": F.col("last_ping.index_loc")}
+    pings = pings.select("filename", "ping.*", "row_before_apc", *(F.when(~F.col("ended"), c).alias(k) for k, c in bounds.items()))
+
+    tags = file_rows(lines, inventory, ("odom_ft", "sec_past_st", "lat", "long")).where("kind = 'tag'").withColumns(_tag_columns(F.col("line")))
     names = {"index_loc": "index_run", "odom_ft": "odom_ft", "sec_past_st": "sec", "lat": "lat", "long": "long"}
-    sides = [F.col(f"{at}.{c}").alias(f"{to}_{side}") for at, side in (("_first", "start"), ("_last", "end")) for c, to in names.items()]
+    sides = [F.col(f"{at}.{c}").alias(f"{to}_{side}") for at, side in (("first_ping", "start"), ("last_ping", "end")) for c, to in names.items()]
     day = F.date_sub("tag_date", 1)
     runs = tags.select(
         "filename",
