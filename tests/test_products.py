@@ -66,6 +66,16 @@ def test_what_a_run_finds_is_not_moved(unsized, many, name):
     same_as_sql(df, name)
 
 
+@pytest.mark.parametrize("name, moved", [("intersections_within_distance", 0), ("nearest_intersection_pings", 2)])
+def test_pairs_of_pings_and_places_are_not_moved(unsized, many, name, moved):
+    """Only pings are, by run where a run's closest is asked for; the second time is the same shuffle, for shared keys."""
+    df = catalog.QUERIES[name](unsized, SF)
+    plan = joins(df, unsized)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(filename") == moved and "Exchange hashpartitioning(_cx" not in plan
+    same_as_sql(df, name)
+
+
 PINGS = "filename string, index_run_start long, index_loc long, route long, pattern long, x double, y double"
 
 
