@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from transitlake.operators import nearest
 from transitlake.plans import catalog, chains, views  # noqa: F401
@@ -96,3 +97,39 @@ def test_runs_of_one_row(spark, monkeypatch):
     for targets, pings in ((t, p), (twice, p.where("index_run_start = 0")), (t, two)):
         with pytest.raises(PySparkException, match="several"):
             nearest.nearest_ping(targets, pings, ["stop_id"], single=True).collect()
+
+
+@pytest.mark.parametrize("name", ["segment_index", "segment_summary", "segment_quality", "merge_segments"])
+def test_segments_of_a_run_are_found_in_its_row(unsized, many, name):
+    df = catalog.QUERIES[name](unsized, SF)
+    # Of runs: pings, and for merge_segments the list of runs, made unique and joined.
+    assert "Sort [filename" not in joins(df, unsized) or name == "merge_segments"
+    assert joins(df, unsized).count("Exchange hashpartitioning(filename") <= (4 if name == "merge_segments" else 1)
+    same_as_sql(df, name)
+
+
+def test_segments_of_odd_runs(spark):
+    """What runs of one row give is what rows by run and segment give: nulls, falling counters, equal ends, one ping."""
+    from transitlake.operators import segments
+
+    rng = random.Random(8)
+    some = lambda v: None if rng.random() < 0.2 else v
+    rows = [(f"f{r % 3}", r, 7 * i, r % 2, r % 3 % 2, some(rng.uniform(0, 900)), rng.uniform(0, 900), some(rng.randint(0, 50)), some(i), some(rng.random()), some(rng.random())) for r in range(9) for i in rng.sample(range(40), 1 + 4 * r)]
+    rows += [("f8", 1, i, 1, 1, None, 1.0, i, i, 1.0, 1.0) for i in range(3)]
+    p = spark.createDataFrame(rows, "filename string, index_run_start long, index_loc long, route long, pattern long, x double, y double, odom_ft long, sec_past_st long, lat double, long double")
+    places = [(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(4)]
+    ends = spark.createDataFrame([(f"s{n}", at, *places[(n + j) % 4]) for n in range(24) for j, at in enumerate(("first", "last"))] + [("s30", "first", *places[0]), ("s31", "first", None, 1.0), ("s31", "last", *places[1])], "seg_name_id string, location string, x double, y double")
+    patterns = spark.createDataFrame([(r, r % 2, f"s{n}") for n in [*range(24), 30, 31] for r in range(n % 3 + 1)], "route long, pattern long, seg_name_id string")
+    lengths = spark.createDataFrame([(f"s{n}", 30.0 * (n % 5)) for n in range(20)], "seg_name_id string, length_ft double")
+    index = segments.segment_index(p, ends, patterns, 300.0)
+    told = lambda df, like: sorted((tuple(r) for r in df.select(*like.columns).collect()), key=str)
+    own = segments.segment_index(p, ends, patterns, 300.0, single=True)
+    assert sorted(own.columns) == sorted(index.columns) and told(own, index) == told(index, index)
+    summary = segments.segment_summary(p, index, lengths, 20.0)
+    mine = segments.run_segments(p, ends, patterns, lengths, 300.0, 20.0)
+    assert dict(mine.dtypes) == dict(summary.dtypes) and summary.count() > 50
+    assert told(mine, summary) == told(summary, summary)
+    assert told(segments.run_segments(p, ends, patterns, lengths, 300.0, 20.0, kept=segments.quality()), summary) == told(summary.where(segments.quality()), summary)
+    runs = p.select("filename", "index_run_start", "route").distinct().withColumn("bus", F.lit(5))
+    both = [segments.run_segments(p, ends, patterns, lengths, 300.0, 20.0, runs=runs), summary.join(runs, ["filename", "index_run_start"], "left")]
+    assert told(both[0], both[1]) == told(both[1], both[1])
