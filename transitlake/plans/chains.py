@@ -224,7 +224,7 @@ def merge_segments(spark, sf_dir):
     x, y = geo.lcc_feet(F.col("long"), F.col("lat"))
     p = V.pings(spark, sf_dir).withColumns({"x": x, "y": y})
     listed = p.where("user_id % 2 = 0").select("filename", "index_run_start", F.col("user_id").cast("long").alias("bus")).distinct()
-    _, summary = segments.merge_segments(p, listed, lines, patterns)
+    _, summary = segments.merge_segments(p, listed, lines, patterns, single=True)
     return summary.select(*segments.KEYS, "trip_dur_sec_segment", "flag_too_far_any", "flag_wrong_order_any", "flag_too_long_odom", "bus")
 
 
