@@ -615,7 +615,7 @@ def segment_summary(spark, sf_dir):
 @query(SEG_SUM + f"select {SEGK} from sx where not (coalesce(flag_too_far_any, false) or coalesce(flag_wrong_order_any, false) or coalesce(flag_too_long_odom, false))")
 def segment_quality(spark, sf_dir):
     """Runs on segments without any flag."""
-    return _seg_summary(spark, sf_dir).where(segments.quality()).select(*segments.KEYS)
+    return _seg_summary(spark, sf_dir, segments.quality()).select(*segments.KEYS)
 
 
 @query(f"""with {ENDS}, pl as (select line, list(x order by stop_id) as xs, list(y
